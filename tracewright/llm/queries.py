@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tracewright.llm import chat, sharding
+from tracewright.llm import chat, langid, sharding, toxicity
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op6_chat_formatting": chat.op6_chat_formatting,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {"op6_chat_formatting": chat.OP6_SQL}
