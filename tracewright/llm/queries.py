@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tracewright.llm import chat, langid, sharding, toxicity
+from tracewright.llm import chat, langid, quality, sharding, token_output, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
+    "op5_token_output": token_output.op5_token_output,
     "op6_chat_formatting": chat.op6_chat_formatting,
+    "op7_quality_rules": quality.op7_quality_rules,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_sharding": sharding.op10_sharding,
 }
-ORACLES = {"op6_chat_formatting": chat.OP6_SQL}
+ORACLES = {"op6_chat_formatting": chat.OP6_SQL, "op7_quality_rules": quality.OP7_SQL}
