@@ -60,7 +60,7 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
 class Ftrl:
     """FTRL-proximal with per-coordinate rates, L1 and L2."""
 
-    def __init__(self, bits: int = BITS, alpha: float = 0.5, beta: float = 1.0, l1: float = 10.0, l2: float = 0.1):
+    def __init__(self, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 15.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)  # the last one is the intercept
 
