@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tracewright.llm import chat, langid, quality, sharding, simhash, suffix_dedup, token_output, toxicity
+from tracewright.llm import chat, decontamination, langid, quality, sentencepiece_codec, sharding, simhash, suffix_dedup, token_output, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_simhash": simhash.op2_simhash,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op5_token_output": token_output.op5_token_output,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_sharding": sharding.op10_sharding,
 }

@@ -163,11 +163,6 @@ def columns(passages: list[bytes], offset: np.ndarray, group: np.ndarray, length
     return p, a - begin[p], b - 1 - begin[p]
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str, stable: bool) -> DataFrame:
-    some = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return (some if stable else stash(some, "texts")).withColumn("rid", F.monotonically_increasing_id())
-
-
 def _data(column: pa.Array) -> list[bytes]:
     return [(t or "").encode("utf-8", "replace") for t in column.to_pylist()]
 
@@ -275,12 +270,17 @@ def kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, keep_first: bool = False, stable: bool = False, group: int = GROUP) -> DataFrame:
-    """doc_id, text without repeated passages (characters stay whole), and the
-    digests n_bytes, n_removed, n_spans, kept_sha256 of the exact byte removal."""
-    keyed = _keyed(docs, doc_id, text, stable)
-    spans = repeated_spans(keyed, length, group=group, keep_first=keep_first)
-    joined = keyed.join(spans, "rid", "left")
+def rewrite(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, keep_first: bool = False, stable: bool = False, group: int = GROUP) -> DataFrame:
+    """``docs`` with the text rewritten without repeated passages (characters
+    stay whole), and the digests n_bytes, n_removed, n_spans, kept_sha256 of the
+    exact removal of bytes.  Columns of those names are replaced."""
+    digests = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    docs = docs.drop(*digests, "rid", "spans")
+    keyed = (docs if stable else stash(docs, "texts")).withColumn("rid", F.monotonically_increasing_id())
+    searched = keyed.withColumnRenamed(text, "text") if text != "text" else keyed
+    spans = repeated_spans(searched, length, group=group, keep_first=keep_first)
+    joined = searched.join(spans, "rid", "left")
+    others = [c for c in searched.columns if c not in ("rid", "text")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -291,12 +291,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 size.append(len(data)), removed.append(len(data) - len(rest)), count.append(len(ranges))
                 digest.append(hashlib.sha256(rest).hexdigest())
                 new.append(kept(data, inside_characters(data, ranges)).decode("utf-8", "replace") if ranges else original)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(new, pa.string()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(new, pa.string()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], names=[*others, "text", *digests])
 
-    kind = keyed.schema["doc_id"].dataType.simpleString()
-    return joined.select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {kind}, text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    kinds = ", ".join(f"`{c}` {searched.schema[c].dataType.simpleString()}" for c in others)
+    out = joined.select(*others, "text", "spans").mapInArrow(cut, f"{kinds}, text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return out.withColumnRenamed("text", text) if text != "text" else out
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return remove_repeats(docs, stable=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return rewrite(docs, stable=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
