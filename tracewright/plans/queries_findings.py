@@ -206,8 +206,8 @@ def chain_merge(t):
     return fd.chain_edges(t.lineitem, ["l_orderkey"], "l_linenumber", "l_partkey", "l_suppkey")
 
 
-@query("""WITH c AS (SELECT l_orderkey, list_filter(list(l_linenumber - 2), lambda x: x >= 0 AND x < 4) AS idx, max(l_discount) * 10 AS confidence FROM lineitem GROUP BY 1)
-SELECT l_orderkey, len(idx) AS n FROM c WHERE confidence >= 0.5::DOUBLE AND len(idx) >= 2""")
+@query("""WITH c AS (SELECT l_orderkey, count(*) FILTER (l_linenumber - 2 >= 0 AND l_linenumber - 2 < 4) AS n, max(l_discount) * 10 AS confidence FROM lineitem GROUP BY 1)
+SELECT l_orderkey, n FROM c WHERE confidence >= 0.5::DOUBLE AND n >= 2""")
 def valid_chains(t):
     c = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.col("l_linenumber") - 2).alias("idx"), (F.max("l_discount") * 10).alias("confidence")).withColumn("k", F.lit(4))
     return fd.valid_chains(c, "idx", "k", "confidence").select("l_orderkey", F.size("idx").cast("bigint").alias("n"))
@@ -235,9 +235,9 @@ def ci_gate(t):
     return gate(f).select(F.col("scope").alias("o_orderkey"), "level", "message", "blocking")
 
 
-@query("""SELECT user_id AS identity, ts::DATE AS day, count(*) AS used, greatest(0, 3 - count(*)) AS remaining, count(*) <= 3 AS allowed FROM events GROUP BY 1, 2""")
+@query("""SELECT user_id AS identity, strftime(ts, '%Y-%m-%d') AS day, count(*) AS used, greatest(0, 3 - count(*)) AS remaining, count(*) <= 3 AS allowed FROM events GROUP BY 1, 2""")
 def rate_limit_daily(t):
-    return limits.daily_counts(t.events.select(F.col("user_id").alias("identity"), "ts"))
+    return limits.daily_counts(t.events.select(F.col("user_id").alias("identity"), "ts")).withColumn("day", F.col("day").cast("string"))
 
 
 PHASES_SQL = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'parsing' WHEN 'click' THEN 'reasoning' WHEN 'purchase' THEN 'complete' ELSE 'failed' END"
