@@ -92,14 +92,15 @@ class Parser:
         self.tables, self.bits = [], []
         for k in self.langs:
             automaton = suffix_automaton([int(self.code[b]) for b in samples[k]])
-            root = np.full(width, _FLAG, np.uint32)  # an unknown symbol is a phrase of its own
+            # an unknown symbol is a phrase of its own: the next one begins anew in the extra state at the end
+            root = np.full(width, _FLAG | np.uint32(len(automaton) * width), np.uint32)
             for c, to in automaton[0].items():
                 root[c] = np.uint32(to * width) | _FLAG
             table = np.tile(root, (len(automaton), 1))
             for s, row in enumerate(automaton):
                 for c, to in row.items():
                     table[s, c] = to * width
-            # at the start of a block the first phrase begins too: an extra state whose steps are all marked
+            # the extra state, where every step is marked, is also that of a block's start
             self.tables.append(np.concatenate([table, root[None]]).ravel())
             self.bits.append(np.log2(len(samples[k]) + 1))
         self.width = width
