@@ -30,6 +30,11 @@ FRAMEWORKS = [
 ]
 
 
+def strip(value: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(value, r"^\s+|\s+$", "")
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1))
 
@@ -94,9 +99,9 @@ def relative_time(minutes: Column) -> Column:
 
 def fenced_json(text: Column) -> Column:
     """The JSON of an answer, with or without a code fence."""
-    t = F.trim(text)
+    t = strip(text)
     marked = F.when(F.contains(t, F.lit("```json")), F.get(F.split(F.get(F.split(t, "```json"), F.lit(1)), "```"), F.lit(0))).when(F.contains(t, F.lit("```")), F.get(F.split(t, "```"), F.lit(1)))
-    return F.trim(F.coalesce(marked, t))
+    return strip(F.coalesce(marked, t))
 
 
 def recovered_script(text: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.text import strip
+
 KEYS = ["scope", "file"]
 
 # Patterns and markers of the detectors.
@@ -97,7 +99,7 @@ def tainted_writes(lines: DataFrame) -> DataFrame:
     has_source = F.col("text").rlike("|".join(p.replace(".", r"\.") for p in HTTP_SOURCES))
     rows = preceded_by(lines, KEYS, "line_no", has_source).withColumn("_k", write_kind(F.col("text"))).where("preceded AND _k IS NOT NULL")
     table = F.when(F.col("_k") == 0, F.regexp_extract("text", WRITES[0], 1)).when(F.col("_k") == 1, F.regexp_extract("text", WRITES[1], 1))
-    return rows.select("scope", "file", "file_ord", "line_no", F.trim("text").alias("code"), table.alias("table_name"))
+    return rows.select("scope", "file", "file_ord", "line_no", strip(F.col("text")).alias("code"), table.alias("table_name"))
 
 
 def stored_sink(text: Column) -> Column:
@@ -110,8 +112,8 @@ def stored_sink(text: Column) -> Column:
 def second_order_findings(lines: DataFrame) -> DataFrame:
     """Reads with sinks in the next 20 lines, given a tainted write anywhere in the scope."""
     first = tainted_writes(lines).groupBy("scope").agg(F.min(F.struct("file_ord", "line_no", "file", "code", "table_name")).alias("w"))
-    reads = lines.where(F.col("text").rlike(READS)).select("scope", "file", "line_no", F.trim("text").alias("read_code"))
-    sinks = lines.withColumn("_s", stored_sink(F.col("text"))).where("_s IS NOT NULL").select("scope", "file", "line_no", F.trim("text").alias("sink_code"), "_s.*")
+    reads = lines.where(F.col("text").rlike(READS)).select("scope", "file", "line_no", strip(F.col("text")).alias("read_code"))
+    sinks = lines.withColumn("_s", stored_sink(F.col("text"))).where("_s IS NOT NULL").select("scope", "file", "line_no", strip(F.col("text")).alias("sink_code"), "_s.*")
     near = followed_within(reads, sinks, KEYS, "line_no", 20)
     out = near.join(F.broadcast(first), "scope")  # one row a project
     return out.select("scope", F.col("w.file").alias("write_file"), F.col("w.line_no").alias("write_line"), "file", F.col("_left_at").alias("read_line"), F.col("_right_at").alias("sink_line"), "read_code", "sink_code", "vuln_class", "cwe_id", F.col("w.table_name").alias("db_table"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.text import strip
+
 # Names that are no calls or arguments.
 KEYWORDS = (
     "True False None and or not in is if else for while return import from def class try except finally with as pass break continue lambda "
@@ -45,7 +47,7 @@ def control_edges(nodes: DataFrame, keys: list[str]) -> DataFrame:
 
 def store_key(code: Column) -> Column:
     """``a.b.c`` of ``a.b.c = ...``, ``x["k"]`` of ``x["k"] = ...``, else null."""
-    c = F.trim(code)
+    c = strip(code)
     item = F.when(F.regexp_like(c, F.lit(ITEM_STORE)), F.concat(F.regexp_extract(c, ITEM_STORE, 1), F.lit('["'), F.regexp_extract(c, ITEM_STORE, 3), F.lit('"]')))
     attribute = F.when(F.regexp_like(c, F.lit(ATTRIBUTE_STORE)), F.regexp_extract(c, ATTRIBUTE_STORE, 1))
     return F.coalesce(item, attribute)
@@ -53,7 +55,7 @@ def store_key(code: Column) -> Column:
 
 def read_keys(code: Column) -> Column:
     """Dotted names and items read by a statement; only the right side of a plain assignment."""
-    c = F.trim(code)
+    c = strip(code)
     at = F.instr(c, F.lit("="))
     before, after = F.substr(c, at - 1, F.lit(1)), F.substr(c, at + 1, F.lit(1))
     assigns = (at > 1) & ~before.isin("!", "<", ">") & (after != "=")
@@ -85,8 +87,8 @@ def parsed_calls(nodes: DataFrame) -> DataFrame:
     """One row per call in a node's code: its keys, ``func``, ``args``."""
     calls = F.filter(F.arrays_zip(F.regexp_extract_all("code", F.lit(CALL), F.lit(1)).alias("func"), F.regexp_extract_all("code", F.lit(CALL), F.lit(2)).alias("raw")), lambda c: ~c["func"].isin(*KEYWORDS))
     rows = nodes.select("scope", "node_id", "file", "node_type", "ord", F.posexplode(calls).alias("call_no", "_c"))
-    raw = F.trim(F.col("_c.raw"))
-    args = F.when(raw == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(raw, ","), lambda a: last_identifier(F.trim(a))))
+    raw = strip(F.col("_c.raw"))
+    args = F.when(raw == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(raw, ","), lambda a: last_identifier(strip(a))))
     return rows.select("scope", "node_id", "file", "node_type", "ord", "call_no", F.col("_c.func").alias("func"), args.alias("args"))
 
 
