@@ -47,6 +47,7 @@ from tracewright.session import stash
 LENGTH, GRAM, GROUP = 200, 32, 100_000
 PIECE = 8 << 20  # bytes of a text that are scanned at once
 BATCH_ROWS = 24_000
+SALTS = 32
 _rng = np.random.RandomState(7)
 _BYTE = _rng.randint(0, 1 << 62, 256).astype(np.uint64) * np.uint64(3) + np.uint64(1)
 _STEP = (_rng.randint(0, 1 << 62, 8).astype(np.uint64) * np.uint64(2)) + np.uint64(1)
@@ -232,7 +233,9 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
 
         every = stash(located.mapInArrow(strings, "w binary, rid bigint, start bigint"), "strings")
         again = every.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "start")).alias("low")).where("n > 1")
-        more = every.join(again, "w")
+        # a string may hold a third of all rows: its rows are dealt over salts, the few repeated strings to each
+        salted = every.withColumn("salt", F.pmod(F.xxhash64("rid", "start"), F.lit(SALTS)))
+        more = salted.join(again.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), ["w", "salt"])
         if keep_first:
             more = more.where((F.col("rid") != F.col("low.rid")) | (F.col("start") != F.col("low.start")))
         spans = spans.unionByName(more.select("rid", "start", (F.col("start") + length).alias("end")))
