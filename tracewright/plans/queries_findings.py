@@ -316,9 +316,10 @@ def external_findings(t):
     return parsed.select(F.col("event_id").alias("ord"), "rule_id", "file", "line", "severity", "cwe")
 
 
-@query(f"""SELECT o_orderkey, o_orderstatus IN ('F', 'O') AND {SEV_SQL} <> 'info' AS shown FROM orders WHERE o_custkey % 2 = 1""")
+@query(f"""SELECT o_orderkey, {SEV_SQL} <> 'info' AS shown FROM orders WHERE o_orderstatus = 'F'""")
 def owner_scope(t):
-    return orders(t).where(F.col("o_custkey") % 2 == 1).select("o_orderkey", (F.col("o_orderstatus").isin("F", "O") & (F.col("severity") != "info")).alias("shown"))
+    # the status stands for the owner; rows of no owner are denied
+    return orders(t).where(F.col("o_orderstatus") == "F").select("o_orderkey", (F.col("severity") != "info").alias("shown"))
 
 
 @query("""SELECT e.event_id, CASE WHEN c.ts >= (SELECT max(ts) FROM events) - INTERVAL 3600 SECOND THEN c.event_id END AS cached FROM events e LEFT JOIN (SELECT props, max(event_id) AS event_id, max(ts) AS ts FROM events WHERE event_type = 'view' GROUP BY props) c ON e.props = c.props""")
