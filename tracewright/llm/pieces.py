@@ -9,17 +9,21 @@ emptied when full.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Hashable
 
-import numpy as np
-
 MAX_CHUNKS = 1_000_000
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    """Ids as unsigned 32-bit integers (the machines' order is little-endian)."""
+    return array("I", ids).tobytes()
+
+
 class ChunkCache:
     """Ids of chunks as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = MAX_CHUNKS):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = MAX_CHUNKS):
         self.encode, self.limit, self.known = encode, limit, {}
 
     def learn(self, chunks: set) -> None:
@@ -30,8 +34,7 @@ class ChunkCache:
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             texts = [c.decode("utf-8") if isinstance(c, bytes) else c for c in part]
-            for c, ids in zip(part, self.encode(texts), strict=True):
-                self.known[c] = np.array(ids, "<u4").tobytes()
+            self.known.update(zip(part, self.encode(texts), strict=True))
 
     def __call__(self, chunked: list[list[Hashable]]) -> list[bytes]:
         """The ids of texts given as lists of chunks."""

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracewright.llm.pieces import ChunkCache
+from tracewright.llm.pieces import ChunkCache, as_bytes
 from tracewright.llm.rows import slices
 
 MARK = "▁"
@@ -134,7 +134,7 @@ class Codec:
         if self.model.chunkable():
             bare = build_tokenizer(self.model)
             bare.normalizer = None
-            self.cache = ChunkCache(lambda chunks: [e.ids for e in bare.encode_batch_fast(chunks, add_special_tokens=False)], 500_000)
+            self.cache = ChunkCache(lambda chunks: [as_bytes(e.ids) for e in bare.encode_batch_fast(chunks, add_special_tokens=False)], 500_000)
             self.chunks = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
         # a piece's bytes; the decoder's steps put together for one piece
         self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces]
@@ -142,7 +142,7 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
         if self.cache is None:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+            return [as_bytes(e.ids) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         prefix = MARK if self.model.dummy_prefix else ""
         return self.cache([self.chunks(prefix + t.replace(" ", MARK)) if t else [] for t in texts])
 

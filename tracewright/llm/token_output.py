@@ -13,6 +13,8 @@ first, rows of equal doc_id follow by text; an empty table gives no row.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.pieces import ChunkCache
+from tracewright.llm.pieces import ChunkCache, as_bytes
 from tracewright.llm.rows import slices
 
 WRITER = {
@@ -32,27 +34,69 @@ WRITER = {
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "2000",
     "parquet.column.index.truncate.length": "64",
-    "compression": "zstd",
+    "compression": "snappy",
 }
 SCHEMA = "doc_id bigint, n_tokens bigint, part int, start_in_part bigint, token_ids array<int>"
 _caches: dict[str, ChunkCache] = {}
 
 
+#: A lower-case word of Latin letters, with a run of ASCII marks behind it (no apostrophe).
+_PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-^`{-~]*)")
+_MARK = re.compile(rb"(?<=[a-z])([,.])(?=[ \n])")
+#: Bytes that begin characters from U+0180 on; below, texts are composed and lower case is plain.
+_FAR = bytes(range(0xC6, 0x100))
+
+
 def word_cache(path: str) -> ChunkCache:
     """A tokenizer whose pre-tokenizer drops white space: ASCII white space is
-    a border of chunks."""
+    a border of chunks, as is the end of a plain word before marks.  Plain
+    words need neither the normaliser nor the pre-tokenizer's pattern; many are
+    encoded as one text and told apart by their closing pieces."""
     if path not in _caches:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        _caches[path] = ChunkCache(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads of the library would spin
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        plain.normalizer = None
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        closing = np.zeros(whole.get_vocab_size(), bool)
+        closing[[i for piece, i in whole.get_vocab().items() if piece.endswith("</w>")]] = True
+        words: dict[str, bytes] = {}
+        match = _PLAIN.fullmatch
+
+        def encode_words(new: list[str]) -> None:
+            parts = [new[i : i + 500] for i in range(0, len(new), 500)]
+            for part, e in zip(parts, plain.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+                raw = as_bytes(e.ids)
+                ends = (4 * np.flatnonzero(closing[e.ids]) + 4).tolist()
+                words.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+
+        def encode(texts: list[str]) -> list[bytes]:
+            if len(words) > 200_000:
+                words.clear()
+            # most chunks are ASCII words; the pattern looks at the others only
+            found = [(t, "") if t.isascii() and t.isalpha() and t.islower() else m.groups() if (m := match(t)) else (None, t) for t in texts]
+            encode_words(list({w for w, _ in found if w} - words.keys()))
+            other = list({x for _, x in found if x})
+            rest = dict(zip(other, (as_bytes(e.ids) for e in whole.encode_batch_fast(other, add_special_tokens=False)), strict=True))
+            return [words[w] if not x else words[w] + rest[x] if w else rest[x] for w, x in found]
+
+        _caches[path] = ChunkCache(encode, 600_000)
     return _caches[path]
 
 
+def _chunks(text: str | None) -> list[bytes]:
+    """The tokenizer lower-cases anyway; where that is plain it is done at once,
+    so that more chunks are alike.  Special strings keep their case."""
+    data = (text or "").encode("utf-8", "replace")
+    if b"<|" not in data and len(data) == len(data.translate(None, _FAR)):
+        # a mark between a letter and white space is a piece of its own: as a chunk of its own it is known already
+        data = _MARK.sub(rb" \1", text.lower().encode()) if text else b""
+    return data.split()
+
+
 def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
-    data = [(t or "").encode("utf-8", "replace") for t in texts]
-    # the tokenizer lower-cases anyway; special strings are matched in their own case
-    return word_cache(path)([(d if b"<|" in d.lower() else d.lower()).split() for d in data])
+    return word_cache(path)([_chunks(t) for t in texts])
 
 
 def write_tokens(docs: DataFrame, path: str, encode: Callable[[list[str | None]], list[bytes]], end_id: int, partitions: int | None = None, target_bytes: int = 16 << 20) -> None:
