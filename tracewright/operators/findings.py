@@ -120,9 +120,9 @@ def attack_flow(paths: DataFrame, keys: list[str], position: str) -> DataFrame:
     return out.withColumns({"node": F.concat(F.lit("node_"), F.col("_i")), "node_type": kind, "previous": F.when(F.col("_i") > 0, F.concat(F.lit("node_"), F.col("_i") - 1))}).drop("_i", "_n")
 
 
-def chain_edges(components: DataFrame, keys: list[str], order: str, source: str, sink: str) -> DataFrame:
+def chain_edges(components: DataFrame, keys: list[str], order: list[str], source: str, sink: str) -> DataFrame:
     """From each component's sink to the next component's source."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    w = Window.partitionBy(*keys).orderBy(*order)
     return components.withColumn("from_sink", F.lag(sink).over(w)).where("from_sink IS NOT NULL").select(*keys, "from_sink", F.col(source).alias("to_source"))
 
 

@@ -31,22 +31,22 @@ KEYED_SQL = "SELECT *, l_suppkey AS sink, l_partkey % 50 AS src, round(l_discoun
 
 def scored(t):
     """Line items as paths: part is the source, supplier the sink, discount the confidence."""
-    return t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("sink"), (F.col("l_partkey") % 50).alias("src"), F.round(F.col("l_discount") * 10).alias("score"), "l_quantity")
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("sink"), (F.col("l_partkey") % 50).alias("src"), F.round(F.col("l_discount") * 10).alias("score"), "l_quantity")
 
 
-@query(f"""SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY src, sink ORDER BY score DESC, l_orderkey, l_linenumber) AS r FROM ({KEYED_SQL})) WHERE r = 1""")
+@query(f"""SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY src, sink ORDER BY score DESC, l_orderkey, l_linenumber, l_partkey) AS r FROM ({KEYED_SQL})) WHERE r = 1""")
 def path_dedup(t):
-    return taint.best_per_key(scored(t), ["src", "sink"], "score", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber")
+    return taint.best_per_key(scored(t), ["src", "sink"], "score", "l_orderkey", "l_linenumber", "l_partkey").select("l_orderkey", "l_linenumber")
 
 
-@query(f"""SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY sink ORDER BY score DESC, l_orderkey, l_linenumber) AS r FROM ({KEYED_SQL})) WHERE r = 1""")
+@query(f"""SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY sink ORDER BY score DESC, l_orderkey, l_linenumber, l_partkey) AS r FROM ({KEYED_SQL})) WHERE r = 1""")
 def path_prededup(t):
-    return taint.best_per_key(scored(t), ["sink"], "score", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber")
+    return taint.best_per_key(scored(t), ["sink"], "score", "l_orderkey", "l_linenumber", "l_partkey").select("l_orderkey", "l_linenumber")
 
 
-@query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN n < 3 THEN 1 ELSE n END AS dedup_count FROM (SELECT *, count(*) OVER (PARTITION BY src, sink) AS n, row_number() OVER (PARTITION BY src, sink ORDER BY score DESC, l_orderkey, l_linenumber) AS r FROM ({KEYED_SQL})) WHERE n < 3 OR r = 1""")
+@query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN n < 3 THEN 1 ELSE n END AS dedup_count FROM (SELECT *, count(*) OVER (PARTITION BY src, sink) AS n, row_number() OVER (PARTITION BY src, sink ORDER BY score DESC, l_orderkey, l_linenumber, l_partkey) AS r FROM ({KEYED_SQL})) WHERE n < 3 OR r = 1""")
 def sink_collapse(t):
-    return fd.collapse_groups(scored(t), ["src", "sink"], "score", ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "dedup_count")
+    return fd.collapse_groups(scored(t), ["src", "sink"], "score", ["l_orderkey", "l_linenumber", "l_partkey"]).select("l_orderkey", "l_linenumber", "dedup_count")
 
 
 @query(f"""SELECT o_orderkey, round(((o_custkey % 101) / 100.0::DOUBLE) * CASE {SEV_SQL} WHEN 'critical' THEN 1.0::DOUBLE WHEN 'high' THEN 0.8::DOUBLE WHEN 'low' THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END, 6) AS rank_score FROM orders""")
@@ -201,9 +201,9 @@ def attack_flow(t):
     return fd.attack_flow(t.conversations, ["conv_id"], "turn").select("conv_id", "turn", "node", "node_type", "previous", F.left("text", F.lit(50)).alias("label"))
 
 
-@query("""SELECT l_orderkey, from_sink, to_source FROM (SELECT l_orderkey, lag(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS from_sink, l_partkey AS to_source FROM lineitem) WHERE from_sink IS NOT NULL""")
+@query("""SELECT l_orderkey, from_sink, to_source FROM (SELECT l_orderkey, lag(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS from_sink, l_partkey AS to_source FROM lineitem) WHERE from_sink IS NOT NULL""")
 def chain_merge(t):
-    return fd.chain_edges(t.lineitem, ["l_orderkey"], "l_linenumber", "l_partkey", "l_suppkey")
+    return fd.chain_edges(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "l_partkey", "l_suppkey")
 
 
 @query("""WITH c AS (SELECT l_orderkey, count(*) FILTER (l_linenumber - 2 >= 0 AND l_linenumber - 2 < 4) AS n, max(l_discount) * 10 AS confidence FROM lineitem GROUP BY 1)
