@@ -144,6 +144,24 @@ def test_repeats_equal_brute_force(spark, group, first):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(t), int(gone.sum()), spans, hashlib.sha256(rest).hexdigest())
 
 
+def test_places_beyond_the_key(monkeypatch):
+    """A text of more places than the key has room for: pieces and places are made small."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
+    monkeypatch.setattr(suffix_dedup, "_POSITION", np.uint64((1 << 11) - 1))
+    rnd = random.Random(5)
+    passage = bytes(rnd.choices(range(97, 105), k=260))
+    noise = lambda n: bytes(rnd.choices(range(65, 91), k=n))
+    texts = [b"short", noise(5000) + passage + noise(1200) + passage + noise(30), noise(700), noise(2900) + passage]
+    row, h, lo, hi, a = suffix_dedup.anchors_of(texts)
+    starts = sorted((int(r), s) for r, x, y in zip(row, lo, hi, strict=True) for s in range(x, y + 1))
+    assert starts == [(i, s) for i, t in enumerate(texts) for s in range(len(t) - suffix_dedup.LENGTH + 1)]
+    for r, g, x, y, at in zip(row, h, lo, hi, a, strict=True):
+        assert y <= at <= x + suffix_dedup.LENGTH - suffix_dedup.GRAM
+        assert suffix_dedup.gram_hashes(np.frombuffer(texts[r][at : at + suffix_dedup.GRAM], np.uint8)).view(np.int64)[0] == g
+    of = {(int(r), s): (g, at - s) for r, g, x, y, at in zip(row, h, lo, hi, a, strict=True) for s in range(x, y + 1)}
+    assert all(of[1, 5000 + k] == of[1, 6460 + k] == of[3, 2900 + k] for k in range(61))
+
+
 def test_empty_table_and_columns_of_texts():
     assert suffix_dedup.anchors_of([b"short"])[0].size == 0
     assert suffix_dedup.inside_characters("aéb".encode(), [(0, 2)]) == [(0, 1)]

@@ -67,17 +67,37 @@ def gram_hashes(flat: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return h
 
 
+def pieces_of(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(text index, first start, bytes) of pieces that hold each start once, in lists of one piece's size at most."""
+    most = PIECE + length - 1
+    some, size = [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, len(t) - length + 1, PIECE):
+            piece = t[at : at + most]
+            if some and size + len(piece) > most:
+                yield some
+                some, size = [], 0
+            some.append((i, at, piece))
+            size += len(piece)
+    if some:
+        yield some
+
+
 def anchors_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """text index, gram hash, first and last start of the passage, anchor."""
-    pieces = [(i, at, t[at : at + PIECE + length - 1]) for i, t in enumerate(texts) for at in range(0, max(1, len(t) - length + 1), PIECE) if len(t) >= length]
-    if not pieces:
-        return (np.empty(0, np.int64),) * 5
+    found = [_anchors(pieces, length, gram) for pieces in pieces_of(texts, length)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 5
+
+
+def _anchors(pieces: list[tuple[int, int, bytes]], length: int, gram: int) -> tuple[np.ndarray, ...]:
     flat = np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8)
     sizes = np.array([len(p) for _, _, p in pieces])
     begin = np.cumsum(sizes) - sizes
     h = gram_hashes(flat, gram)
     window = length - gram + 1
     # least key in each window: upper bits of the hash, then the later place
+    if len(h) > int(_POSITION) + 1:
+        raise ValueError(f"{len(h)} places do not fit the key")
     key = (h & ~_POSITION) | (_POSITION - np.arange(len(h), dtype=np.uint64))
     n = len(h) - window + 1
     blocks = -(-len(h) // window)
