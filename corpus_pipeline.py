@@ -26,10 +26,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of least doc_id of each group of linked fingerprints.
 
-    Documents without a word stay, as they are no copies of a text.
+    Documents without a word have fingerprint zero and are a group like any other.
     """
     classes = simhash.near_duplicates(docs)
-    gone = classes.where("doc_id <> component_id AND fp <> 0").select("doc_id")
+    gone = classes.where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

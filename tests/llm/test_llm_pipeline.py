@@ -37,3 +37,14 @@ def test_stages(spark, tmp_path):
     assert passage in third[41]["text"] and passage not in third[43]["text"] and third[43]["n_chars"] == len(third[43]["text"])
     assert all(r["round_trip"] for r in kept["sentencepiece"].values())
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids[4]
+
+
+def near_copies_kept(spark, path, rows):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.coalesce(1).write.parquet(path)
+    return [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, spark.read.parquet(path), "").collect()]
+
+
+def test_blank_texts_are_copies(spark, tmp_path):
+    got = near_copies_kept(spark, str(tmp_path / "docs"), [(4, ""), (2, None), (9, "one text of words"), (7, " \n "), (3, None), (5, "another one, not at all alike")])
+    assert sorted(got) == [(2, None), (5, "another one, not at all alike"), (9, "one text of words")]
