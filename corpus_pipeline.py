@@ -24,13 +24,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least doc_id of each group of linked fingerprints.
+    """Keep the row of least doc_id of each group of linked fingerprints.
 
     Documents without a word have fingerprint zero and are a group like any other.
+    Rows are told apart by an internal id, not by doc_id: exactly one row of a
+    group stays.  A null doc_id comes after all others; of equal ones the first
+    row stays.
     """
-    classes = simhash.near_duplicates(docs)
-    gone = classes.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    keyed = docs.withColumn("rid", F.monotonically_increasing_id())  # docs is a plain scan of files
+    classes = simhash.near_duplicates(keyed.select("text", F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "rid").alias("who")), "who")
+    gone = classes.where("doc_id.rid <> component_id.rid").select("doc_id.rid")
+    return keyed.join(gone, "rid", "left_anti").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,11 @@ def near_copies_kept(spark, path, rows):
 def test_blank_texts_are_copies(spark, tmp_path):
     got = near_copies_kept(spark, str(tmp_path / "docs"), [(4, ""), (2, None), (9, "one text of words"), (7, " \n "), (3, None), (5, "another one, not at all alike")])
     assert sorted(got) == [(2, None), (5, "another one, not at all alike"), (9, "one text of words")]
+
+
+def test_copies_go_by_row(spark, tmp_path):
+    one, two, three = "one text of words", "another one, not at all alike", "a third text that has its own words"
+    rows = [(None, one), (5, one), (None, one), (8, two), (8, two), (3, two[::-1]), (None, three), (None, three), (6, "the clean text of a shared number"), (6, one)]
+    got = near_copies_kept(spark, str(tmp_path / "docs"), rows)
+    clean = {(5, one), (8, two), (3, two[::-1]), (None, three), (6, "the clean text of a shared number")}
+    assert set(got) == clean and len(got) == len(clean)
