@@ -204,6 +204,49 @@ def test_leak_edges(spark):
     assert decontamination.find_leaks(docs, bench.limit(0), ["doc_id"]).where(F.size("leaks") > 0).count() == 0
 
 
+def test_windows_equal_alignment():
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=rnd.randrange(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, decontamination.normal(prose(n))) for i, n in enumerate((60, 70))]
+    index = decontamination.Items(items, window=60, step=20)
+    met = 0
+    for _ in range(60):
+        k = rnd.randrange(len(items))
+        at = rnd.randrange(len(items[k][1]) - 70)
+        s = list(items[k][1][at : at + rnd.choice([62, 79, 120])])
+        for _ in range(rnd.randrange(0, 6)):
+            p = rnd.randrange(len(s))
+            s[p : p + rnd.randrange(2)] = rnd.choice(["", "x", "yz"])
+        text = decontamination.normal(prose(5) + " " + "".join(s) + " " + prose(5))
+        size = len(items[k][1])
+        least = min(edits(items[k][1][a : a + 60], text) for a in {*range(0, size - 60, 20), size - 60})
+        met += least <= 3
+        assert dict(decontamination.leaks([text], index)[0]).get(k) == (least if least <= 3 else None)
+    assert 10 < met < 60
+
+
+def test_partial_leaks(spark):
+    item = "Seven tall ships left the grey harbour at dawn, and none of the many people who waved from the old stone pier that day would ever see them again; so the keeper wrote it down."
+    short, tiny = "An honest clerk seldom forgets the ledger he keeps beside the window of his room", "Who was the third king?"
+    bench = spark.createDataFrame([(1, item), (2, short), (3, tiny), (4, "a forty letter item of words and numbers")], "item_id bigint, text string")
+    texts = {
+        "excerpt": ("x " + item[40:125] + " y", [1]),
+        "cut": ("so it began. " + item[:100], [1]),
+        "word": ("then: " + short.replace("forgets", "misremembers") + " z", [2]),
+        "missing": ("then: " + short.replace("seldom ", "") + " z", [2]),
+        "first": (short.replace("An", "Another"), [2]),
+        "two words": (short.replace("forgets", "misremembers").replace("window", "fireplace") + " z", []),
+        "tiny": ("He asked: who was the  third king", [3]),
+        "inside a word": ("who was the third kingdom", []),
+        "half": ("a forty letter item of", []),
+        "clean": ("Nothing of the kind is written in this text, which talks about the weather.", []),
+    }
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id string, text string")
+    got = {r.doc_id: [x.item_id for x in r.leaks] for r in decontamination.find_leaks(docs, bench, ["doc_id"]).collect()}
+    assert got == {k: ids for k, (_, ids) in texts.items()}
+
+
 # --- tokens ---------------------------------------------------------------------
 
 

@@ -10,12 +10,20 @@ one band holds them all; bands with fewer shared grams than the bound can't
 hold a leak.  The others are verified by a banded alignment that is free at
 both ends of the text.
 
+Three more rules find less than a whole item.  Every ``STEP``-th window of
+``WINDOW`` characters of a longer item (and its last one) is held to the same
+bounds as an item, so an excerpt of ``WINDOW + STEP - 1`` characters always
+leaks.  In items too short for a window beside a changed word, one word may be
+another or missing.  Items under ``MIN_CHARS`` characters must be there word
+for word.
+
 The benchmark's size is measured first: items are sent to the executors in
 blocks of ``BLOCK_CHARS`` characters at most, every block against all texts.
 
 Defined results: null and empty texts leak nothing; items that are null or
-have fewer than ``MIN_CHARS`` characters when normalised identify no text and
-are ignored; items of equal normalised text count as the one of least item_id;
+have no letter or digit identify no text and are ignored; edits are those of
+the whole item where it leaks as such, else of its nearest window, else of the
+item with the changed word; items of equal normalised text count as the one of least item_id;
 an empty benchmark flags nothing.
 """
 
@@ -32,6 +40,7 @@ from pyspark.sql import functions as F
 from tracewright.llm.rows import slices
 
 Q, RATE, MIN_CHARS = 12, 0.05, 30
+WINDOW, STEP = 60, 20
 BLOCK_CHARS = 16_000_000
 _BITS = 22
 _OTHER = re.compile(r"[\W_]+")
@@ -63,16 +72,38 @@ def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
 
 
 class Items:
-    """The benchmark with an index of its grams."""
+    """The benchmark with an index of its grams.
+
+    With ``window`` its units are the items, then the windows of longer ones.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, rate: float = RATE):
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, rate: float = RATE, window: int = 0, step: int = STEP):
         self.q = q
         self.ids = [i for i, _ in items]
         self.text = [t for _, t in items]
         self.codes = [points(t) for t in self.text]
         size = np.array([len(c) for c in self.codes], np.int64)
+        self.window, self.step = window, step
+        self.windows = np.where(size > window, -(-(size - window) // step) + 1, 0) if window else np.zeros(len(size), np.int64)
+        self.base = len(size) + np.cumsum(self.windows) - self.windows  # an item's first window
+        owner = np.repeat(np.arange(len(size)), self.windows)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(self.windows) - self.windows, self.windows)
+        self.item = np.concatenate([np.arange(len(size)), owner])
+        self.start = np.concatenate([np.zeros(len(size), np.int64), np.minimum(nth * step, size[owner] - window)])
+        self.whole = size
+        size = np.concatenate([size, np.full(len(owner), window, np.int64)])
+        self.size = size
         self.budget = np.minimum(np.floor(rate * size).astype(np.int64), (size - q) // q)  # so that the bound is 1 at least
         self.bound = size - q + 1 - q * self.budget
+        self.least = self.bound[: len(items)].copy()
+        np.minimum.at(self.least, owner, self.bound[len(items) :])
+        # a changed word of w characters leaves all but w + 2q - 2 grams (the rest beside a window's length holds one)
+        self.one_word = np.zeros(len(items), np.int64)
+        if window:
+            longest = np.array([max(map(len, t.split(" ")), default=0) for t in self.text], np.int64)
+            near = self.whole < 2 * (window + step) + longest
+            self.one_word[near] = np.maximum(1, self.whole - longest - 2 * q + 2)[near]
+            self.least = np.where(near, np.minimum(self.least, self.one_word), self.least)
         hashes = [grams(c, q) for c in self.codes]
         every = np.concatenate([*hashes, np.empty(0, np.uint64)])
         owner = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
@@ -105,9 +136,82 @@ def banded_edits(item: np.ndarray, text: np.ndarray, low: int, high: int, budget
     return int(cost.min())
 
 
+def changed_word(item: str, text: str) -> int | None:
+    """Edits of a stretch of the text that is the item but for one word, another or missing."""
+    words = item.split(" ")
+    if " ".join(words[: len(words) // 2]) not in text and " ".join(words[len(words) // 2 :]) not in text:
+        return None  # one half at least is unchanged
+    best = None
+    for i in range(len(words)):
+        left, right = " ".join(words[:i]), " ".join(words[i + 1 :])
+        key = left or right
+        at = text.find(key) if key else -1
+        while at >= 0:
+            end = at + len(key)
+            after = end
+            if left and right:
+                rest = text[end : end + 1] == " "
+                space = text.find(" ", end + 1)
+                rest = rest and (text.startswith(right, end + 1) or (space > 0 and text.startswith(right, space + 1)))
+                after = (space if space > 0 else end) + len(right) + 1
+            else:
+                rest = True
+            if rest:
+                a = max(0, at - len(words[0]) - 40)
+                stretch = points(text[a : after + len(words[-1]) + 40])
+                edits = banded_edits(points(item), stretch, -len(item), len(stretch), len(item))
+                best = edits if best is None else min(best, edits)
+                break
+            at = text.find(key, at + 1)
+    return best
+
+
+class Short:
+    """Items that are too short for edits, by their length."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.of: dict[int, tuple[np.ndarray, dict[str, int]]] = {}
+        for n in sorted({len(t) for _, t in items}):
+            same = {t: i for i, t in items if len(t) == n}
+            self.of[n] = np.unique(np.concatenate([grams(points(t), n) for t in same])), same
+
+    def found(self, texts: list[str | None]) -> list[list[tuple[int, int]]]:
+        """For each text the (item id, 0) of the items that are in it as whole words."""
+        out: list[set[int]] = [set() for _ in texts]
+        plain = [normal(t) for t in texts] if self.of else []
+        joined = "\x00".join(plain)
+        codes = points(joined)
+        begin = np.cumsum([0, *(len(t) + 1 for t in plain)])
+        edge = lambda c, inner: c in " \x00" or inner >= "\u2e80"  # noqa: E731  (scripts without spaces have no edges of words)
+        for n, (hashes, same) in self.of.items():
+            for at in np.flatnonzero(np.isin(grams(codes, n), hashes)).tolist():
+                t = joined[at : at + n]
+                if t in same and (at == 0 or edge(joined[at - 1], t[0])) and (at + n == len(joined) or edge(joined[at + n], t[-1])):
+                    out[int(np.searchsorted(begin, at, side="right")) - 1].add(same[t])
+        return [[(i, 0) for i in sorted(x)] for x in out]
+
+
+def units(items: Items, item: np.ndarray, place: np.ndarray, diagonal: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The shared grams of items as those of the units that hold them: unit, place in it, diagonal."""
+    able = total[item] >= items.bound[item]
+    out = [(item[able], place[able], diagonal[able])]
+    held = items.windows[item] > 0
+    item, place, diagonal = item[held], place[held], diagonal[held]
+    reach, last = items.window - items.q, items.windows[item] - 1
+    for back in range(reach // items.step + 1):
+        nth = place // items.step - back
+        ok = (nth >= 0) & (nth < last) & (place - nth * items.step <= reach)
+        out.append((items.base[item[ok]] + nth[ok], place[ok], diagonal[ok]))
+    ok = place >= items.whole[item] - items.window
+    out.append((items.base[item[ok]] + last[ok], place[ok], diagonal[ok]))
+    unit, place, diagonal = (np.concatenate(x) for x in zip(*out, strict=True))
+    return unit, place - items.start[unit], diagonal + items.start[unit]
+
+
 def leaks(texts: list[str | None], items: Items) -> list[list[tuple[int, int]]]:
     """For each text the (item id, edits) of the items that leak into it."""
     found: list[dict[int, int]] = [{} for _ in texts]
+    n_items = len(items.ids)
     if not items.ids:
         return [[] for _ in texts]
     plain = [normal(t) for t in texts]
@@ -126,10 +230,13 @@ def leaks(texts: list[str | None], items: Items) -> list[list[tuple[int, int]]]:
         n = items.count[which]
         entry = np.repeat(items.first[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         item, place = items.owner[entry], items.place[entry]
-        enough = np.bincount(item, minlength=len(items.ids))[item] >= items.bound[item]  # fewer in the whole text can't do
+        total = np.bincount(item, minlength=n_items)
+        enough = total[item] >= items.least[item]  # fewer in the whole text can't do
         if not enough.any():
             continue
         item, place, diagonal = item[enough], place[enough], np.repeat(where, n)[enough] - place[enough]
+        if items.window:
+            item, place, diagonal = units(items, item, place, diagonal, total)
         step = items.budget[item] + 1
         band = diagonal // step
         also = diagonal - (band - 1) * step < 2 * items.budget[item] + 1
@@ -138,18 +245,25 @@ def leaks(texts: list[str | None], items: Items) -> list[list[tuple[int, int]]]:
         new = np.ones(len(rows), bool)
         new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
         rows = rows[new]  # each place of the item counts once in a band
-        head = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
+        head = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])[: len(rows)])
         shared = np.diff(np.append(head, len(rows)))
+        part: dict[int, int] = {}
         for i, b in rows[head[shared >= items.bound[rows[head, 0]]], :2].tolist():
-            e, m = int(items.budget[i]), len(items.codes[i])
-            if found[k].get(i) == 0:
+            e, m, of = int(items.budget[i]), int(items.size[i]), int(items.item[i])
+            if found[k].get(i) == 0 or (i >= n_items and (of in found[k] or part.get(of) == 0)):  # an item comes before its windows
                 continue
             low, high = b * (e + 1) - e, b * (e + 1) + 3 * e
             a, z = max(0, low), min(int(sizes[k]), high + m + e)
             stretch = plain[k][a:z]
-            edits = 0 if items.text[i] in stretch else banded_edits(items.codes[i], codes[begin[k] + a : begin[k] + z], low - a, high - a, e)
+            own = slice(int(items.start[i]), int(items.start[i]) + m)
+            edits = 0 if items.text[of][own] in stretch else banded_edits(items.codes[of][own], codes[begin[k] + a : begin[k] + z], low - a, high - a, e)
             if edits <= e:
-                found[k][i] = min(edits, found[k].get(i, edits))
+                to = found[k] if i < n_items else part
+                to[of] = min(edits, to.get(of, edits))
+        found[k] = part | found[k]
+        for i in np.flatnonzero((items.one_word > 0) & (total >= np.maximum(1, items.one_word))).tolist():
+            if i not in found[k] and (edits := changed_word(items.text[i], plain[k])) is not None:
+                found[k][i] = edits
     return [sorted((items.ids[i], k) for i, k in f.items()) for f in found]
 
 
@@ -163,25 +277,28 @@ def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "tex
         best: dict[str, int] = {}
         for r in part.collect():  # block_chars characters, about
             t = normal(r["t"])
-            if len(t) >= MIN_CHARS:
+            if t:
                 i = -1 if r["i"] is None else r["i"]
                 best[t] = min(i, best.get(t, i))
         yield sorted((i, t) for t, i in best.items())
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", q: int = Q, rate: float = RATE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", q: int = Q, rate: float = RATE, window: int = WINDOW, step: int = STEP) -> DataFrame:
     """``keep`` columns and ``leaks`` array<struct<item_id, edits>>."""
     spark = docs.sparkSession
     sent = [spark.sparkContext.broadcast(block) for block in item_blocks(benchmark)]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = [Items(s.value, q, rate) for s in sent] if len(sent) == 1 else None
+        def indexed(block: list[tuple[int, str]]) -> tuple[Items, Short]:
+            return Items([x for x in block if len(x[1]) >= MIN_CHARS], q, rate, window, step), Short([x for x in block if len(x[1]) < MIN_CHARS])
+
+        index = [indexed(s.value) for s in sent] if len(sent) == 1 else None
         for b in slices(batches, text, 2 << 20):
             texts = b.column(text).to_pylist()
             out: list[list[tuple[int, int]]] = [[] for _ in texts]
-            for items in index or (Items(s.value, q, rate) for s in sent):
-                out = [x + y for x, y in zip(out, leaks(texts, items), strict=True)]
+            for items, short in index or (indexed(s.value) for s in sent):
+                out = [x + y + z for x, y, z in zip(out, leaks(texts, items), short.found(texts), strict=True)]
             found = pa.array([[{"item_id": i, "edits": k} for i, k in sorted(x)] for x in out], pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64())])))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), found], names=[*keep, "leaks"])
 
