@@ -34,6 +34,18 @@ def test_word_boundary_and_framework_rules(spark):
     assert {r.code for r in flask.where("rule IS NOT NULL").collect()} == {"send_file(p)"}
 
 
+def test_catalogue_is_full(spark):
+    base = [r for r in rules.CATALOGUE[:357] if r[2] is None]
+    counts = {k: sum(r[0] == k for r in base) for k in ("source", "sink", "sanitizer")}
+    assert counts == {"source": 68, "sink": 158, "sanitizer": 85}
+    profiles = {fw: tuple(sum(r[0] == k and r[2] == fw for r in rules.CATALOGUE[:357]) for k in counts) for fw in ("flask", "django", "fastapi", "express")}
+    assert profiles == {"flask": (8, 3, 1), "django": (7, 4, 5), "fastapi": (6, 1, 1), "express": (6, 3, 1)}
+    cat = rules.default_rules(spark)
+    rows = spark.createDataFrame([("minidom.parse(x)", "python"), ("conn.search_s(base)", "javascript"), ("res.redirect(u)", "typescript")], "code string, language string")
+    got = {r.code: r.rule.tag for r in rules.first_match(rows, cat, "code", "language", "sink").collect()}
+    assert got == {"minidom.parse(x)": "xxe", "conn.search_s(base)": "ldap_injection", "res.redirect(u)": "open_redirect"}
+
+
 def test_store_and_read_keys(spark):
     rows = spark.createDataFrame([("a.b = c.d",), ('x["k"] = 1',), ("y = x['k'] + m.n",), ("if a.b == 2:",)], "code string")
     got = {r.code: (r.s, r.r) for r in rows.select("code", graph.store_key(F.col("code")).alias("s"), graph.read_keys(F.col("code")).alias("r")).collect()}

@@ -2,7 +2,7 @@
 
 A rule row is (kind, lang_group, framework, ord, pattern, tag, severity, power,
 effective_for).  The catalogue is a parameter: any DataFrame of that shape.
-:func:`default_rules` gives a compact one.  Rule order is data (``ord``): the
+:func:`default_rules` gives the full one.  Rule order is data (``ord``): the
 first rule that matches wins.
 """
 
@@ -11,76 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.operators.catalogue import CATALOGUE
+
 RULE_SCHEMA = "kind string, lang_group string, framework string, ord int, pattern string, tag string, severity string, power double, effective_for array<string>"
 
 # Names of languages that share the rules of another.
 LANGUAGE_ALIASES = {"typescript": "javascript", "tsx": "javascript", "jsx": "javascript", "cpp": "c"}
 
-# A compact catalogue (kind, languages, framework, pattern, tag, severity, power, classes).
-_DEFAULT = [
-    ("source", "python", None, "request.args.get(", "http_param", None, None, None),
-    ("source", "python", None, "request.form.get(", "http_form", None, None, None),
-    ("source", "python", None, "request.headers.get(", "http_header", None, None, None),
-    ("source", "python", None, "request.json", "http_body", None, None, None),
-    ("source", "python", None, "input(", "user_input", None, None, None),
-    ("source", "python", None, "os.environ", "environment", None, None, None),
-    ("source", "javascript", None, "req.query", "http_param", None, None, None),
-    ("source", "javascript", None, "req.body", "http_body", None, None, None),
-    ("source", "javascript", None, "req.params", "http_param", None, None, None),
-    ("source", "java", None, "getParameter(", "http_param", None, None, None),
-    ("source", "go", None, "r.URL.Query()", "http_param", None, None, None),
-    ("source", "go", None, "r.FormValue(", "http_form", None, None, None),
-    ("source", "ruby", None, "params[", "http_param", None, None, None),
-    ("source", "c", None, "argv[", "argument", None, None, None),
-    ("source", "c", None, "gets(", "user_input", None, None, None),
-    ("source", "rust", None, "env::args(", "argument", None, None, None),
-    ("source", "bash", None, "$1", "argument", None, None, None),
-    ("sink", "python", None, "cursor.execute(", "sqli", "critical", None, None),
-    ("sink", "python", None, "db.execute(", "sqli", "critical", None, None),
-    ("sink", "python", None, "os.system(", "cmdi", "critical", None, None),
-    ("sink", "python", None, "subprocess.run(", "cmdi", "critical", None, None),
-    ("sink", "python", None, "eval(", "cmdi", "critical", None, None),
-    ("sink", "python", None, "open(", "path_traversal", "high", None, None),
-    ("sink", "python", None, "render_template_string(", "ssti", "high", None, None),
-    ("sink", "python", None, "requests.get(", "ssrf", "high", None, None),
-    ("sink", "python", None, "pickle.loads(", "deserialization", "critical", None, None),
-    ("sink", "python", None, "redirect(", "open_redirect", "medium", None, None),
-    ("sink", "python", None, "logger.info(", "log_injection", "low", None, None),
-    ("sink", "javascript", None, "db.query(", "sqli", "critical", None, None),
-    ("sink", "javascript", None, "exec(", "cmdi", "critical", None, None),
-    ("sink", "javascript", None, "eval(", "cmdi", "critical", None, None),
-    ("sink", "javascript", None, ".innerHTML", "xss", "high", None, None),
-    ("sink", "javascript", None, "res.send(", "xss", "high", None, None),
-    ("sink", "java", None, "executeQuery(", "sqli", "critical", None, None),
-    ("sink", "java", None, ".exec(", "cmdi", "critical", None, None),
-    ("sink", "go", None, "exec.Command(", "cmdi", "critical", None, None),
-    ("sink", "go", None, "db.Query(", "sqli", "critical", None, None),
-    ("sink", "ruby", None, "system(", "cmdi", "critical", None, None),
-    ("sink", "c", None, "strcpy(", "buffer_overflow", "critical", None, None),
-    ("sink", "c", None, "system(", "cmdi", "critical", None, None),
-    ("sink", "rust", None, "Command::new(", "cmdi", "critical", None, None),
-    ("sink", "bash", None, "eval ", "cmdi", "critical", None, None),
-    ("sanitizer", "python", None, "%s\",", None, None, 0.99, ["sqli"]),
-    ("sanitizer", "python", None, "shlex.quote(", None, None, 0.95, ["cmdi"]),
-    ("sanitizer", "python", None, "html.escape(", None, None, 0.90, ["xss"]),
-    ("sanitizer", "python", None, "int(", None, None, 0.95, ["sqli", "cmdi", "path_traversal", "xss"]),
-    ("sanitizer", "python", None, "os.path.basename(", None, None, 0.70, ["path_traversal"]),
-    ("sanitizer", "python", None, ".replace(", None, None, 0.15, ["sqli", "xss", "log_injection"]),
-    ("sanitizer", "javascript", None, "parseInt(", None, None, 0.95, ["sqli", "cmdi", "xss"]),
-    ("sanitizer", "javascript", None, "encodeURIComponent(", None, None, 0.80, ["xss", "open_redirect"]),
-    ("sanitizer", "java", None, "prepareStatement(", None, None, 0.99, ["sqli"]),
-    ("sanitizer", "go", None, "strconv.Atoi(", None, None, 0.95, ["sqli", "cmdi"]),
-    ("sanitizer", "c", None, "strncpy(", None, None, 0.80, ["buffer_overflow"]),
-    ("source", "*", "flask", "request.files", "http_file", None, None, None),
-    ("sink", "*", "flask", "send_file(", "path_traversal", "high", None, None),
-    ("sanitizer", "*", "flask", "escape(", None, None, 0.0, ["xss"]),
-    ("source", "*", "django", "request.GET", "http_param", None, None, None),
-    ("sink", "*", "django", ".raw(", "sqli", "critical", None, None),
-]
-
 
 def default_rules(spark: SparkSession) -> DataFrame:
-    rows = [(k, g, fw, i, p, t, s, w, e) for i, (k, g, fw, p, t, s, w, e) in enumerate(_DEFAULT)]
+    rows = [(k, g, fw, i, p, t, s, w, e) for i, (k, groups, fw, p, t, s, w, e) in enumerate(CATALOGUE) for g in groups.split()]
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
