@@ -289,6 +289,16 @@ def slow_repeats(words):
     return len({i + k for v in at.values() if len(v) > 1 for i in v for k in range(8)})
 
 
+def test_sentencepiece_parity_of_documents(spark):
+    """Ids of whole documents of every language, junk and long texts equal the reference implementation's."""
+    pytest.importorskip("public_tokenizers")
+    pytest.importorskip("sentencepiece")
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    assert len(rows) >= 200 and len({r.lang for r in rows}) >= 4 and max(len(r.text or "") for r in rows) > 10_000
+    texts = [r.text or "" for r in rows]
+    sentencepiece_codec.verify(sentencepiece_codec.default_model(), [*texts, "\n".join(texts[:100])])
+
+
 def test_measures():
     rnd = random.Random(5)
     for _ in range(60):
