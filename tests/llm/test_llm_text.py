@@ -55,6 +55,16 @@ def test_language_edges(spark):
     assert langid.training_text(documents(spark, []).drop("rid")) == {}
 
 
+def test_training_text_is_spread(spark):
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:03d}") + "x"
+    docs = spark.createDataFrame([(i, (name(i) + " ") * 800, "en") for i in range(200)], "doc_id bigint, text string, lang string")
+    learnt = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    got = langid.training_text(docs, lang_chars=20_000)["en"]
+    assert {w for w in got.decode().split() if len(w) == 4 and w[-1] == "x"} >= {name(i) for i in learnt}
+    assert 19_000 < len(got) < 20_500
+    assert [len(s) for s in langid.even([b"a" * n for n in (3, 50, 9, 50)], 40)] == [3, 14, 9, 14]
+
+
 # --- SimHash ----------------------------------------------------------------
 
 

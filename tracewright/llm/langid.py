@@ -13,8 +13,9 @@ blocks of a batch at once: an automaton becomes a table
 state x symbol -> state, with a mark where a new phrase begins.
 
 The training sample is bounded: ``per_lang`` documents for each language (the
-smallest hashes of doc_id), up to ``doc_chars`` characters of each and
-``lang_chars`` in all.  Prediction covers every whole text.
+smallest hashes of doc_id), of each a stretch of up to ``doc_chars`` characters
+at a place that its hash chooses, cut evenly so that ``lang_chars`` symbols are
+taken in all.  Prediction covers every whole text.
 
 Defined results: ``und`` with score 0 for a null text or one without letters,
 and for all texts if there is no labelled text.  Ties go to the language first
@@ -167,15 +168,24 @@ def training_text(docs: DataFrame, per_lang: int = PER_LANG, doc_chars: int = DO
     # a row is taken if its hash lies under its language's share: about twice per_lang, cut exactly below
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2 * per_lang / n))])
     unit = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-    sample = known.where(unit < share[F.col("lang")]).select("lang", unit.alias("u"), "doc_id", F.left("text", F.lit(doc_chars)).alias("text")).orderBy("u", "doc_id").limit(3 * per_lang * len(counts))
-    out: dict[str, list[bytes]] = {}
-    taken: dict[str, int] = {}
+    begin = F.floor(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(1)), 11) / F.lit(float(1 << 53)) * F.greatest(F.lit(0), F.char_length("text") - doc_chars + 1)).cast("int")
+    sample = known.where(unit < share[F.col("lang")]).select("lang", unit.alias("u"), "doc_id", F.substring("text", begin + 1, F.lit(doc_chars)).alias("text")).orderBy("u", "doc_id").limit(3 * per_lang * len(counts))
+    taken: dict[str, list[bytes]] = {}
     for r in sample.collect():
-        if taken.get(r["lang"], 0) < lang_chars:
-            s = symbols(r["text"])
-            out.setdefault(r["lang"], []).append(s)
-            taken[r["lang"]] = taken.get(r["lang"], 0) + len(s)
-    return {k: b" ".join(v) for k, v in out.items()}
+        if len(taken.setdefault(r["lang"], [])) < per_lang:
+            taken[r["lang"]].append(symbols(r["text"]))
+    return {k: b" ".join(even(v, lang_chars)) for k, v in taken.items()}
+
+
+def even(stretches: list[bytes], total: int) -> list[bytes]:
+    """The stretches cut to one greatest size, so that they have ``total`` symbols at most; characters stay whole."""
+    left, most = total, 0
+    for i, n in enumerate(sorted(map(len, stretches))):
+        most = max(1, left // (len(stretches) - i))
+        if n > most:
+            break
+        left, most = left - n, n
+    return [s[:most].decode("utf-8", "ignore").encode() for s in stretches]
 
 
 _parsers: dict[int, Parser] = {}
