@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Of a join's rows, keys that hold more than one part in so many go by broadcast.
+SHARES = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,23 +27,56 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's own folder, which goes when the driver ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+    fs, where = _hadoop(spark, folder)
+    if not fs.exists(where):
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts the lineage and survives the loss of any executor.
+    This cuts the lineage and survives the loss of any executor.  The table
+    lasts until :func:`drop_stash` or the end of the application.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def drop_stash(*tables: DataFrame | None) -> None:
+    """Delete tables made by :func:`stash` that nothing lazy reads any more."""
+    for df in tables:
+        if df is not None and getattr(df, "stash_path", None):
+            drop_path(df.sparkSession, df.stash_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a table written by :func:`stash`; missing paths are fine."""
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    """Delete a table; missing paths are fine."""
+    fs, where = _hadoop(spark, path)
+    fs.delete(where, True)
+
+
+def join_skewed(left: DataFrame, right: DataFrame, key: str, total: int, count: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and, in ``count``,
+    the number of left rows of that key (``total`` in all).
+
+    Keys with more than one part in :data:`SHARES` of the rows are fewer than
+    that many and are broadcast, so the rows of no key meet in one task.
+    """
+    hot = F.col(count) * SHARES > total
+    often, seldom = right.where(hot).drop(count), right.where(~hot).drop(count)
+    rest = left.join(F.broadcast(often.select(key)), key, "left_anti")
+    return left.join(F.broadcast(often), key).unionByName(rest.join(seldom, key, how), allowMissingColumns=True)
