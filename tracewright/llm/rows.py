@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -38,3 +39,19 @@ def map_texts(df: DataFrame, text: str, out: T.StructType, fn: Callable[[pa.Reco
             yield pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
     return df.mapInArrow(run, out)
+
+
+def spare(keep: list[str], made: Iterable[str]) -> list[str]:
+    """The columns to keep but for those that the operator makes anew."""
+    taken = {m.lower() for m in made}
+    return [c for c in keep if c.lower() not in taken]
+
+
+def unit(*columns: str | Column) -> Column:
+    """A number in [0, 1) from the hash of the columns."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
+
+
+def of_rest(doc_id: str, modulus: int, rest: int) -> Column:
+    """Whether crc32 of doc_id as text has this remainder; a null doc_id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")) % modulus == rest
