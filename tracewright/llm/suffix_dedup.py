@@ -20,13 +20,15 @@ anywhere else, in the same or another text, as UTF-8 bytes.
 4. Grams of more than ``GROUP`` passages are not brought to one task: their
    strings are counted by a 128-bit hash with partial sums instead.
 
-Rows carry an internal id.  ``stable`` promises that ``docs`` is a plain scan
-of files, whose partitions are alike each time; else it is written first.
+Rows carry an internal id that is written to a table beside their texts before
+anything else, so it stays the same whatever happens to executors or splits.
+Both joins that need the texts read one shuffle of them.
 
 Defined results: null texts count as empty, texts below ``length`` bytes are
-untouched, repeated rows are texts of their own (and so repeat), an empty table
-stays empty.  With ``keep_first`` the first occurrence of each string, by row,
-stays.
+untouched, texts of any length are searched in pieces, repeated rows (with the
+same doc_id or not) are texts of their own and so repeat, an empty table stays
+empty, columns called like the digests, ``rid`` or ``spans`` are replaced.
+With ``keep_first`` the first occurrence of each string, by row, stays.
 """
 
 from __future__ import annotations
@@ -191,7 +193,7 @@ def _data(column: pa.Array) -> list[bytes]:
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, keep_first: bool = False) -> DataFrame:
     """(rid, spans) with the merged byte ranges array<struct<start, end>> that repeat.
 
-    ``keyed``: rid, doc_id, text.
+    ``keyed``: rid, text and others, a written table.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,13 +207,13 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     found = anchors.join(grams, "h")
     hot = grams.where(F.col("n") > group).limit(1).count() > 0
     of_text = found.groupBy("rid").agg(F.collect_list(F.struct("h", "n", "lo", "more", "off")).alias("found"))  # a text's own anchors
-    located = keyed.join(of_text, "rid")
+    located = keyed.join(of_text, "rid", "left")  # all columns and all rows, as in the last join: one shuffle of the texts serves both
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 20):
             h, rid, lo, off, seg = [], [], [], [], []
             for r, data, items in zip(b.column("rid").to_pylist(), _data(b.column("text")), b.column("found").to_pylist(), strict=True):
-                for x in items:
+                for x in items or ():
                     if x["n"] <= group:
                         h.append(x["h"]), rid.append(r), lo.append(x["lo"]), off.append(x["off"])
                         seg.append(data[x["lo"] : x["lo"] + x["more"] + length])
@@ -248,7 +250,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
         def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, "text", 1 << 20):
                 for r, data, items in zip(b.column("rid").to_pylist(), _data(b.column("text")), b.column("found").to_pylist(), strict=True):
-                    at = [s for x in items if x["n"] > group for s in range(x["lo"], x["lo"] + x["more"] + 1)]
+                    at = [s for x in items or () if x["n"] > group for s in range(x["lo"], x["lo"] + x["more"] + 1)]
                     yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(data[s : s + length]) for s in at], pa.binary()), pa.array(np.full(len(at), r)), pa.array(at, pa.int64())], names=["w", "rid", "start"])
 
         every = stash(located.mapInArrow(strings, "w binary, rid bigint, start bigint"), "strings")
@@ -293,14 +295,13 @@ def kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def rewrite(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, keep_first: bool = False, stable: bool = False, group: int = GROUP) -> DataFrame:
+def rewrite(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, keep_first: bool = False, group: int = GROUP) -> DataFrame:
     """``docs`` with the text rewritten without repeated passages (characters
     stay whole), and the digests n_bytes, n_removed, n_spans, kept_sha256 of the
     exact removal of bytes.  Columns of those names are replaced."""
     digests = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     docs = docs.drop(*digests, "rid", "spans")
-    keyed = (docs if stable else stash(docs, "texts")).withColumn("rid", F.monotonically_increasing_id())
-    searched = keyed.withColumnRenamed(text, "text") if text != "text" else keyed
+    searched = stash((docs.withColumnRenamed(text, "text") if text != "text" else docs).withColumn("rid", F.monotonically_increasing_id()), "texts")
     spans = repeated_spans(searched, length, group=group, keep_first=keep_first)
     joined = searched.join(spans, "rid", "left")
     others = [c for c in searched.columns if c not in ("rid", "text")]
@@ -323,4 +324,4 @@ def rewrite(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return rewrite(docs, stable=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return rewrite(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
