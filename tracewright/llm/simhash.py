@@ -6,22 +6,24 @@ link at ``radius`` differing bits or fewer.
 
 Equal fingerprints are merged first.  The distinct ones are cut into tiles by
 the population counts of their two halves: a cell is a pair (a, b) of counts,
-and a cell with many fingerprints is cut into several tiles.  Two fingerprints
-within the radius have counts that differ by the radius at most in sum, so
-only tile pairs within it meet; each such pair is one group of a shuffle.  In
-a group, tiles are cut again into runs sorted by the counts of their bytes;
-numpy compares two runs by exclusive-or and bit counts, unless the counts'
-bounds already differ beyond the radius.  The comparison is exact.
-
-Only the histogram of the cells (33 x 33 at most) reaches the driver, and the
-list of tiles (its size over ``tile`` rows) is broadcast.  A group returns a
-spanning forest, not all pairs, so that a group of n copies yields n - 1 rows
-at most.  Components are found by alternating star contractions on written
-tables.
+and a cell with more than ``TILE`` fingerprints is cut into several tiles.  Two
+fingerprints within the radius have counts that differ by the radius at most in
+sum, so only tile pairs within it meet; each such pair is one group of a
+shuffle.  In a group, tiles are cut again into runs sorted by the counts of
+their bytes; numpy compares two runs by exclusive-or and bit counts, unless the
+counts' bounds already differ beyond the radius.  The comparison is exact.
+
+Only the histogram of the cells (33 x 33 numbers at most) reaches the driver and
+is broadcast; which tiles meet follows from it where the rows are.  A group
+returns a spanning forest, not all pairs, so that a group of n copies yields
+n - 1 rows at most.  Components are found by alternating star contractions on
+written tables, each dropped when the next one is there.  Joins on a
+fingerprint or node that holds many rows go by broadcast for those few keys.
 
 Defined results: null and empty texts have fingerprint zero and link like any
-other; repeated rows and null doc_ids are rows of their own; an empty table
-stays empty.
+other; repeated rows and null doc_ids are rows of their own (null never is the
+least doc_id unless all of a group are null); texts of any length count whole;
+other columns are ignored; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -36,11 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.rows import map_texts
-from tracewright.session import stash
+from tracewright.llm.rows import map_texts, spare
+from tracewright.session import drop_stash, join_skewed, stash
 
-RADIUS, SHINGLE, TILE, RUN = 4, 4, 16_384, 256
-_MASK = (1 << 64) - 1
+RADIUS, SHINGLE, TILE, RUN = 4, 4, 262_144, 256
+_TILE_BITS = 20
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -61,6 +63,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def add_fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns and ``fp``, the fingerprint as a signed 64-bit integer."""
+    keep = spare(keep, ["fp"])
     out = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", T.LongType())])
 
     def fn(b: pa.RecordBatch) -> dict:
@@ -136,27 +139,22 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS,
     return both[x], both[y]
 
 
-def _tile_plan(histogram: dict[tuple[int, int], int], tile: int, radius: int) -> tuple[dict[tuple[int, int], tuple[int, int]], dict[int, list[tuple[int, int]]]]:
-    """Cells -> (first tile, tiles); tile -> its (pair, side)."""
-    cells, n = {}, 0
-    for cell in sorted(histogram):
-        k = -(-histogram[cell] // tile)
-        cells[cell] = (n, k)
-        n += k
-    meets: dict[int, list[tuple[int, int]]] = {i: [] for i in range(n)}
-    for a, b in cells:
-        for da in range(0, radius + 1):
-            for db in range(-(radius - da), radius - da + 1):
-                if (da, db) < (0, 0) or (a + da, b + db) not in cells:
-                    continue
-                (s, k), (t, m) = cells[a, b], cells[a + da, b + db]
-                for i in range(s, s + k):
-                    for j in range(t, t + m):
-                        if i <= j or (da, db) != (0, 0):
-                            meets[i].append((i * n + j, 0))
-                            if i != j:
-                                meets[j].append((i * n + j, 1))
-    return cells, meets
+def tiles_in(cells: dict[tuple[int, int], int], cell: tuple[int, int], tile: int) -> int:
+    return -(-cells.get(cell, 0) // tile)
+
+
+def tile_name(a: int, b: int, nth: int) -> int:
+    return ((33 * a + b) << _TILE_BITS) | nth
+
+
+def partners(cells: dict[tuple[int, int], int], cell: tuple[int, int], tile: int, radius: int) -> list[int]:
+    """Names of all tiles that may hold a fingerprint within the radius of one in the cell."""
+    found = []
+    for da in range(-radius, radius + 1):
+        for db in range(abs(da) - radius, radius - abs(da) + 1):
+            other = (cell[0] + da, cell[1] + db)
+            found += [tile_name(*other, i) for i in range(tiles_in(cells, other, tile))]
+    return found
 
 
 def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -166,40 +164,38 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """
     half = F.lit(0xFFFFFFFF)
     counted = fps.select("fp", F.bit_count(F.col("fp").bitwiseAND(half)).alias("a"), F.bit_count(F.shiftrightunsigned("fp", 32)).alias("b"))
-    histogram = {(r["a"], r["b"]): r["n"] for r in counted.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}  # 1,089 cells at most
-    empty = fps.sparkSession.createDataFrame([], "src bigint, dst bigint")
-    if not histogram:
-        return empty
-    cells, meets = _tile_plan(histogram, tile, radius)
-    tiles = len(meets)
-    sent = fps.sparkSession.sparkContext.broadcast((cells, meets))
-    pair_schema = "pair bigint, side int, fp bigint"
+    cells = {(r["a"], r["b"]): r["n"] for r in counted.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}  # 1,089 cells at most
+    sent = fps.sparkSession.sparkContext.broadcast(cells)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, meets = sent.value
-        for b in batches:
-            fp = b.column(0).to_numpy()
-            a, c = b.column(1).to_numpy(), b.column(2).to_numpy()
-            first = np.array([cells[x][0] for x in zip(a, c, strict=True)], np.int64)
-            many = np.array([cells[x][1] for x in zip(a, c, strict=True)], np.uint64)
+        cells = sent.value
+        meet: dict[tuple[int, int], list[int]] = {}
+        for batch in batches:
+            fp = batch.column(0).to_numpy()
+            cell = 64 * batch.column(1).to_numpy().astype(np.int64) + batch.column(2).to_numpy()
             with np.errstate(over="ignore"):
                 mixed = (fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-            own = first + (mixed % many).astype(np.int64)
-            for t in np.unique(own):
-                members = fp[own == t]
-                for pair, side in meets[int(t)]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), pair)), pa.array(np.full(len(members), side, np.int32)), pa.array(members)], names=["pair", "side", "fp"])
+            for c in np.unique(cell).tolist():
+                a, b = divmod(c, 64)
+                here = fp[cell == c]
+                nth = (mixed[cell == c] % np.uint64(tiles_in(cells, (a, b), tile))).astype(np.int64)
+                if (a, b) not in meet:
+                    meet[a, b] = partners(cells, (a, b), tile, radius)
+                for i in np.unique(nth).tolist():
+                    members, own = here[nth == i], tile_name(a, b, i)
+                    for other in meet[a, b]:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), min(own, other))), pa.array(np.full(len(members), max(own, other))), pa.array(np.full(len(members), int(own > other), np.int32)), pa.array(members)], names=["left", "right", "side", "fp"])
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         fp = pdf["fp"].to_numpy().view(np.uint64)
         side = pdf["side"].to_numpy()
         left, right = fp[side == 0], fp[side == 1]
-        inside = pdf["pair"].iloc[0] % (tiles + 1) == 0  # pair i * tiles + i: a tile with itself
+        inside = pdf["left"].iloc[0] == pdf["right"].iloc[0]  # a tile with itself
         x, y = tile_links(left, None if inside else right, radius) if len(left) and (inside or len(right)) else (left[:0], left[:0])
         return pd.DataFrame({"src": x.view(np.int64), "dst": y.view(np.int64)})
 
-    dealt = counted.mapInArrow(deal, pair_schema)
-    return dealt.groupBy("pair").applyInPandas(compare, "src bigint, dst bigint")
+    dealt = counted.mapInArrow(deal, "left bigint, right bigint, side int, fp bigint")
+    return dealt.groupBy("left", "right").applyInPandas(compare, "src bigint, dst bigint")
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
@@ -208,37 +204,51 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     Large-star and small-star steps alternate on written tables until the
     edges no longer change.  Each step emits at most as many edges as it reads.
     """
+
     def normal(e: DataFrame) -> DataFrame:
         return e.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
 
+    def size(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+
+    def lower(e: DataFrame) -> DataFrame:
+        return e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+
     current = stash(normal(edges), name)
-    state = None
+    state = size(current)
     while True:
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = lower(both).select("u", F.least("u", "m").alias("m"), "n")
         # large star: neighbours above a node move to the least of its neighbourhood
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("src"), F.col("m").alias("dst"))
-        large = normal(large)
+        large = join_skewed(both.where("v > u"), low, "u", 2 * state[0], "n").select(F.col("v").alias("src"), F.col("m").alias("dst"))
+        large = stash(normal(large), name)
         # small star: a node's lower neighbours and itself move to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("src"), F.col("m").alias("dst")).unionByName(least.select(F.col("u").alias("src"), F.col("m").alias("dst")))
-        current = stash(normal(small), name)
-        row = current.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        if state == (row["n"], row["h"]):
+        least = lower(large)
+        moved = join_skewed(large, least, "u", state[0], "n").select(F.col("v").alias("src"), F.col("m").alias("dst"))
+        after = stash(normal(moved.unionByName(least.select(F.col("u").alias("src"), F.col("m").alias("dst")))), name)
+        drop_stash(current, large)
+        current, before, state = after, state, size(after)
+        if state == before:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = (row["n"], row["h"])
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the least doc_id reachable)."""
-    fps = stash(add_fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), ["doc_id"]), "fingerprints")
-    distinct = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+def grouped(fps: DataFrame, doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """``fps`` (a written table with ``fp``) with component_id, the least doc_id reachable."""
+    distinct = stash(fps.groupBy("fp").agg(F.min(doc_id).alias("low"), F.count(F.lit(1)).alias("n")), "distinct")
+    total, kinds = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     stars = components(links(distinct.select("fp"), radius))
     roots = stars.select(F.col("node").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct())
-    member = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = stash(member.join(lowest, "root").select("fp", "component_id"), "classes")
-    return fps.join(classes, "fp")
+    member = stash(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "members")
+    lowest = member.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("_members"))
+    classes = stash(join_skewed(member, lowest, "root", kinds, "_members").select("fp", "component_id", F.col("n").alias("_copies")), "classes")
+    drop_stash(distinct, member)
+    return join_skewed(fps, classes, "fp", total, "_copies")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the least doc_id reachable)."""
+    named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return grouped(stash(add_fingerprints(named, ["doc_id"]), "fingerprints"), radius=radius)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
