@@ -12,32 +12,45 @@ characters that aren't letters is one space.  Phrases end at every
 blocks of a batch at once: an automaton becomes a table
 state x symbol -> state, with a mark where a new phrase begins.
 
-The training sample is bounded: ``per_lang`` documents for each language (the
-smallest hashes of doc_id), of each a stretch of up to ``doc_chars`` characters
-at a place that its hash chooses, cut evenly so that ``lang_chars`` symbols are
-taken in all.  Prediction covers every whole text.
-
-Defined results: ``und`` with score 0 for a null text or one without letters,
-and for all texts if there is no labelled text.  Ties go to the language first
-in alphabetical order.
+The training sample is bounded in its number of rows: every labelled text is
+cut into stretches of ``STRETCH`` characters from its first to its last, and of
+all stretches of a language those with the ``per_lang`` smallest hashes are
+taken, so every part of every text may be drawn.  Prediction covers every whole
+text.
+
+Defined results: ``und`` with score 0 for a null text or one without letters
+(Unicode category L), and for all texts if there is no labelled text.  Ties go
+to the language first in alphabetical order.  Repeated rows are predicted each;
+texts of any length are walked block by block.  Kept columns called like the
+results are replaced.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterable
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.rows import map_texts
+from tracewright.llm.rows import map_texts, of_rest, spare, unit
 
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+def _numerals() -> str:
+    """Ranges of characters that a pattern's ``\\w`` takes in but that are no letters."""
+    found = [i for i in range(sys.maxunicode + 1) if chr(i).isalnum() and not chr(i).isalpha()]
+    runs = [[x for _, x in g] for _, g in groupby(enumerate(found), lambda p: p[1] - p[0])]
+    return "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in runs)
+
+
+NOT_LETTERS = re.compile(rf"[\W_{_numerals()}]+")
 BLOCK = 512
-PER_LANG, DOC_CHARS, LANG_CHARS = 400, 2000, 50_000
+PER_LANG, STRETCH = 100, 512
 _FLAG = np.uint32(1 << 31)
 
 
@@ -156,36 +169,26 @@ class Parser:
         return lang, [float(min(1.0, max(0.0, s))) if n else 0.0 for s, n in zip(score, sizes, strict=True)]
 
 
-def training_text(docs: DataFrame, per_lang: int = PER_LANG, doc_chars: int = DOC_CHARS, lang_chars: int = LANG_CHARS) -> dict[str, bytes]:
+def training_text(docs: DataFrame, per_lang: int = PER_LANG, stretch: int = STRETCH) -> dict[str, bytes]:
     """A bounded sample of labelled text for each language.
 
     Learns from rows with a language whose crc32(doc_id) mod 5 is not 0.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 0)).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~of_rest("doc_id", 5, 0)).select("lang", "text", F.xxhash64("doc_id", "text").alias("k"), F.ceil(F.char_length("text") / stretch).cast("int").alias("n"))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0").collect()}  # a row for each language
     if not counts:
         return {}
-    # a row is taken if its hash lies under its language's share: about twice per_lang, cut exactly below
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2 * per_lang / n))])
-    unit = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-    begin = F.floor(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(1)), 11) / F.lit(float(1 << 53)) * F.greatest(F.lit(0), F.char_length("text") - doc_chars + 1)).cast("int")
-    sample = known.where(unit < share[F.col("lang")]).select("lang", unit.alias("u"), "doc_id", F.substring("text", begin + 1, F.lit(doc_chars)).alias("text")).orderBy("u", "doc_id").limit(3 * per_lang * len(counts))
+    # a stretch is drawn if its hash lies under its language's share: about twice per_lang, cut exactly below
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2 * per_lang / n))])[F.col("lang")]
+    drawn = F.filter(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(unit(F.col("k"), i).alias("u"), i.alias("i"))), lambda x: x["u"] < F.col("share"))
+    rows = known.where("n > 0").withColumn("share", share).select("lang", "k", F.explode(drawn).alias("d"), "text").select("lang", "d.u", "k", "d.i", F.substring("text", F.col("d.i") * stretch + 1, F.lit(stretch)).alias("text"))
+    # copies draw the same stretches: one of each counts
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "k", "i"))
+    sample = rows.groupBy("lang", "u", "k", "i").agg(F.min("text").alias("text")).withColumn("r", rank).where(F.col("r") <= per_lang).orderBy("lang", "r")
     taken: dict[str, list[bytes]] = {}
-    for r in sample.collect():
-        if len(taken.setdefault(r["lang"], [])) < per_lang:
-            taken[r["lang"]].append(symbols(r["text"]))
-    return {k: b" ".join(even(v, lang_chars)) for k, v in taken.items()}
-
-
-def even(stretches: list[bytes], total: int) -> list[bytes]:
-    """The stretches cut to one greatest size, so that they have ``total`` symbols at most; characters stay whole."""
-    left, most = total, 0
-    for i, n in enumerate(sorted(map(len, stretches))):
-        most = max(1, left // (len(stretches) - i))
-        if n > most:
-            break
-        left, most = left - n, n
-    return [s[:most].decode("utf-8", "ignore").encode() for s in stretches]
+    for r in sample.collect():  # per_lang stretches a language
+        taken.setdefault(r["lang"], []).append(symbols(r["text"]))
+    return {k: b" ".join(x for x in v if x) for k, v in taken.items()}
 
 
 _parsers: dict[int, Parser] = {}
@@ -193,7 +196,8 @@ _parsers: dict[int, Parser] = {}
 
 def identify(docs: DataFrame, samples: dict[str, bytes], keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns of ``docs`` with ``lang_pred`` and ``score``."""
-    sent = docs.sparkSession.sparkContext.broadcast(samples)  # lang_chars a language
+    sent = docs.sparkSession.sparkContext.broadcast(samples)  # per_lang stretches a language
+    keep = spare(keep, ["lang_pred", "score"])
     out = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     key = hash(tuple(sorted(samples.items())))
 
@@ -209,5 +213,5 @@ def identify(docs: DataFrame, samples: dict[str, bytes], keep: list[str], text:
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    held = F.col("doc_id").isNotNull() & of_rest("doc_id", 5, 0)
     return identify(docs, training_text(docs), ["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score")
