@@ -1,14 +1,19 @@
 """Quality rules as a short-circuit cascade.
 
-Every whole text is measured once (:func:`measure`).  The rules of a cascade
-decide in order and stop at the first that rejects.  Their order is found on a
-bounded sample (``SAMPLE`` documents with the smallest hash of doc_id): each
-rule's time and rejections are measured and rules run by rejections per cost,
-highest first.  The verdict is that of all rules together, so the order
-changes the time a document takes, never the result.
-
-Words are ``[^\\x20\\x09-\\x0D]+``.  Null texts count as empty: no word, base
-failed, not kept.  Rules use exact integer comparisons.
+A text's measures are made when a rule or the caller first asks for them.  The
+rules of a cascade decide in order and stop at the first that rejects.  Their
+order is found on a sample of about ``SAMPLE`` rows, drawn row by row and
+measured where they lie: each rule's time, with the measures it pulls, and its
+rejections are summed, and rules run by rejections per cost, highest first.
+The verdict is that of all rules together, so the order (and the sample, which
+may differ from run to run) changes the time a document takes, never the result.
+
+Words are ``[^\\x20\\x09-\\x0D]+``.  Rules use exact integer comparisons.
+
+Defined results: null and empty texts have no word, fail the base rules and
+are not kept; repeated rows are judged each; whole texts count whatever their
+length; kept columns called like the measures are replaced; an empty table
+gives an empty one, its rules in the order they are written.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.rows import map_texts
+from tracewright.llm.rows import map_texts, slices, spare
 
 SPACE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 WINDOW, SAMPLE = 8, 500
@@ -53,52 +59,83 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
 
 
 class Text:
-    """A text with its measures; what rules need beyond them is made on demand."""
+    """A text whose measures are made on demand, each once."""
 
     def __init__(self, text: str | None):
-        text = text or ""
-        self.data = text.encode("utf-8", "replace")
-        self.words = self.data.split()
-        self.n_words = len(self.words)
-        blank = len(self.data) - len(self.data.translate(None, SPACE))
-        self.word_chars = len(text) - blank
-        self.n_symbols = len(self.data) - len(self.data.translate(None, SYMBOLS))
-        lines = [x for x in self.data.split(b"\n") if x.strip(SPACE)]
-        self.n_lines, self.n_dup_lines = len(lines), len(lines) - len(set(lines))
-        self.n_repeat_words = repeated_words(self.words)
-        self.base_failed = self.n_words < 20 or 100 * self.n_repeat_words > 30 * self.n_words
+        self.text = text or ""
 
+    @cached_property
+    def data(self) -> bytes:
+        return self.text.encode("utf-8", "replace")
 
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.data.split()
+
+    @cached_property
+    def n_words(self) -> int:
+        return len(self.words)
+
+    @cached_property
+    def word_chars(self) -> int:
+        return len(self.text) - (len(self.data) - len(self.data.translate(None, SPACE)))
+
+    @cached_property
+    def n_symbols(self) -> int:
+        return len(self.data) - len(self.data.translate(None, SYMBOLS))
+
+    @cached_property
+    def lines(self) -> list[bytes]:
+        return [x for x in self.data.split(b"\n") if x.strip(SPACE)]
+
+    @cached_property
+    def n_dup_lines(self) -> int:
+        return len(self.lines) - len(set(self.lines))
+
+    @cached_property
+    def n_repeat_words(self) -> int:
+        return repeated_words(self.words)
+
+    @cached_property
+    def base_failed(self) -> bool:
+        return self.n_words < 20 or 100 * self.n_repeat_words > 30 * self.n_words
+
+
+Rules = dict[str, Callable[[Text], bool]]
 #: Rules of the default cascade: name, and whether it rejects a text.
-RULES: dict[str, Callable[[Text], bool]] = {
+RULES: Rules = {
+    "base": lambda t: t.base_failed,
     "symbols": lambda t: 10 * t.n_symbols > t.n_words,
     "word_length": lambda t: t.word_chars < 2 * t.n_words or t.word_chars > 15 * t.n_words,
-    "dup_lines": lambda t: 10 * t.n_dup_lines > 3 * t.n_lines,
+    "dup_lines": lambda t: 10 * t.n_dup_lines > 3 * len(t.lines),
     "wordlike": lambda t: 10 * sum(1 for w in t.words if _LETTER.search(w)) < 7 * t.n_words,
     "shouting": lambda t: 2 * len(t.data.translate(None, _KEEP_UPPER)) > len(t.data.translate(None, _KEEP_ALPHA)),
 }
+MEASURES = {"n_words": T.LongType(), "word_chars": T.LongType(), "n_symbols": T.LongType(), "n_dup_lines": T.LongType(), "n_repeat_words": T.LongType(), "base_failed": T.BooleanType()}
 
 
-def estimate(docs: DataFrame, rules: dict[str, Callable[[Text], bool]], text: str = "text", sample: int = SAMPLE) -> list[tuple[str, float, float]]:
-    """(rule, seconds a text, share rejected) on a bounded sample."""
+def estimate(docs: DataFrame, rules: Rules, text: str = "text", sample: int = SAMPLE) -> list[tuple[str, float, float]]:
+    """(rule, seconds a text, share rejected) on a bounded sample of rows."""
+    n = docs.count()
+    share = min(1.0, sample / n) if n else 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent, rejected, n = dict.fromkeys(rules, 0.0), dict.fromkeys(rules, 0), 0
-        for b in batches:
+        spent, rejected, seen = dict.fromkeys(rules, 0.0), dict.fromkeys(rules, 0), 0
+        for b in slices(batches, text):
             for s in b.column(0).to_pylist():
-                t = Text(s)
-                if t.base_failed:
-                    continue
-                n += 1
+                seen += 1
                 for name, rule in rules.items():
+                    t = Text(s)  # anew, so that a rule pays for the measures it pulls
                     began = time.perf_counter()
                     rejected[name] += bool(rule(t))
                     spent[name] += time.perf_counter() - began
-        yield pa.RecordBatch.from_arrays([pa.array(list(rules)), pa.array([spent[k] / max(n, 1) for k in rules]), pa.array([rejected[k] / max(n, 1) for k in rules])], names=["rule", "cost", "share"])
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(list(rules)), pa.array(list(spent.values())), pa.array(list(rejected.values())), pa.array([seen] * len(rules))], names=["rule", "cost", "rejected", "n"])
 
-    some = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(text)
-    found = some.mapInArrow(run, "rule string, cost double, share double").collect()  # a row a rule and task
-    return [(r["rule"], r["cost"], r["share"]) for r in found]
+    found = docs.sample(share, seed=7).select(text).mapInArrow(run, "rule string, cost double, rejected bigint, n bigint")  # rows stay where they lie
+    sums = found.groupBy("rule").agg(F.sum("cost").alias("cost"), F.sum("rejected").alias("rejected"), F.sum("n").alias("n")).collect()  # a row a rule
+    of = {r["rule"]: r for r in sums}
+    return [(k, of[k]["cost"] / of[k]["n"], of[k]["rejected"] / of[k]["n"]) for k in rules if k in of]
 
 
 def order_rules(estimates: list[tuple[str, float, float]]) -> list[str]:
@@ -106,25 +143,25 @@ def order_rules(estimates: list[tuple[str, float, float]]) -> list[str]:
     return [name for name, _, _ in sorted(estimates, key=lambda x: (-x[2] / max(x[1], 1e-9), x[1], x[0]))]
 
 
-def apply_rules(docs: DataFrame, order: list[str], keep: list[str], rules: dict[str, Callable[[Text], bool]] | None = None, text: str = "text") -> DataFrame:
-    """``keep`` columns with the measures, ``base_failed`` and ``kept``."""
+def apply_rules(docs: DataFrame, order: list[str], keep: list[str], rules: Rules | None = None, text: str = "text", measures: list[str] | None = None) -> DataFrame:
+    """``keep`` columns with ``kept`` and the ``measures`` asked for (none by default)."""
     rules = rules or RULES
-    cascade = [rules[k] for k in order] or list(rules.values())
-    numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    out = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in numbers] + [T.StructField(c, T.BooleanType()) for c in ("base_failed", "kept")])
+    cascade = [rules[k] for k in order] + [rule for k, rule in rules.items() if k not in order]
+    made = measures or []
+    keep = spare(keep, [*made, "kept"])
+    out = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, MEASURES[c]) for c in made] + [T.StructField("kept", T.BooleanType())])
 
     def fn(b: pa.RecordBatch) -> dict:
         texts = [Text(s) for s in b.column(text).to_pylist()]
-        columns = {c: [getattr(t, c) for t in texts] for c in [*numbers, "base_failed"]}
-        columns["kept"] = [not t.base_failed and not any(rule(t) for rule in cascade) for t in texts]
-        return {c: b.column(c) for c in keep} | columns
+        kept = [not any(rule(t) for rule in cascade) for t in texts]
+        return {c: b.column(c) for c in keep} | {c: [getattr(t, c) for t in texts] for c in made} | {"kept": kept}
 
     return map_texts(docs.select(*dict.fromkeys([*keep, text])), text, out, fn)
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return apply_rules(docs, order_rules(estimate(docs, RULES)), ["doc_id"])
+    return apply_rules(docs, order_rules(estimate(docs, RULES)), ["doc_id"], measures=list(MEASURES))
 
 
 OP7_SQL = r"""
