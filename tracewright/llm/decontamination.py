@@ -18,30 +18,40 @@ another or missing.  Items under ``MIN_CHARS`` characters must be there word
 for word.
 
 The benchmark's size is measured first: items are sent to the executors in
-blocks of ``BLOCK_CHARS`` characters at most, every block against all texts.
-
-Defined results: null and empty texts leak nothing; items that are null or
-have no letter or digit identify no text and are ignored; edits are those of
-the whole item where it leaks as such, else of its nearest window, else of the
-item with the changed word; items of equal normalised text count as the one of least item_id;
-an empty benchmark flags nothing.
+blocks of about ``BLOCK_CHARS`` characters.  One block goes over the texts in one
+pass.  More blocks are broadcast one after the other, each in a pass of its own
+that writes the rows it hits, and the hits are joined to the texts at the end;
+a worker indexes a block once.  Shared grams are expanded ``PAIRS`` at a time, so
+memory does not grow with a text's repeats.
+
+Defined results: null and empty texts leak nothing, texts of any length are
+searched whole; items that are null or have no letter or digit identify no text
+and are ignored; edits are those of the whole item where it leaks as such, else
+of its nearest window, else of the item with the changed word; items of equal
+normalised text count as the one of least item_id, a null item_id is reported
+as null; repeated rows are judged each; a kept column called
+``leaks`` is replaced; an empty benchmark flags nothing.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.rows import slices
+from tracewright.llm.rows import slices, spare
+from tracewright.session import stash
 
 Q, RATE, MIN_CHARS = 12, 0.05, 30
 WINDOW, STEP = 60, 20
 BLOCK_CHARS = 16_000_000
+PAIRS = 1 << 20
+NO_ID = (1 << 63) - 1  # stands for a null item_id while items are matched
 _BITS = 22
 _OTHER = re.compile(r"[\W_]+")
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -208,6 +218,42 @@ def units(items: Items, item: np.ndarray, place: np.ndarray, diagonal: np.ndarra
     return unit, place - items.start[unit], diagonal + items.start[unit]
 
 
+def totals(items: Items, which: np.ndarray) -> np.ndarray:
+    """For each item the grams (slots, with repeats) that a text shares with it."""
+    slot, n = np.unique(which, return_counts=True)
+    times = items.count[slot]
+    entry = np.repeat(items.first[slot], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return np.bincount(items.owner[entry], np.repeat(n, times), len(items.ids)).astype(np.int64)
+
+
+def shared_places(items: Items, where: np.ndarray, which: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Distinct (unit, band, place in the unit) of the grams that a text shares with items that have enough of them."""
+    n = items.count[which]
+    cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(n) - n) // PAIRS)) + 1).tolist(), len(which)]
+    parts = []
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        k = n[a:z]
+        entry = np.repeat(items.first[which[a:z]], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        item, place = items.owner[entry], items.place[entry]
+        enough = total[item] >= items.least[item]
+        item, place, diagonal = item[enough], place[enough], np.repeat(where[a:z], k)[enough] - place[enough]
+        if items.window:
+            item, place, diagonal = units(items, item, place, diagonal, total)
+        step = items.budget[item] + 1
+        band = diagonal // step
+        also = diagonal - (band - 1) * step < 2 * items.budget[item] + 1
+        rows = np.concatenate([np.stack([item, band, place], 1), np.stack([item[also], band[also] - 1, place[also]], 1)])
+        parts.append(distinct_rows(rows))  # each place of the item counts once in a band
+    return parts[0] if len(parts) == 1 else distinct_rows(np.concatenate(parts))
+
+
+def distinct_rows(rows: np.ndarray) -> np.ndarray:
+    rows = rows[np.lexsort(rows.T[::-1])]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    return rows[new]
+
+
 def leaks(texts: list[str | None], items: Items) -> list[list[tuple[int, int]]]:
     """For each text the (item id, edits) of the items that leak into it."""
     found: list[dict[int, int]] = [{} for _ in texts]
@@ -227,24 +273,10 @@ def leaks(texts: list[str | None], items: Items) -> list[list[tuple[int, int]]]:
     cuts = np.searchsorted(at, np.stack([begin, begin + sizes]))
     for k in np.flatnonzero(cuts[0] < cuts[1]).tolist():
         where, which = at[cuts[0, k] : cuts[1, k]] - begin[k], slot[cuts[0, k] : cuts[1, k]]
-        n = items.count[which]
-        entry = np.repeat(items.first[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, place = items.owner[entry], items.place[entry]
-        total = np.bincount(item, minlength=n_items)
-        enough = total[item] >= items.least[item]  # fewer in the whole text can't do
-        if not enough.any():
+        total = totals(items, which)
+        if not (total >= items.least).any():  # fewer in the whole text can't do
             continue
-        item, place, diagonal = item[enough], place[enough], np.repeat(where, n)[enough] - place[enough]
-        if items.window:
-            item, place, diagonal = units(items, item, place, diagonal, total)
-        step = items.budget[item] + 1
-        band = diagonal // step
-        also = diagonal - (band - 1) * step < 2 * items.budget[item] + 1
-        rows = np.concatenate([np.stack([item, band, place], 1), np.stack([item[also], band[also] - 1, place[also]], 1)])
-        rows = rows[np.lexsort(rows.T[::-1])]
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-        rows = rows[new]  # each place of the item counts once in a band
+        rows = shared_places(items, where, which, total)
         head = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])[: len(rows)])
         shared = np.diff(np.append(head, len(rows)))
         part: dict[int, int] = {}
@@ -268,8 +300,8 @@ def leaks(texts: list[str | None], items: Items) -> list[list[tuple[int, int]]]:
 
 
 def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """Normalised items in blocks whose size is checked."""
-    rows = benchmark.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{text}`").alias("t")).where("t IS NOT NULL")
+    """Normalised items in blocks whose size is checked, one at a time."""
+    rows = benchmark.select(F.col(f"`{item_id}`").cast("bigint").alias("i"), F.col(f"`{text}`").alias("t")).where("t IS NOT NULL")
     total = rows.agg(F.coalesce(F.sum(F.char_length("t")), F.lit(0)).alias("n")).first()["n"]
     blocks = total // block_chars + 1
     for k in range(blocks):
@@ -278,31 +310,44 @@ def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "tex
         for r in part.collect():  # block_chars characters, about
             t = normal(r["t"])
             if t:
-                i = -1 if r["i"] is None else r["i"]
-                best[t] = min(i, best.get(t, i))
+                best[t] = min(NO_ID if r["i"] is None else r["i"], best.get(t, NO_ID))
         yield sorted((i, t) for t, i in best.items())
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", q: int = Q, rate: float = RATE, window: int = WINDOW, step: int = STEP) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", q: int = Q, rate: float = RATE, window: int = WINDOW, step: int = STEP, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``keep`` columns and ``leaks`` array<struct<item_id, edits>>."""
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(block) for block in item_blocks(benchmark)]
+    keep = spare(keep, ["leaks"])
+    blocks = item_blocks(benchmark, block_chars=block_chars)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _search(docs.select(*dict.fromkeys([*keep, text])), first, keep, text, q, rate, window, step)
+    rows = stash(docs.select(*dict.fromkeys([*keep, text])).withColumn("_rid", F.monotonically_increasing_id()), "texts")
+    hits: list[DataFrame] = []
+    for block in chain([first, second], blocks):
+        hits.append(stash(_search(rows.select("_rid", text), block, ["_rid"], text, q, rate, window, step).select("_rid", F.explode("leaks").alias("l")), "hits"))
+    every = hits[0]
+    for h in hits[1:]:
+        every = every.unionByName(h)
+    found = every.groupBy("_rid").agg(F.sort_array(F.collect_set("l")).alias("leaks"))  # a text's own items
+    none = F.array().cast("array<struct<item_id: bigint, edits: bigint>>")
+    return rows.join(found, "_rid", "left").select(*keep, F.coalesce("leaks", none).alias("leaks"))
+
+
+def _search(docs: DataFrame, block: list[tuple[int, str]], keep: list[str], text: str, q: int, rate: float, window: int, step: int) -> DataFrame:
+    """``keep`` columns and ``leaks`` of one block of items."""
+    sent = docs.sparkSession.sparkContext.broadcast(block)  # about block_chars characters
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def indexed(block: list[tuple[int, str]]) -> tuple[Items, Short]:
-            return Items([x for x in block if len(x[1]) >= MIN_CHARS], q, rate, window, step), Short([x for x in block if len(x[1]) < MIN_CHARS])
-
-        index = [indexed(s.value) for s in sent] if len(sent) == 1 else None
+        items = Items([x for x in sent.value if len(x[1]) >= MIN_CHARS], q, rate, window, step)
+        short = Short([x for x in sent.value if len(x[1]) < MIN_CHARS])
         for b in slices(batches, text, 2 << 20):
             texts = b.column(text).to_pylist()
-            out: list[list[tuple[int, int]]] = [[] for _ in texts]
-            for items, short in index or (indexed(s.value) for s in sent):
-                out = [x + y + z for x, y, z in zip(out, leaks(texts, items), short.found(texts), strict=True)]
-            found = pa.array([[{"item_id": i, "edits": k} for i, k in sorted(x)] for x in out], pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64())])))
+            out = [sorted(x + y) for x, y in zip(leaks(texts, items), short.found(texts), strict=True)]
+            found = pa.array([[{"item_id": None if i == NO_ID else i, "edits": k} for i, k in x] for x in out], pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64())])))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), found], names=[*keep, "leaks"])
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{fields}, leaks array<struct<item_id: bigint, edits: bigint>>")
+    return docs.mapInArrow(run, f"{fields}, leaks array<struct<item_id: bigint, edits: bigint>>")
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
