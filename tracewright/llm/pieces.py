@@ -9,6 +9,7 @@ emptied when full.
 
 from __future__ import annotations
 
+import os
 from array import array
 from collections.abc import Callable, Hashable
 
@@ -20,17 +21,23 @@ def as_bytes(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
+def threaded(on: bool) -> None:
+    """Whether the tokenizers library's next batch runs on several threads; it looks each time."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "true" if on else "false"
+
+
 class ChunkCache:
     """Ids of chunks as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = MAX_CHUNKS):
-        self.encode, self.limit, self.known = encode, limit, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = MAX_CHUNKS, threads: bool = False):
+        self.encode, self.limit, self.threads, self.known = encode, limit, threads, {}
 
     def learn(self, chunks: set) -> None:
         new = [c for c in chunks if c not in self.known]
         if len(self.known) + len(new) > self.limit:
             self.known.clear()
             new = list(chunks)
+        threaded(self.threads)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             texts = [c.decode("utf-8") if isinstance(c, bytes) else c for c in part]

@@ -12,8 +12,10 @@ is exact if no piece has a marker behind another character and none of several
 characters holds a line feed, which is checked; else texts are encoded whole.
 Distinct chunks go to ``encode_batch`` on ``threads`` threads.
 
-Defined results: a null text has no ids and decodes to the empty text.  A text
-decodes to itself but that every marker character in it becomes a space.
+Defined results: null and empty texts have no ids and decode to the empty text.
+A text of any length decodes to itself but that every marker character in it
+becomes a space.  Repeated rows are encoded each, an empty table gives an empty
+one, kept columns called like the results are replaced.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracewright.llm.pieces import ChunkCache, as_bytes
-from tracewright.llm.rows import slices
+from tracewright.llm.pieces import ChunkCache, as_bytes, threaded
+from tracewright.llm.rows import slices, spare
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -127,14 +129,13 @@ class Codec:
 
     def __init__(self, path: str, threads: int = 2):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
         self.model = Model(path)
         self.tokenizer = build_tokenizer(self.model)
         self.cache = None
         if self.model.chunkable():
             bare = build_tokenizer(self.model)
             bare.normalizer = None
-            self.cache = ChunkCache(lambda chunks: [as_bytes(e.ids) for e in bare.encode_batch_fast(chunks, add_special_tokens=False)], 500_000)
+            self.cache = ChunkCache(lambda chunks: [as_bytes(e.ids) for e in bare.encode_batch_fast(chunks, add_special_tokens=False)], 500_000, threads=True)
             self.chunks = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
         # a piece's bytes; the decoder's steps put together for one piece
         self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces]
@@ -142,6 +143,7 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
         if self.cache is None:
+            threaded(True)
             return [as_bytes(e.ids) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         prefix = MARK if self.model.dummy_prefix else ""
         return self.cache([self.chunks(prefix + t.replace(" ", MARK)) if t else [] for t in texts])
@@ -181,6 +183,7 @@ def encode_documents(docs: DataFrame, model: str, keep: list[str], text: str = "
     """``keep`` columns, token_ids (optional), n_tokens, ids_crc32,
     decoded_sha256 and round_trip (the decoded text is the text, its markers
     as spaces)."""
+    keep = spare(keep, ["token_ids", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"])
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     out = ", ".join([*fields, *(["token_ids array<int>"] if with_ids else []), "n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean"])
 

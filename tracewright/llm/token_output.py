@@ -7,13 +7,17 @@ gives dictionary encoding with a fall-back to delta encoding for the integers;
 row groups and pages are bounded, and page indexes let a reader fetch the
 metadata of all or the tokens of few documents without the rest.
 
+Files are as many as the input's size asks for (``target_bytes`` of it each, by
+the optimiser's statistics of the scan).  The range sort is by doc_id and a hash
+of the text, so that rows of one doc_id may lie in several files.
+
 Defined results: null and empty texts have the end id only; null doc_ids come
-first, rows of equal doc_id follow by text; an empty table gives no row.
+first, rows of equal doc_id follow by a hash of the text and the text; repeated
+rows are written each; other columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
 
-import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -53,7 +57,6 @@ def word_cache(path: str) -> ChunkCache:
     words need neither the normaliser nor the pre-tokenizer's pattern; many are
     encoded as one text and told apart by their closing pieces."""
     if path not in _caches:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads of the library would spin
         from tokenizers import Tokenizer, pre_tokenizers
 
         whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
@@ -81,7 +84,7 @@ def word_cache(path: str) -> ChunkCache:
             rest = dict(zip(other, (as_bytes(e.ids) for e in whole.encode_batch_fast(other, add_special_tokens=False)), strict=True))
             return [words[w] if not x else words[w] + rest[x] if w else rest[x] for w, x in found]
 
-        _caches[path] = ChunkCache(encode, 600_000)
+        _caches[path] = ChunkCache(encode, 600_000)  # no threads: a task has one core, and idle threads would spin
     return _caches[path]
 
 
@@ -99,12 +102,17 @@ def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
     return word_cache(path)([_chunks(t) for t in texts])
 
 
+def file_count(docs: DataFrame, target_bytes: int) -> int:
+    """Files of ``target_bytes`` of the scanned input each, at least one a core."""
+    scanned = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-scanned // target_bytes))
+
+
 def write_tokens(docs: DataFrame, path: str, encode: Callable[[list[str | None]], list[bytes]], end_id: int, partitions: int | None = None, target_bytes: int = 16 << 20) -> None:
     """Write ``docs`` (doc_id, text) to ``path`` in ascending doc_id order."""
-    spark = docs.sparkSession
-    if partitions is None:
-        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
+    files = partitions or file_count(docs, target_bytes)
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = docs.select("doc_id", "text").repartitionByRange(files, *order).sortWithinPartitions(*order, "text")
     close = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
