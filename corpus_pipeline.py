@@ -2,7 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is
 written as Parquet and read back as the next stage's input.  All but the last
-return the columns of documents.
+return the columns of documents; other columns of the input are ignored.
+
+Defined results: null and empty texts are not toxic, are one group of near
+copies, and pass the other stages unchanged (a null text has no tokens); doc_id
+may be null or repeated, as every stage tells rows apart by itself; texts of any
+length are processed whole; an empty table passes through empty.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import decontamination, sentencepiece_codec, simhash, suffix_dedup, toxicity
-from tracewright.session import fresh_path
+from tracewright.session import drop_path, fresh_path, stash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,22 +32,24 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keep the row of least doc_id of each group of linked fingerprints.
 
     Documents without a word have fingerprint zero and are a group like any other.
-    Rows are told apart by an internal id, not by doc_id: exactly one row of a
-    group stays.  A null doc_id comes after all others; of equal ones the first
-    row stays.
+    Rows are told apart by an internal id that is written beside them, not by
+    doc_id: exactly one row of a group stays.  A null doc_id comes after all
+    others; of equal ones the first row stays.
     """
-    keyed = docs.withColumn("rid", F.monotonically_increasing_id())  # docs is a plain scan of files
-    classes = simhash.near_duplicates(keyed.select("text", F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "rid").alias("who")), "who")
-    gone = classes.where("doc_id.rid <> component_id.rid").select("doc_id.rid")
-    return keyed.join(gone, "rid", "left_anti").select(*COLUMNS)
+    who = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", F.monotonically_increasing_id().alias("rid")).alias("who")
+    rows = stash(simhash.add_fingerprints(docs.select(*COLUMNS, who), [*COLUMNS, "who"]), "rows")
+    classes = simhash.grouped(rows.select("who", "fp"), "who")
+    gone = classes.where("who.rid <> component_id.rid").select("who.rid")
+    return rows.select(*COLUMNS, "who.rid").join(gone, "rid", "left_anti").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut 200-byte passages seen before; the first occurrence of each stays.
 
-    Documents of which nothing is left go.
+    Documents of which nothing is left go; those that were empty stay.
     """
-    return suffix_dedup.rewrite(docs, keep_first=True, stable=True).where("text <> '' OR n_removed = 0 OR n_removed IS NULL").withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
+    left = suffix_dedup.rewrite(docs.select(*COLUMNS), keep_first=True).where("text <> '' OR n_removed = 0")
+    return left.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,10 +75,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written and read back."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; what each returns is written and read back.
+
+    What a stage read goes when its result is written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
