@@ -404,6 +404,15 @@ def test_toxicity_edges(spark):
     assert toxicity.score_texts(docs.limit(0), None, ["doc_id"]).count() == 0
 
 
+def test_known_features():
+    rnd = random.Random(9)
+    known = np.array(rnd.choices([True, False], k=1 << 8))
+    for n in (0, 1, 3, 50):
+        text = " ".join(rnd.choices(["alpha", "beta", "gammas", "de"], k=n))
+        found = toxicity.features(text, 8)
+        assert toxicity.weighty(text, known, 8).tolist() == found[known[found]].tolist()
+
+
 def test_best_cut():
     z, y = np.array([3.0, 2.0, 1.0, 0.0, -1.0]), np.array([1, 1, 0, 1, 0])
     assert toxicity.best_cut(z, y) == 1.5 and toxicity.best_cut(z, y, alarm=0.1) == -0.5 and toxicity.best_cut(z, np.ones(5, int)) == 0.0

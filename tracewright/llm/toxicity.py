@@ -72,17 +72,38 @@ class Words:
 _words = Words()
 
 
+def grams_of(text: str) -> np.ndarray:
+    """64-bit hashes of the word grams, skip-grams and stems of a text, with repeats."""
+    hashes = _words(text)
+    h = hashes[:, 0]
+    with np.errstate(over="ignore"):
+        return np.concatenate([h * _M1, (h[:-1] * _M2 + h[1:]) * _M1, (h[:-2] * _M3 + h[2:]) * _M1, hashes[:, 1:].ravel() * _M1])
+
+
+def _again(grams: np.ndarray) -> np.ndarray:
+    """The feature of a gram that occurs twice or more."""
+    with np.errstate(over="ignore"):
+        return (grams ^ np.uint64(2)) * _M4
+
+
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
     """Distinct hashed features of a text."""
     if not text:
         return np.empty(0, np.int32)
-    hashes = _words(text)
-    h = hashes[:, 0]
-    with np.errstate(over="ignore"):
-        grams = [h * _M1, (h[:-1] * _M2 + h[1:]) * _M1, (h[:-2] * _M3 + h[2:]) * _M1, hashes[:, 1:].ravel() * _M1]
-        found, n = np.unique(np.concatenate(grams), return_counts=True)
-        again = (found[n > 1] ^ np.uint64(2)) * _M4
-    return np.unique((np.concatenate([found, again]) >> np.uint64(64 - bits)).astype(np.int32))
+    found, n = np.unique(grams_of(text), return_counts=True)
+    return np.unique((np.concatenate([found, _again(found[n > 1])]) >> np.uint64(64 - bits)).astype(np.int32))
+
+
+def weighty(text: str | None, known: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The features of a text that are ``known``; as those are few, only they are sorted."""
+    if not text:
+        return np.empty(0, np.int64)
+    shift = np.uint64(64 - bits)
+    grams = grams_of(text)
+    once = (grams >> shift).astype(np.int64)
+    again = (_again(grams) >> shift).astype(np.int64)
+    _, first, n = np.unique(grams[known[again]], return_index=True, return_counts=True)
+    return np.unique(np.concatenate([once[known[once]], again[known[again]][first[n > 1]]]))
 
 
 class Ftrl:
@@ -173,22 +194,22 @@ def score_texts(df: DataFrame, model: Model | None, keep: list[str], text: str =
     sent = df.sparkSession.sparkContext.broadcast(model)
     keep = spare(keep, [score])
     out = T.StructType([df.schema[c] for c in keep] + [T.StructField(score, T.DoubleType())])
-    tables: dict[str, np.ndarray] = {}
+    tables: list[np.ndarray] = []
 
-    def table() -> tuple[np.ndarray, float]:
-        if "w" not in tables:
+    def table() -> tuple[np.ndarray, np.ndarray, float]:
+        if not tables:
             dense = np.zeros(1 << bits, np.float32)
             dense[sent.value[0]] = sent.value[1]
-            tables["w"] = dense
-        return tables["w"], sent.value[2]
+            tables.extend([dense, dense != 0])
+        return tables[0], tables[1], sent.value[2]
 
     def one(t: str | None) -> float:
         if sent.value is None:
             return 0.0
-        w, bias = table()
-        found = w[features(t, bits)]
-        z = float(found.sum()) + bias
-        if not found.any():
+        w, known, bias = table()
+        at = weighty(t, known, bits)
+        z = float(w[at].sum()) + bias
+        if not len(at):
             z = min(z, 0.0)
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
