@@ -55,3 +55,17 @@ def unit(*columns: str | Column) -> Column:
 def of_rest(doc_id: str, modulus: int, rest: int) -> Column:
     """Whether crc32 of doc_id as text has this remainder; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")) % modulus == rest
+
+
+def numbered(scan: DataFrame, name: str = "rid") -> DataFrame:
+    """``scan``, one read of files, with a 64-bit row id of the file's number and the row's place in it.
+
+    The id says where a row is stored, so it is the same however the files are
+    split and whichever executors read them.  The files' names reach the driver,
+    as they do for any read.
+    """
+    placed = scan.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.col("_metadata.row_index"))
+    files = sorted(r["_file"] for r in placed.select("_file").distinct().collect())
+    table = scan.sparkSession.createDataFrame(list(enumerate(files)), "_nth bigint, _file string")
+    out = placed.join(F.broadcast(table), "_file")  # a row for each file
+    return out.withColumn(name, F.shiftleft("_nth", 40).bitwiseOR(F.col("_row"))).drop("_file", "_row", "_nth")

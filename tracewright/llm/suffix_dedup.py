@@ -20,9 +20,10 @@ anywhere else, in the same or another text, as UTF-8 bytes.
 4. Grams of more than ``GROUP`` passages are not brought to one task: their
    strings are counted by a 128-bit hash with partial sums instead.
 
-Rows carry an internal id that is written to a table beside their texts before
-anything else, so it stays the same whatever happens to executors or splits.
-Both joins that need the texts read one shuffle of them.
+Rows carry an internal id, the file that holds them and their place in it, which
+stays the same whatever happens to executors or splits.  A table that is no
+plain read of Parquet files is written first.  Both joins that need the texts
+read one shuffle of them.
 
 Defined results: null texts count as empty, texts below ``length`` bytes are
 untouched, texts of any length are searched in pieces, repeated rows (with the
@@ -43,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.rows import slices
+from tracewright.llm.rows import numbered, slices
 from tracewright.session import stash
 
 LENGTH, GRAM, GROUP = 200, 32, 100_000
@@ -193,7 +194,7 @@ def _data(column: pa.Array) -> list[bytes]:
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, keep_first: bool = False) -> DataFrame:
     """(rid, spans) with the merged byte ranges array<struct<start, end>> that repeat.
 
-    ``keyed``: rid, text and others, a written table.
+    ``keyed``: rid, text and others.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,13 +296,15 @@ def kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def rewrite(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, keep_first: bool = False, group: int = GROUP) -> DataFrame:
+def rewrite(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, keep_first: bool = False, group: int = GROUP, scan: bool = False) -> DataFrame:
     """``docs`` with the text rewritten without repeated passages (characters
     stay whole), and the digests n_bytes, n_removed, n_spans, kept_sha256 of the
-    exact removal of bytes.  Columns of those names are replaced."""
+    exact removal of bytes.  Columns of those names are replaced.  ``scan``
+    says that ``docs`` is one read of Parquet files, at most with columns left out."""
     digests = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     docs = docs.drop(*digests, "rid", "spans")
-    searched = stash((docs.withColumnRenamed(text, "text") if text != "text" else docs).withColumn("rid", F.monotonically_increasing_id()), "texts")
+    searched = numbered(docs if scan else stash(docs, "texts"))
+    searched = searched.withColumnRenamed(text, "text") if text != "text" else searched
     spans = repeated_spans(searched, length, group=group, keep_first=keep_first)
     joined = searched.join(spans, "rid", "left")
     others = [c for c in searched.columns if c not in ("rid", "text")]
@@ -324,4 +327,4 @@ def rewrite(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return rewrite(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return rewrite(docs, scan=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
