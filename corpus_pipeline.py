@@ -48,7 +48,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents of which nothing is left go; those that were empty stay.
     """
-    left = suffix_dedup.rewrite(docs.select(*COLUMNS), keep_first=True).where("text <> '' OR n_removed = 0")
+    left = suffix_dedup.rewrite(docs.select(*COLUMNS), keep_first=True, scan=True).where("text <> '' OR n_removed = 0")
     return left.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
 
 
