@@ -94,5 +94,12 @@ def test_stream_of_daily_limits(spark, tmp_path):
     rows = spark.sql("SELECT 'u' AS identity, timestamp'2024-01-01 10:00:00' + make_interval(0,0,0,0,id) AS ts FROM range(5)")
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    limits.run_to_memory(limits.daily_counts(stream, lateness="1 day"), "limits_test")
-    assert [(r.used, r.remaining, r.allowed) for r in spark.table("limits_test").collect()] == [(5, 0, False)]
+    counted = limits.run_to_table(limits.daily_counts(stream, lateness="1 day"), str(tmp_path / "out"), str(tmp_path / "check"), keys=["identity", "day"])
+    assert [(r.used, r.remaining, r.allowed) for r in counted.collect()] == [(5, 0, False)]
+
+
+def test_fan_out(spark, tmp_path):
+    spark.range(4).write.parquet(str(tmp_path / "in"))
+    got = []
+    limits.fan_out(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), lambda batch, n: got.extend(r.id for r in batch.collect()), str(tmp_path / "check")).awaitTermination()
+    assert sorted(got) == [0, 1, 2, 3]

@@ -94,7 +94,33 @@ def test_second_order(spark):
 
 def test_gate_and_incremental(spark):
     files = split_payload(spark.createDataFrame([("s", PROJECT)], "scope string, payload string"))
-    old = files.where("path <> 'find.py'").select("path", "sha256")
+    old = files.where("path <> 'find.py'").select("scope", "path", "sha256")
     assert [r.path for r in scan.incremental(files, old).collect()] == ["find.py"]
     out, _ = findings(spark, PROJECT)
     assert [r.blocking for r in scan.gate(out["findings"]).collect()] == [True]
+
+
+def test_folding_changes_no_finding(spark):
+    """Chains of plain assignments are contracted for the search and put back for display."""
+    code = "# === FILE: a.py ===\nq = request.args.get('q')\na = q\nb = a\nc = b\nos.system(c)\nd = q\ncursor.execute(d)\n# === FILE: b.py ===\nv = input()\nw = v\neval(w)\n"
+    tables = {}
+    for fold in (True, False):
+        out, rows = findings(spark, code, fold=fold)
+        tables[fold] = {(r["source_file"], r["source_line"], r["sink_file"], r["sink_line"], r["vuln_class"], r["severity"], r["confidence"]) for r in rows}
+        steps = sorted({(r.pos, r.label, r.type) for r in out["steps"].where("file = 'a.py'").collect() if "c" in r.label or r.is_folded})
+        if fold:
+            assert any(label.startswith("(folded) a = q") for _, label, _ in steps) and out["fold_ratio"].first().ratio < 1
+    assert tables[True] == tables[False] and len(tables[True]) >= 3
+
+
+def test_framework_is_detected(spark):
+    rows = "# === FILE: a.py ===\nimport flask\nx = session['k']\nrender_template_string(x)\n"
+    with_profile, _ = findings(spark, rows)
+    assert with_profile["nodes"].select("framework").distinct().first().framework == "flask"
+
+
+def test_statements_over_several_lines(spark):
+    code = "# === FILE: app.js ===\nfunction go(req) {\n  const {id} = req.query;\n  const sql = build(\n    id,\n    1\n  );\n  db.query(\n    sql\n  );\n}\n"
+    out, rows = findings(spark, code)
+    assert {(r["vuln_class"], r["sink_line"]) for r in rows} == {("sqli", 6)}
+    assert out["nodes"].where("parent_id IS NOT NULL").count() == 3

@@ -38,6 +38,11 @@ def rank(severity: Column) -> Column:
     return out
 
 
+def display_order(severity: Column) -> Column:
+    """0 (critical) to 4 (info) for lists of findings, 99 for others."""
+    return F.coalesce(F.lit(len(SEVERITIES) - 1) - rank(severity), F.lit(99))
+
+
 def severity_of(number: Column) -> Column:
     return F.get(F.array(*[F.lit(s) for s in SEVERITIES]), number)
 
@@ -85,6 +90,23 @@ def classify(findings: DataFrame, vuln_class: str = "vuln_class") -> DataFrame:
     })
 
 
+def description(sink_code: Column, dedup_count: Column) -> Column:
+    """What a finding says, with a note of the similar ones that it stands for."""
+    more = dedup_count - 1
+    note = F.when(dedup_count > 1, F.concat(F.lit(" ("), more.cast("string"), F.lit(" similar finding"), F.when(dedup_count > 2, "s").otherwise(""), F.lit(" at same sink deduplicated)"))).otherwise("")
+    return F.concat(F.lit("Attacker-controlled input flows to "), F.coalesce(sink_code, F.lit("")), note)
+
+
+def taint_only(reasoning: Column) -> Column:
+    """Whether no model was asked, as its budget was spent."""
+    return F.coalesce(F.contains(reasoning, F.lit("budget exhausted")), F.lit(False))
+
+
+def winner(vulnerable: Column, ours: Column, theirs: Column) -> Column:
+    """Which of two tools did better on a sample: ours, theirs, tie or neither."""
+    return F.when(ours == theirs, F.when(vulnerable & ~ours, "neither").otherwise("tie")).when(vulnerable == ours, "ours").otherwise("theirs")
+
+
 def rule_class(rule_id: Column) -> Column:
     """The first keyword in the rule's name decides."""
     out = F.lit("unknown")

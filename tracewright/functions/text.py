@@ -35,6 +35,16 @@ def strip(value: Column) -> Column:
     return F.regexp_replace(value, r"^\s+|\s+$", "")
 
 
+#: Every line end that Python's ``splitlines`` knows.
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
+def line_array(source: Column) -> Column:
+    """The lines of a text; a trailing line end adds none."""
+    lines = F.split(source, LINE_END, -1)
+    return F.when(F.get(lines, F.size(lines) - 1) == "", F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(1)))).otherwise(lines)
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1))
 
@@ -74,6 +84,17 @@ def repository_allowed(url: Column) -> Column:
     return ok & ~url.rlike(r"[;&|`$<>]|\.\.")
 
 
+def request_error(source_type: Column, source: Column, limit: int = 10 * 1024 * 1024) -> Column:
+    """Why a scan request is refused, or null: type, repository or size."""
+    bad_type = ~F.coalesce(source_type.isin("github_url", "raw_code"), F.lit(False))
+    return F.when(bad_type, "source_type").when((source_type == "github_url") & ~repository_allowed(source), "repository").when((source_type == "raw_code") & (F.char_length(source) > limit), "size")
+
+
+def triage_error(status: Column, notes: Column) -> Column:
+    """Why a triage request is refused, or null: its status or the length of its notes."""
+    return F.when(~F.coalesce(status.isin("true_positive", "false_positive", "accepted_risk"), F.lit(False)), "status").when(F.char_length(notes) > 2000, "notes")
+
+
 def framework_number(text: Column, patterns: list[tuple[str, str]] | None = None) -> Column:
     """Number of the first framework whose pattern occurs, or null."""
     out = F.lit(None).cast("int")
@@ -93,6 +114,31 @@ def duration(seconds: Column) -> Column:
     return F.when(seconds < 60, F.concat(seconds.cast("string"), F.lit("s"))).otherwise(F.concat(F.floor(seconds / 60).cast("string"), F.lit("m "), (seconds % 60).cast("string"), F.lit("s")))
 
 
+def scan_date(completed: Column, created: Column) -> Column:
+    """When a scan ended, or began; empty for neither."""
+    return F.coalesce(F.date_format(F.coalesce(completed, created), "yyyy-MM-dd HH:mm 'UTC'"), F.lit(""))
+
+
+def endpoint(vector: Column, sink_file: Column) -> Column:
+    """The first path in the attack's description, else one made of the file's name."""
+    path = r"(?i)(/[a-z/_\-{}]+)"
+    name = F.replace(F.replace(F.substring_index(sink_file, "/", -1), F.lit(".py"), F.lit("")), F.lit("_"), F.lit("-"))
+    return F.when(vector.rlike(path), F.regexp_extract(vector, path, 1)).otherwise(F.concat(F.lit("/"), name))
+
+
+# Names of parameters where the code has none.
+PARAMETERS = {"sqli": "id", "xss": "q", "cmdi": "cmd", "path_traversal": "file", "ssrf": "url", "ssti": "name", "deserialize": "data"}
+
+
+def parameter(code: Column, vuln_class: Column) -> Column:
+    """The parameter that the code reads: ``.get("x")``, then ``["x"]``, then a usual one for the class."""
+    call, item = r"""\.get\(["'](\w+)["']""", r"""\[["'](\w+)["']\]"""
+    usual = F.lit("input")
+    for name, value in PARAMETERS.items():
+        usual = F.when(vuln_class == name, value).otherwise(usual)
+    return F.when(code.rlike(call), F.regexp_extract(code, call, 1)).when(code.rlike(item), F.regexp_extract(code, item, 1)).otherwise(usual)
+
+
 def relative_time(minutes: Column) -> Column:
     return F.when(minutes < 1, "just now").when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m ago"))).when(minutes < 1440, F.concat(F.floor(minutes / 60).cast("string"), F.lit("h ago"))).otherwise(F.concat(F.floor(minutes / 1440).cast("string"), F.lit("d ago")))
 

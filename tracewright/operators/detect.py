@@ -9,41 +9,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.text import strip
+from tracewright.functions.text import line_array, strip
 
 KEYS = ["scope", "file"]
 
 # Patterns and markers of the detectors.
-CHECKS = r"(?i)os\.path\.exists\s*\(|os\.path\.isfile\s*\(|os\.path\.isdir\s*\(|if\s+.*\bbalance\b.*>=|if\s+.*\bcount\b.*>=|if\s+.*\.exists\(\)"
-ACTS = r"(?i)os\.remove\s*\(|os\.unlink\s*\(|open\s*\(|os\.rename\s*\(|shutil\.(move|copy|rmtree)\s*\(|\.balance\s*-=|\.count\s*-="
+CHECKS = [r"os\.path\.exists\s*\(", r"os\.path\.isfile\s*\(", r"os\.path\.isdir\s*\(", r"if\s+.*\bbalance\b.*>=", r"if\s+.*\bcount\b.*>=", r"if\s+.*\.exists\(\)"]
+ACTS = [r"os\.remove\s*\(", r"os\.unlink\s*\(", r"open\s*\(", r"os\.rename\s*\(", r"shutil\.(move|copy|rmtree)\s*\(", r"\.balance\s*-=", r"\.count\s*-="]
 WRITES = [r"""(?i)execute\s*\(["']INSERT\s+INTO\s+(\w+)""", r"""(?i)execute\s*\(["']UPDATE\s+(\w+)""", r"(?i)\.create\s*\(", r"(?i)\.add\s*\(", r"(?i)session\.add\s*\("]
 HTTP_SOURCES = ["request.args.get", "request.form.get", "request.json", "request.data", "req.query", "req.body", "req.params"]
-READS = r"""(?i)\.fetchone\(\)|\.fetchall\(\)|\.fetchmany\(|\.first\(\)|\.all\(\)|objects\.(get|filter|all)\(|execute\s*\(["']SELECT"""
+READS = [r"\.fetchone\(\)", r"\.fetchall\(\)", r"\.fetchmany\(", r"\.first\(\)", r"\.all\(\)", r"objects\.(get|filter|all)\(", r"""execute\s*\(["']SELECT"""]
 STORED_SINKS = [
     ("render_template_string(", "ssti", "CWE-1336"), ('f"<', "xss", "CWE-79"), ("f'<", "xss", "CWE-79"), (' + "<', "xss", "CWE-79"), ('execute(f"', "sqli", "CWE-89"),
     ("execute(f'", "sqli", "CWE-89"), ('execute("SELECT', "sqli", "CWE-89"), ("execute('SELECT", "sqli", "CWE-89"), ("subprocess.run(", "cmdi", "CWE-78"), ("os.system(", "cmdi", "CWE-78"),
 ]
-AUTH_MARKERS = (
-    "login_required require_login requires_login jwt_required token_required auth_required requires_auth require_auth authenticated admin_required requires_admin "
-    "require_admin roles_required role_required require_role requires_role permission_required permissions_required require_permission requires_permission "
-    "require_scope requires_scope require_api_key api_key_required protected current_user get_current_user current_identity verify_jwt_in_request verify_jwt "
-    "verify_token check_auth check_permission authorize( authenticate( session[ session.get( g.user request.user request.state.user"
-).split()
+AUTH_MARKERS = [
+    "login_required", "require_login", "requires_login", "jwt_required", "token_required", "auth_required", "requires_auth", "require_auth", "authenticated",
+    "admin_required", "requires_admin", "require_admin", "roles_required", "role_required", "require_role", "requires_role", "permission_required",
+    "permissions_required", "require_permission", "requires_permission", "require_scope", "requires_scope", "require_api_key", "api_key_required", "protected",
+    "current_user", "get_current_user", "current_identity", "verify_jwt_in_request", "verify_jwt", "verify_token", "check_auth", "check_permission", "authorize(",
+    "authenticate(", "session[", "session.get(", "g.user", "request.user", "request.state.user",
+]
 AUTH_DEPENDENCY = r"""(?i)(?:Depends|Security)\s*\(\s*['"]?[\w.]*?(current[_-]?user|authenticate|authoriz|\bauth|verify|require|login|jwt|token|api[_-]?key|permission|\brole|scope|oauth|bearer|principal|guard)"""
 ROUTE = r"(?i)@\w+\.(?:route|get|post|put|patch|delete|head|options)\s*\("
-SENSITIVE = r"(?i)\w+\.execute\s*\(|(?s:SELECT\b.*\bFROM\b)|SELECT\s+\*|\bFROM\s+(?:users|admin|accounts|credentials)\b|(?:password|secret|api[_-]?key|private_key)\s*[=\[(.:]"
+SENSITIVE = [r"\w+\.execute\s*\(", r"(?s:SELECT\b.*\bFROM\b)", r"SELECT\s+\*", r"\bFROM\s+(?:users|admin|accounts|credentials)\b", r"(?:password|secret|api[_-]?key|private_key)\s*[=\[(.:]"]
 FILE_GUARD = r"(?is)(?:FastAPI|APIRouter)\s*\([^)]*dependencies\s*=\s*\[[^\]]*(?:Depends|Security)\s*\([^)]*(?:auth|current[_-]?user|verify|require|login|jwt|token|permission|role|scope|security|oauth)"
 REQUEST_HOOK = r"(?i)before_request"
 REQUEST_HOOK_AUTH = r"(?i)abort\s*\(\s*40[13]\b|unauthorized|current_user|g\.user|verify_(?:jwt|token)|authenticate|login|session"
 TIMING = r"(?i)(token|key|secret|password)\s*==\s*"
-SAFE_COMPARE = r"(?i)hmac\.compare_digest|secrets\.compare_digest"
+SAFE_COMPARE = [r"hmac\.compare_digest", r"secrets\.compare_digest"]
 CLIENT_ROLE = r"(?i)(request\.(headers|cookies|args|form).*(?:role|admin|is_admin|permission))"
 
 
+def any_of(text: Column, patterns: list[str]) -> Column:
+    """Whether one of the patterns occurs, whatever the case."""
+    return text.rlike("(?i)" + "|".join(patterns))
+
+
 def file_lines(files: DataFrame) -> DataFrame:
-    """One row per line; all three line ends count, a trailing one adds no line."""
-    text = F.regexp_replace(F.regexp_replace("source", "\r\n|\r", "\n"), "\n$", "")
-    rows = files.select("scope", F.col("path").alias("file"), F.col("ord").alias("file_ord"), F.posexplode(F.split(text, "\n", -1)).alias("i", "text"))
+    """One row per line; every line end counts, a trailing one adds no line."""
+    rows = files.select("scope", F.col("path").alias("file"), F.col("ord").alias("file_ord"), F.posexplode(line_array(F.col("source"))).alias("i", "text"))
     return rows.select("scope", "file", "file_ord", (F.col("i") + 1).alias("line_no"), "text")
 
 
@@ -84,7 +89,7 @@ def unguarded_segments(rows: DataFrame, keys: list[str], order: str, start: Colu
 
 
 def race_findings(lines: DataFrame) -> DataFrame:
-    return check_then_act(lines, KEYS, "line_no", F.col("text").rlike(CHECKS), F.col("text").rlike(ACTS), 5, ["text"])
+    return check_then_act(lines, KEYS, "line_no", any_of(F.col("text"), CHECKS), any_of(F.col("text"), ACTS), 5, ["text"])
 
 
 def write_kind(text: Column) -> Column:
@@ -109,13 +114,25 @@ def stored_sink(text: Column) -> Column:
     return out
 
 
+def first_write(writes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first write of each key in file and line order, as ``w``: one row a key."""
+    return writes.groupBy(*keys).agg(F.min(F.struct(*order, *[c for c in writes.columns if c not in (*keys, *order)])).alias("w"))
+
+
+def with_first_write(rows: DataFrame, writes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Every row beside the first write of its key; rows of keys without one go.
+
+    The side of one row a key is joined by key and left to the optimiser.
+    """
+    return rows.join(first_write(writes, keys, order), keys)
+
+
 def second_order_findings(lines: DataFrame) -> DataFrame:
     """Reads with sinks in the next 20 lines, given a tainted write anywhere in the scope."""
-    first = tainted_writes(lines).groupBy("scope").agg(F.min(F.struct("file_ord", "line_no", "file", "code", "table_name")).alias("w"))
-    reads = lines.where(F.col("text").rlike(READS)).select("scope", "file", "line_no", strip(F.col("text")).alias("read_code"))
+    reads = lines.where(any_of(F.col("text"), READS)).select("scope", "file", "line_no", strip(F.col("text")).alias("read_code"))
     sinks = lines.withColumn("_s", stored_sink(F.col("text"))).where("_s IS NOT NULL").select("scope", "file", "line_no", strip(F.col("text")).alias("sink_code"), "_s.*")
     near = followed_within(reads, sinks, KEYS, "line_no", 20)
-    out = near.join(F.broadcast(first), "scope")  # one row a project
+    out = with_first_write(near, tainted_writes(lines), ["scope"], ["file_ord", "line_no"])
     return out.select("scope", F.col("w.file").alias("write_file"), F.col("w.line_no").alias("write_line"), "file", F.col("_left_at").alias("read_line"), F.col("_right_at").alias("sink_line"), "read_code", "sink_code", "vuln_class", "cwe_id", F.col("w.table_name").alias("db_table"))
 
 
@@ -126,12 +143,28 @@ def has_auth(text: Column) -> Column:
     return F.lower(text).rlike(markers) | text.rlike(AUTH_DEPENDENCY)
 
 
+def unless_safe(rows: DataFrame, facts: DataFrame, keys: list[str], hit: Column, safe: str) -> DataFrame:
+    """Rows that hit, but for those of a key that is safe as a whole."""
+    return rows.where(hit).join(facts.where(F.col(safe)).select(*keys).distinct(), keys, "left_anti")
+
+
+def file_guarded(source: Column) -> Column:
+    """Whether a router's dependencies or a request hook guard the whole file."""
+    return source.rlike(FILE_GUARD) | (source.rlike(REQUEST_HOOK) & source.rlike(REQUEST_HOOK_AUTH))
+
+
+def timing_unsafe(text: Column) -> Column:
+    return text.rlike(TIMING)
+
+
+def client_role(text: Column) -> Column:
+    return text.rlike(CLIENT_ROLE)
+
+
 def auth_findings(lines: DataFrame, files: DataFrame) -> DataFrame:
     text = F.col("text")
-    guard = F.col("source").rlike(FILE_GUARD) | (F.col("source").rlike(REQUEST_HOOK) & F.col("source").rlike(REQUEST_HOOK_AUTH))
-    facts = files.select("scope", F.col("path").alias("file"), guard.alias("_guarded"), F.col("source").rlike(SAFE_COMPARE).alias("_safe"))
-    known = lines.join(facts, KEYS)
-    timing = known.where(text.rlike(TIMING) & ~F.col("_safe")).select("scope", "file", "line_no", F.lit("timing_attack").alias("vuln_type"))
-    role = lines.where(text.rlike(CLIENT_ROLE)).select("scope", "file", "line_no", F.lit("client_controlled_role").alias("vuln_type"))
-    routes = unguarded_segments(known.where(~F.col("_guarded")), KEYS, "line_no", text.rlike(ROUTE), has_auth(text), text.rlike(SENSITIVE))
+    facts = files.select("scope", F.col("path").alias("file"), file_guarded(F.col("source")).alias("guarded"), any_of(F.col("source"), SAFE_COMPARE).alias("safe"))
+    timing = unless_safe(lines, facts, KEYS, timing_unsafe(text), "safe").select("scope", "file", "line_no", F.lit("timing_attack").alias("vuln_type"))
+    role = lines.where(client_role(text)).select("scope", "file", "line_no", F.lit("client_controlled_role").alias("vuln_type"))
+    routes = unguarded_segments(unless_safe(lines, facts, KEYS, F.lit(True), "guarded"), KEYS, "line_no", text.rlike(ROUTE), has_auth(text), any_of(text, SENSITIVE))
     return timing.unionByName(role).unionByName(routes.select("scope", "file", "line_no", F.lit("missing_auth").alias("vuln_type")))

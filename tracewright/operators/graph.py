@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from tracewright.functions.text import strip
 
 # Names that are no calls or arguments.
-KEYWORDS = (
-    "True False None and or not in is if else for while return import from def class try except finally with as pass break continue lambda "
-    "yield assert del global nonlocal raise print len range str int float list dict set tuple bool type isinstance hasattr getattr setattr open super"
-).split()
+KEYWORDS = [
+    "True", "False", "None", "and", "or", "not", "in", "is", "if", "else", "for", "while", "return", "import", "from", "def", "class", "try", "except", "finally", "with", "as", "pass",
+    "break", "continue", "lambda", "yield", "assert", "del", "global", "nonlocal", "raise", "print", "len", "range", "str", "int", "float", "list", "dict", "set", "tuple", "bool", "type",
+    "isinstance", "hasattr", "getattr", "setattr", "open", "super",
+]
 CALL = r"\b([A-Za-z_]\w*)\s*\(([^)]*)\)"
 ATTRIBUTE_STORE = r"^((?:\w+\.)+\w+)\s*(?<![=!<>])=(?!=)"
 ITEM_STORE = r"""^(\w+)\[(["'])([^"']+)\2\]\s*(?<![=!<>])=(?!=)"""
@@ -102,13 +103,20 @@ def resolve_callees(calls: DataFrame, func_defs: DataFrame, imports: DataFrame,
     return out.withColumn("callee_file", callee).where("callee_file IS NOT NULL").drop("via", "named")
 
 
+def positional_zip(calls: DataFrame, functions: DataFrame, keys: list[str], args: str = "args", params: str = "params") -> DataFrame:
+    """Arguments beside the parameters at their places: ``pos``, ``arg``, ``param``; the longer side's rest goes."""
+    given = calls.withColumn("_a", F.col(args)).select("*", F.posexplode("_a").alias("pos", "arg")).drop("_a", args)
+    wanted = functions.select(*keys, *[c for c in functions.columns if c not in (*keys, params)], F.posexplode(params).alias("pos", "param"))
+    return given.join(wanted, [*keys, "pos"])
+
+
 def argument_edges(nodes: DataFrame, resolved: DataFrame, func_defs: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """From definitions of an argument (or the call) to uses of its parameter
     after the function's first line."""
     sig = func_defs.groupBy("scope", "file", "name").agg(F.max_by(F.struct("params", "start_line"), "ord").alias("s"))
-    params = sig.select("scope", F.col("file").alias("callee_file"), F.col("name").alias("func"), F.col("s.start_line").alias("start_line"), F.posexplode("s.params").alias("pos", "param"))
-    callers = resolved.where(F.col("node_type").isin("call", "statement", "expression", "assignment", "return")).select("scope", "file", "node_id", "callee_file", "func", F.posexplode("args").alias("pos", "arg"))
-    zipped = callers.join(params, ["scope", "callee_file", "func", "pos"])
+    params = sig.select("scope", F.col("file").alias("callee_file"), F.col("name").alias("func"), "s.params", "s.start_line")
+    callers = resolved.where(F.col("node_type").isin("call", "statement", "expression", "assignment", "return")).select("scope", "file", "node_id", "callee_file", "func", "args")
+    zipped = positional_zip(callers, params, ["scope", "callee_file", "func"])
     uses = nodes.select("scope", F.col("file").alias("callee_file"), F.col("node_id").alias("dst"), "line", F.explode(F.array_distinct("uses")).alias("param"))
     defs = nodes.select("scope", "file", F.col("node_id").alias("def_id"), F.explode(F.array_distinct("defs")).alias("arg"))
     out = zipped.join(uses, ["scope", "callee_file", "param"]).where("line > start_line").join(defs, ["scope", "file", "arg"], "left")
@@ -142,13 +150,13 @@ def project_edges(nodes: DataFrame, func_defs: DataFrame, imports: DataFrame, mo
     """All data edges of a project: def-use, shared state, arguments, returns."""
     inside = def_use_edges(nodes, ["scope", "file"]).select("scope", "src", "dst", "var", F.lit(0).alias("_stage"))
     resolved = resolve_callees(parsed_calls(nodes), func_defs, imports, modules)
-    parts = [shared_state_edges(nodes), argument_edges(nodes, resolved, func_defs), return_edges(nodes, resolved, func_defs)]
+    parts = [shared_state_edges(nodes, inside), argument_edges(nodes, resolved, func_defs), return_edges(nodes, resolved, func_defs)]
     every = inside
     for i, part in enumerate(parts, 1):
         every = every.unionByName(part.select("scope", "src", "dst", "var", F.lit(i).alias("_stage")))
     # the first kind that makes an edge keeps it
     one = every.groupBy("scope", "src", "dst").agg(F.min(F.struct("_stage", "var")).alias("_m"))
-    return one.select("scope", "src", "dst", F.col("_m.var").alias("var"), F.lit("data_dep").alias("edge_type"), (F.col("_m._stage") * F.lit(1 << 40) + F.col("dst")).alias("edge_ord"))
+    return one.select("scope", "src", "dst", F.col("_m.var").alias("var"), F.lit("data_dep").alias("edge_type"), F.array(F.col("_m._stage").cast("bigint"), F.col("dst")).alias("edge_ord"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -170,28 +178,48 @@ def passthrough_nodes(nodes: DataFrame, edges: DataFrame, patterns: list[str]) -
 def fold_chains(edges: DataFrame, passthrough: DataFrame) -> DataFrame:
     """Contract A -> B -> C -> D with B, C passthrough to A -> D with folded [B, C].
 
-    Pointer doubling: each round, a folded stretch takes up the stretch that
-    follows, so the rounds grow with the logarithm of the longest chain.
+    Every passthrough node has one edge in and one out.  Pointers to the chain's
+    first node double in reach each round, so the rounds grow with the logarithm
+    of the longest chain; a row holds a pointer and a rank, and nodes are listed
+    once, at the end.  Circles of passthrough nodes alone vanish.  Of several
+    edges between two nodes the first by ``edge_ord`` (of the edge that leaves
+    A; where edges have no order, the least list) stays, with that order.
     """
-    from tracewright.session import stash
-
-    thru = passthrough.select("scope", F.col("node_id").alias("mid"))
-    # every edge that ends in a passthrough node begins a stretch
-    step = edges.select("scope", "src", "dst", F.array().cast("array<bigint>").alias("folded"))
-    state = stash(step, "fold")
-    while True:
-        ends = state.join(thru.withColumnRenamed("mid", "dst"), ["scope", "dst"], "left_semi")
-        nxt = state.join(thru.withColumnRenamed("mid", "src"), ["scope", "src"], "left_semi").select("scope", F.col("src").alias("dst"), F.col("dst").alias("_to"), F.col("folded").alias("_more"))
-        joined = ends.join(nxt, ["scope", "dst"]).where("src <> _to AND NOT array_contains(folded, _to) AND NOT array_contains(_more, src)")
-        if joined.isEmpty():
-            break
-        longer = joined.select("scope", "src", F.col("_to").alias("dst"), F.concat("folded", F.array("dst"), "_more").alias("folded"))
-        grown = longer.select("scope", "src", F.element_at("folded", 1).alias("_first"))
-        keep = state.withColumn("_first", F.coalesce(F.try_element_at("folded", F.lit(1)), F.col("dst"))).join(grown, ["scope", "src", "_first"], "left_anti").drop("_first")
-        state = stash(keep.unionByName(longer), "fold")
-    gone = thru
-    out = state.join(gone.withColumnRenamed("mid", "src"), ["scope", "src"], "left_anti").join(gone.withColumnRenamed("mid", "dst"), ["scope", "dst"], "left_anti").where("src <> dst")
-    return out.groupBy("scope", "src", "dst").agg(F.min("folded").alias("folded"))
+    from tracewright.session import drop_stash, stash
+
+    if "edge_ord" not in edges.columns:
+        edges = edges.withColumn("edge_ord", F.lit(0))
+    thru = passthrough.select("scope", F.col("node_id").alias("src"))
+    plain = edges.select("scope", "src", "dst", "edge_ord")
+    out_of = plain.join(thru, ["scope", "src"], "left_semi")
+    into = plain.select("scope", F.col("dst").alias("node"), F.col("src").alias("before"), "edge_ord").join(thru.withColumnRenamed("src", "node"), ["scope", "node"], "left_semi")
+    inner = into.join(thru.select("scope", F.col("src").alias("before"), F.lit(True).alias("_inner")), ["scope", "before"], "left")
+    is_inner = F.col("_inner").isNotNull()
+    # a chain's first node points to itself, the others to the node before
+    state = stash(inner.select("scope", "node", F.when(is_inner, F.col("before")).otherwise(F.col("node")).alias("to"), is_inner.cast("bigint").alias("rank"), (~is_inner).alias("done")), "fold")
+    heads = inner.where(~is_inner).select("scope", F.col("node").alias("to"), F.col("before").alias("src"), "edge_ord")
+    open_nodes = state.where("NOT done").count()
+    while open_nodes:
+        target = state.select("scope", F.col("node").alias("to"), F.col("to").alias("_to"), F.col("rank").alias("_rank"), F.col("done").alias("_done"))
+        moved = state.where("NOT done").join(target, ["scope", "to"]).select("scope", "node", F.col("_to").alias("to"), (F.col("rank") + F.col("_rank")).alias("rank"), F.col("_done").alias("done"))
+        after = stash(state.where("done").unionByName(moved), "fold")
+        drop_stash(state)
+        state, before = after, open_nodes
+        open_nodes = state.where("NOT done").count()
+        if open_nodes == before:
+            break  # circles only
+    chained = state.where("done").join(out_of.select("scope", F.col("src").alias("node"), "dst"), ["scope", "node"])
+    chains = chained.groupBy("scope", "to").agg(F.sort_array(F.collect_list(F.struct("rank", "node"))).alias("_l"), F.max_by("dst", "rank").alias("dst"))  # a chain is one row of the result
+    folded = chains.join(heads, ["scope", "to"]).select("scope", "src", "dst", "edge_ord", F.col("_l.node").alias("folded"))
+    direct = plain.join(thru, ["scope", "src"], "left_anti").join(thru.withColumnRenamed("src", "dst"), ["scope", "dst"], "left_anti").withColumn("folded", F.array().cast("array<bigint>"))
+    return direct.unionByName(folded).where("src <> dst").groupBy("scope", "src", "dst").agg(F.min(F.struct("edge_ord", "folded")).alias("_m")).select("scope", "src", "dst", "_m.edge_ord", "_m.folded")
+
+
+def fold_ratio(nodes: DataFrame, folded: DataFrame) -> DataFrame:
+    """Nodes before and after folding of each scope, and their ratio (1 where nothing is there)."""
+    inside = folded.groupBy("scope").agg(F.sum(F.size("folded")).alias("_gone"))
+    out = nodes.groupBy("scope").agg(F.count(F.lit(1)).alias("n_before")).join(inside, "scope", "left").withColumn("n_after", F.col("n_before") - F.coalesce("_gone", F.lit(0)))
+    return out.select("scope", "n_before", "n_after", F.when(F.col("n_before") > 0, F.col("n_after") / F.col("n_before")).otherwise(1.0).alias("ratio"))
 
 
 def unfold_paths(paths: DataFrame, folded: DataFrame, key: str) -> DataFrame:
@@ -205,3 +233,18 @@ def unfold_paths(paths: DataFrame, folded: DataFrame, key: str) -> DataFrame:
     rows = joined.select("scope", key, "at", F.posexplode(nodes).alias("sub", "_n"))
     order = Window.partitionBy("scope", key).orderBy("at", "sub")
     return rows.select("scope", key, (F.row_number().over(order) - 1).alias("pos"), F.col("_n.n").alias("node_id"), F.col("_n.f").alias("is_folded"))
+
+
+def path_steps(unfolded: DataFrame, nodes: DataFrame, kinds: DataFrame, key: str) -> DataFrame:
+    """Steps of unfolded paths for display: label, file, line and taint type.
+
+    ``kinds`` (scope, key, node_id, type) has the type of the nodes that the
+    search met; a folded node has the type of the last one before it and a
+    label that begins with ``(folded)``.
+    """
+    facts = nodes.select("scope", "node_id", "label", "file", "line")
+    rows = unfolded.join(facts, ["scope", "node_id"], "left").join(kinds, ["scope", key, "node_id"], "left")
+    before = Window.partitionBy("scope", key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    label = F.when(F.col("is_folded"), F.concat(F.lit("(folded) "), F.col("label"))).otherwise(F.col("label"))
+    shown = F.last(F.when(~F.col("is_folded"), F.col("type")), ignorenulls=True).over(before)
+    return rows.select("scope", key, "pos", "node_id", label.alias("label"), "file", "line", shown.alias("type"), "is_folded")

@@ -1,25 +1,36 @@
 """Source files to syntax nodes, functions, imports and errors.
 
 Python is parsed with the standard library's ``ast``; other languages by a
-line lexer that recognises assignments, calls, conditions, returns, imports and
-function headers (an approximation, stated in the README).  One file is one row
-of the input, so a batch of files is parsed by ``mapInArrow`` wherever its rows
-lie; a file that fails gives one row of kind ``error`` and no other file is
-touched.
+lexer of logical lines (a line goes on while a bracket is open) that recognises
+assignments, calls, conditions, returns, imports and function headers, and
+takes the parent of a node from the braces or, without them, the indent (an
+approximation, stated in the README).  One file is one row of the input, so a
+batch of files is parsed by ``mapInArrow`` wherever its rows lie; a file that
+fails gives one row of kind ``error`` and no other file is touched.
 """
 
 from __future__ import annotations
 
 import ast
-import json
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-ROW = "scope string, file string, file_ord bigint, kind string, body string"
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+_LONG, _INT, _TEXT, _TEXTS = T.LongType(), T.IntegerType(), T.StringType(), T.ArrayType(T.StringType())
+#: Columns of the rows of each kind; a row has nulls for those of other kinds.
+KINDS = {
+    "node": {"node_ord": _LONG, "parent_ord": _LONG, "node_type": _TEXT, "label": _TEXT, "line": _INT, "col": _INT, "code": _TEXT, "defs": _TEXTS, "uses": _TEXTS, "calls": _TEXTS},
+    "func": {"name": _TEXT, "params": _TEXTS, "start_line": _INT},
+    "import": {"local_name": _TEXT, "module_stem": _TEXT},
+    "error": {"message": _TEXT},
+}
+HEAD = {"scope": _TEXT, "file": _TEXT, "file_ord": _LONG, "kind": _TEXT}
+ROW = T.StructType([T.StructField(n, t) for columns in (HEAD, *KINDS.values()) for n, t in columns.items()])
 
 _TYPES = {
     ast.Assign: "assignment", ast.AugAssign: "assignment", ast.AnnAssign: "assignment", ast.Return: "return", ast.If: "condition", ast.While: "condition",
@@ -58,7 +69,7 @@ def _uses(node: ast.AST) -> list[str]:
 
 def parse_python(source: str) -> Iterator[tuple[str, dict]]:
     tree = ast.parse(source)
-    lines = source.splitlines()
+    lines = re.split("\r\n|\r|\n", source)  # the lines that ast counts
     number = 0
 
     def code_of(node: ast.AST) -> str:
@@ -99,17 +110,54 @@ _CALL = re.compile(r"([A-Za-z_][\w.:]*)\s*\(")
 _WORDS = {"if", "for", "while", "switch", "catch", "return", "function", "func", "fn", "def", "else", "elif", "new", "const", "let", "var"}
 
 
+_STRING = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`")
+_COMMENT = ("//", "#include", "/*", "*", "# ")
+
+
+def logical_lines(source: str) -> Iterator[tuple[int, str, int]]:
+    """(first line, code, brace depth before it); round and square brackets join lines."""
+    depth, waiting, first, open_brackets = 0, "", 0, 0
+    for i, raw in enumerate(source.splitlines()):
+        if not waiting and (not raw.strip() or raw.strip().startswith(_COMMENT)):
+            continue
+        bare = _STRING.sub("", raw)
+        bare = bare.split("//")[0]
+        if not waiting:
+            first, open_brackets = i, 0
+        open_brackets += sum(bare.count(c) for c in "([") - sum(bare.count(c) for c in ")]")
+        waiting = f"{waiting} {raw.strip()}" if waiting else raw.rstrip()
+        if open_brackets > 0 and not bare.rstrip().endswith("{"):
+            continue
+        yield first, waiting, depth - (1 if bare.strip().startswith("}") else 0)
+        depth = max(0, depth + bare.count("{") - bare.count("}"))
+        waiting = ""
+    if waiting:
+        yield first, waiting, depth
+
+
+def _bound_names(left: str) -> list[str]:
+    """Plain names that an assignment's left side or a destructuring pattern binds."""
+    inner = left.strip().strip("{}[]()")
+    return [n for part in inner.split(",") for n in re.findall(r"^\s*(?:\.\.\.)?(?:[A-Za-z_]\w*\s*:\s*)?([A-Za-z_]\w*)\s*(?:=.*)?$", part)]
+
+
+_PATTERN = re.compile(r"^(?:export\s+)?(?:const|let|var|mut)\s+([{\[(][^=]*[}\])])\s*(?::\s*[\w<>\[\] ]+)?=(?!=)\s*(.+)$")
+
+
 def parse_lines(source: str) -> Iterator[tuple[str, dict]]:
-    """The lexer for languages without a parser at hand: one node a line."""
+    """The lexer for languages without a parser at hand: one node a logical line."""
     number = 0
-    for i, raw in enumerate(source.splitlines()):
+    parents: list[tuple[int, int]] = []  # depth and node of the headers around
+    for i, raw, depth in logical_lines(source):
         code = raw.strip().rstrip(";")
-        if not code or code.startswith(("//", "#include", "/*", "*", "# ")) or code in "{}()[];":
+        if not code or code in "{}()[];":
             continue
-        names = [n.lstrip("$") for n in _IDENT.findall(re.sub(r"\"[^\"$]*\"|'[^']*'", "", code))]
+        while parents and parents[-1][0] >= depth:
+            parents.pop()
+        names = [n.lstrip("$") for n in _IDENT.findall(_STRING.sub(lambda m: m[0] if "$" in m[0] else "", code))]
         names = list(dict.fromkeys(n for n in names if n not in _WORDS))
         calls = list(dict.fromkeys(c for c in _CALL.findall(code) if c not in _WORDS))
-        header, assigned = _FUNC.match(code), _ASSIGN.match(code)
+        header, assigned, pattern = _FUNC.match(code), _ASSIGN.match(code), _PATTERN.match(code)
         defs: list[str] = []
         uses = names
         if header:
@@ -122,15 +170,18 @@ def parse_lines(source: str) -> Iterator[tuple[str, dict]]:
             kind = "return"
         elif re.match(r"(\}?\s*else\s+)?(if|while|switch|elif|case)\b", code):
             kind, uses = "condition", []
-        elif assigned:
+        elif pattern or assigned:
             kind = "assignment"
-            defs = [d.strip() for d in assigned[1].split(",")]
-            right = {n.lstrip("$") for n in _IDENT.findall(assigned[2])}
-            uses = [n for n in names if n in right]
+            right = (pattern or assigned)[2]
+            defs = _bound_names(pattern[1]) if pattern else [d.strip() for d in assigned[1].split(",")]
+            used = {n.lstrip("$") for n in _IDENT.findall(right)}
+            uses = [n for n in names if n in used]
         else:
             kind = "call" if calls else "statement"
         number += 1
-        yield "node", {"node_ord": number, "parent_ord": None, "node_type": kind, "label": code[:80], "line": i, "col": len(raw) - len(raw.lstrip()), "code": code, "defs": defs, "uses": uses, "calls": calls}
+        yield "node", {"node_ord": number, "parent_ord": parents[-1][1] if parents else None, "node_type": kind, "label": code[:80], "line": i, "col": len(raw) - len(raw.lstrip()), "code": code, "defs": defs, "uses": uses, "calls": calls}
+        if code.endswith("{"):
+            parents.append((depth, number))
 
 
 def parse_file(language: str, source: str) -> Iterator[tuple[str, dict]]:
@@ -138,47 +189,46 @@ def parse_file(language: str, source: str) -> Iterator[tuple[str, dict]]:
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """files (scope, path, language, source, ord) to rows of kind and JSON body."""
+    """files (scope, path, language, source, ord) to rows of the four kinds."""
+    schema = to_arrow_schema(ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
+            rows: list[dict] = []
             for r in b.to_pylist():
-                head = (r["scope"], r["path"], r["ord"])
+                head = {"scope": r["scope"], "file": r["path"], "file_ord": r["ord"]}
                 try:
-                    rows += [(*head, kind, json.dumps(body)) for kind, body in parse_file(r["language"], r["source"] or "")]
+                    rows += [{**head, "kind": kind, **body} for kind, body in parse_file(r["language"], r["source"] or "")]
                 except (SyntaxError, ValueError, RecursionError) as e:
-                    rows.append((*head, "error", json.dumps({"message": str(e)[:200]})))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.string())], names=["scope", "file", "file_ord", "kind", "body"])
+                    rows.append({**head, "kind": "error", "message": str(e)[:200]})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.select("scope", "path", "language", "source", F.col("ord").cast("bigint").alias("ord")).mapInArrow(run, ROW)
 
 
-def _table(parsed: DataFrame, kind: str, schema: str) -> DataFrame:
-    return parsed.where(F.col("kind") == kind).select("scope", "file", "file_ord", F.from_json("body", schema).alias("b")).select("scope", "file", "file_ord", "b.*")
+def _table(parsed: DataFrame, kind: str) -> DataFrame:
+    return parsed.where(F.col("kind") == kind).select("scope", "file", "file_ord", *KINDS[kind])
 
 
 def node_table(parsed: DataFrame, files: DataFrame) -> DataFrame:
     """pdg_nodes with ids that are unique in a scope: file order, then node order."""
-    nodes = _table(parsed, "node", "node_ord bigint, parent_ord bigint, node_type string, label string, line int, col int, code string, defs array<string>, uses array<string>, calls array<string>")
     base = F.col("file_ord") * F.lit(1 << 24)
-    out = nodes.withColumns({"node_id": base + F.col("node_ord"), "parent_id": base + F.col("parent_ord"), "ord": base + F.col("node_ord")}).drop("node_ord", "parent_ord")
+    out = _table(parsed, "node").withColumns({"node_id": base + F.col("node_ord"), "parent_id": base + F.col("parent_ord"), "ord": base + F.col("node_ord")}).drop("node_ord", "parent_ord")
     return out.join(files.select("scope", F.col("path").alias("file"), "language"), ["scope", "file"])
 
 
 def func_table(parsed: DataFrame) -> DataFrame:
-    out = _table(parsed, "func", "name string, params array<string>, start_line int")
+    out = _table(parsed, "func")
     return out.withColumn("ord", F.col("file_ord") * F.lit(1 << 24) + F.col("start_line")).drop("file_ord")
 
 
 def import_table(parsed: DataFrame) -> DataFrame:
-    out = _table(parsed, "import", "local_name string, module_stem string")
+    out = _table(parsed, "import")
     return out.withColumn("ord", F.col("file_ord")).drop("file_ord")
 
 
 def error_table(parsed: DataFrame) -> DataFrame:
-    return _table(parsed, "error", "message string").drop("file_ord")
+    return _table(parsed, "error").drop("file_ord")
 
 
 def module_table(files: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ first rule that matches wins.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,21 +43,37 @@ def effective_rules(rules: DataFrame, framework: str | None = None) -> DataFrame
     return base.unionByName(extra.withColumn("ord", F.col("ord") + 1_000_000).select(*base.columns))
 
 
+#: What a literal in a Java pattern needs a backslash for.
+_SPECIAL = r"([^\p{L}\p{N}_])"
+
+
 def matches(code: Column, pattern: Column, boundary: bool = True) -> Column:
     """Substring match; patterns that begin with a letter or ``_`` need a word boundary before."""
     plain = F.contains(code, pattern)
     if not boundary:
         return (pattern != "") & plain
     # the cheap substring test decides first; the boundary is looked at behind it only
-    bounded = F.regexp_like(code, F.concat(F.lit("\\b\\Q"), pattern, F.lit("\\E")))
+    bounded = F.regexp_like(code, F.concat(F.lit("\\b"), F.regexp_replace(pattern, _SPECIAL, r"\\$1")))
     return (pattern != "") & plain & (~F.regexp_like(pattern, F.lit("^[\\p{L}_]")) | bounded)
 
 
-def first_match(rows: DataFrame, rules: DataFrame, code: str, lang: str | None, kind: str, boundary: bool = True, out: str = "rule") -> DataFrame:
+def any_pattern(patterns: list[str], boundary: bool = True) -> str:
+    """One pattern for all of the literals; it finds a text if one of them matches it."""
+
+    def one(p: str) -> str:
+        literal = re.sub(r"([^\w])", r"\\\1", p)
+        return rf"\b{literal}" if boundary and (p[0].isalpha() or p[0] == "_") else literal
+
+    return "|".join(one(p) for p in sorted(set(patterns)) if p)
+
+
+def first_match(rows: DataFrame, rules: DataFrame, code: str, lang: str | None, kind: str, boundary: bool = True, out: str = "rule", framework: str | None = None) -> DataFrame:
     """``rows`` with ``out``: struct of the first rule of ``kind`` that matches, or null.
 
-    The catalogue is gathered to one array per language and broadcast; no row is
-    multiplied by the number of rules.
+    ``rules`` is a catalogue: some hundreds of rows, which the driver may hold.
+    One compiled pattern tells the rows that no rule matches, which are most;
+    for the others the catalogue's lists, one for each language (and value of
+    ``framework``), are broadcast.  No row is multiplied by the rules.
     """
     some = rules.where(F.col("kind") == kind)
     body = F.struct("ord", "pattern", "tag", "severity", "power", "effective_for")
@@ -63,26 +81,58 @@ def first_match(rows: DataFrame, rules: DataFrame, code: str, lang: str | None,
         lists = some.agg(F.sort_array(F.collect_list(body)).alias("_rules"))
         joined = rows.crossJoin(F.broadcast(lists))  # one row
     else:
-        grouped = some.groupBy("lang_group").agg(F.sort_array(F.collect_list(body)).alias("_rules"))
-        everything = some.agg(F.sort_array(F.collect_list(body)).alias("_all"))
-        joined = rows.join(F.broadcast(grouped), lang_group(F.col(lang)) == F.col("lang_group"), "left").drop("lang_group").crossJoin(F.broadcast(everything))
-        joined = joined.withColumn("_rules", F.coalesce("_rules", "_all")).drop("_all")  # an unknown language has all rules
+        named = F.lit(None).cast("string") if framework is None else F.col(framework)
+        if "for_framework" not in some.columns:
+            some = some.withColumn("for_framework", F.lit(None).cast("string"))
+        grouped = some.groupBy(F.col("lang_group").alias("_group"), F.col("for_framework").alias("_fw")).agg(F.sort_array(F.collect_list(body)).alias("_rules"))
+        everything = some.groupBy(F.col("for_framework").alias("_fw2")).agg(F.sort_array(F.collect_list(body)).alias("_all"))
+        joined = rows.join(F.broadcast(grouped), (lang_group(F.col(lang)) == F.col("_group")) & named.eqNullSafe(F.col("_fw")), "left").join(F.broadcast(everything), named.eqNullSafe(F.col("_fw2")), "left")
+        joined = joined.withColumn("_rules", F.coalesce("_rules", "_all")).drop("_all", "_group", "_fw", "_fw2")  # an unknown language has all rules
+    listed = [r["pattern"] for r in some.select("pattern").distinct().collect() if r["pattern"]]
     hit = F.filter("_rules", lambda r: matches(F.col(code), r["pattern"], boundary))
-    return joined.withColumn(out, F.get(hit, F.lit(0))).drop("_rules")
+    found = F.when(F.col(code).rlike(any_pattern(listed, boundary)), F.get(hit, F.lit(0))) if listed else F.get(hit, F.lit(0))
+    return joined.withColumn(out, found).drop("_rules")
+
+
+def rules_by_framework(rules: DataFrame) -> DataFrame:
+    """The effective rules of every framework, and of none, told apart by ``for_framework``."""
+    names = [r["framework"] for r in rules.select("framework").distinct().collect()]  # a few profiles
+    out = effective_rules(rules).withColumn("for_framework", F.lit(None).cast("string"))
+    for name in sorted(n for n in names if n):
+        out = out.unionByName(effective_rules(rules, name).withColumn("for_framework", F.lit(name)))
+    return out
+
+
+def matchable(node_type: Column) -> Column:
+    """Types of nodes that may be sources and sinks."""
+    return node_type.isin("call", "assignment", "statement", "expression", "return")
 
 
 def annotate(nodes: DataFrame, rules: DataFrame, framework: str | None = None) -> DataFrame:
-    """Nodes with their first source, sink and sanitizer rule."""
-    matchable = F.col("node_type").isin("call", "assignment", "statement", "expression", "return")
-    active = effective_rules(rules, framework)
-    out = first_match(nodes, active, "code", "language", "source", out="_source")
-    out = first_match(out, active, "code", "language", "sink", out="_sink")
-    out = first_match(out, active, "code", "language", "sanitizer", boundary=False, out="_san")
+    """Nodes with their first source, sink and sanitizer rule.
+
+    ``framework`` names the profile of all nodes; without it a column
+    ``framework`` of the nodes, where there is one, names that of each (a
+    profile that the catalogue lacks counts as none).
+    """
+    column = None
+    if framework is not None:
+        active = effective_rules(rules, framework)
+    elif "framework" in nodes.columns:
+        active, column = rules_by_framework(rules), "_profile"
+        names = [r["framework"] for r in rules.select("framework").distinct().collect() if r["framework"]]
+        nodes = nodes.withColumn("_profile", F.when(F.col("framework").isin(*names), F.col("framework")) if names else F.lit(None).cast("string"))
+    else:
+        active = effective_rules(rules)
+    out = first_match(nodes, active, "code", "language", "source", out="_source", framework=column)
+    out = first_match(out, active, "code", "language", "sink", out="_sink", framework=column)
+    out = first_match(out, active, "code", "language", "sanitizer", boundary=False, out="_san", framework=column)
+    fits = matchable(F.col("node_type"))
     return out.select(
-        *nodes.columns,
-        F.when(matchable, F.col("_source.tag")).alias("source_type"),
-        F.when(matchable, F.col("_sink.tag")).alias("sink_class"),
-        F.when(matchable, F.col("_sink.severity")).alias("sink_severity"),
+        *[c for c in nodes.columns if c != "_profile"],
+        F.when(fits, F.col("_source.tag")).alias("source_type"),
+        F.when(fits, F.col("_sink.tag")).alias("sink_class"),
+        F.when(fits, F.col("_sink.severity")).alias("sink_severity"),
         F.col("_san.pattern").alias("san_pattern"),
         F.col("_san.power").alias("san_power"),
         F.col("_san.effective_for").alias("san_for"),

@@ -5,8 +5,13 @@ first-out work list would meet them; semi-naive evaluation expands only the
 states whose (label, node, type) was not seen on this or an earlier level.
 Every level is a join of the frontier with the data edges, an anti-join with
 what was visited, and a write to the shared folder, so plans stay short and no
-level is computed twice.  Order is carried by ``pos``, the place in a range
-sort by (parent's place, edge order); nothing is gathered in one task.
+level is computed twice.
+
+Order is carried by ``pos``, the array of the seed's order and of the order of
+every edge taken since: on one level, arrays compare as the work list meets the
+states, so no sort over all of them is needed and nothing is gathered in one
+task.  Edges are joined with the facts of their ends once, before the first
+level; tables of visited states are merged every few levels.
 
 States past ``max_pops`` (of one scope) are cut in that order; pass None for
 graphs without such a bound.
@@ -17,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.session import stash
+from tracewright.session import SHARES, drop_stash, stash
 
 TAINTED, PARTIAL = "tainted", "partially_sanitized"
 SAN = "array<struct<power:double,classes:array<string>>>"
@@ -33,9 +38,31 @@ def confidence(danger: Column, severity: Column, path_len: Column) -> Column:
     return F.bround(F.when(path_len > 10, F.greatest(base - 0.1, F.lit(0.1))).otherwise(base), 2)
 
 
-def _in_order(df: DataFrame, *columns: str) -> DataFrame:
-    """``df`` with ``pos``, ascending in the order of the columns."""
-    return df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("pos", F.monotonically_increasing_id())
+def _within_budget(states: DataFrame, spent: DataFrame | None, max_pops: int) -> tuple[DataFrame, DataFrame]:
+    """The states that are popped before their scope has spent ``max_pops``, and (scope, spent) after them.
+
+    Scopes with room for all their states pass as they are.  In the others
+    states are ranked in parts first, each cut at the budget, so that at most
+    64 budgets of a scope meet.
+    """
+    counted = states.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+    if spent is None:
+        spent = counted.select("scope", F.lit(0).cast("bigint").alias("spent")).where("false")
+    both = stash(counted.join(spent, "scope", "full_outer").select("scope", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("spent", F.lit(0)).alias("spent")), "budget")
+    after = both.select("scope", (F.col("n") + F.col("spent")).alias("spent"))
+    over = both.where((F.col("n") > 0) & (F.col("n") + F.col("spent") > max_pops)).select("scope", (F.lit(max_pops) - F.col("spent")).alias("_room"), "n")
+    total, cut = over.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    if not cut:
+        return states, after
+    salted = states.withColumn("_part", F.pmod(F.xxhash64("pos"), F.lit(64)))
+    hot = over.where(F.col("n") * SHARES >= total).drop("n")  # SHARES scopes at most
+    rest = salted.join(F.broadcast(hot.select("scope")), "scope", "left_anti").join(over.where(F.col("n") * SHARES < total).drop("n"), "scope")
+    short = salted.join(F.broadcast(hot), "scope").unionByName(rest)
+    for keys in (["scope", "_part"], ["scope"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
+        short = short.withColumn("_r", rank).where("_r <= _room").drop("_r")
+    enough = states.join(over.select("scope"), "scope", "left_anti")
+    return enough.unionByName(short.drop("_part", "_room")), after
 
 
 def taint_paths(nodes: DataFrame, edges: DataFrame, threshold: float = 0.15, max_len: int = 50, max_pops: int | None = 10_000, label_scope: str = "line", prune: str = "reference", keep_paths: bool = True) -> DataFrame:
@@ -43,64 +70,65 @@ def taint_paths(nodes: DataFrame, edges: DataFrame, threshold: float = 0.15, max
 
     nodes: scope, node_id, ord, file, line, source_type, sink_class,
     sink_severity, san_power, san_for.  edges: scope, src, dst, edge_ord (data
-    dependence only).  Result: scope, source_id, sink_id, label, vuln_class,
-    severity, danger, confidence, path_len, path (node ids), ord.
+    dependence only; a number or an array of numbers, unique for each src).
+    Result: scope, source_id, sink_id, label, vuln_class, severity, danger,
+    confidence, path_len, path (node ids), ord.
 
     ``label_scope`` 'line' labels a seed by its line alone, 'file_line' also by
     its file.  ``prune`` 'reference' drops states by the danger of all
     sanitizers, 'class_aware' leaves that to the sink.
     """
-    nodes = nodes.select("scope", "node_id", "ord", "file", "line", "source_type", "sink_class", "sink_severity", "san_power", "san_for")
-    edges = edges.select("scope", "src", "dst", "edge_ord")
+    facts = ["sink_class", "sink_severity", "san_power", "san_for"]
+    nodes = nodes.select("scope", "node_id", "ord", "file", "line", "source_type", *facts)
     label = F.concat(F.lit("src:"), F.col("line").cast("string"))
     if label_scope == "file_line":
         label = F.concat(F.col("file"), F.lit(":"), label)
     seeds = nodes.where("source_type IS NOT NULL").select(
         "scope", label.alias("label"), F.col("node_id").alias("source_id"), "node_id", F.lit(TAINTED).alias("type"), F.lit(1.0).alias("danger"),
-        F.array().cast(SAN).alias("sans"), F.array("node_id").alias("path"), F.col("ord").cast("bigint").alias("parent"), F.lit(0).cast("bigint").alias("edge_ord"),
+        F.array().cast(SAN).alias("sans"), F.array("node_id").alias("path"), F.array(F.col("ord").cast("bigint")).alias("pos"), *facts,
     )
-    facts = nodes.select("scope", "node_id", "sink_class", "sink_severity", F.struct(F.col("san_power").alias("power"), F.col("san_for").alias("classes")).alias("own_san"))
-    steps = edges.join(nodes.select("scope", F.col("node_id").alias("dst"), "san_power", "san_for"), ["scope", "dst"])
-    visited: DataFrame | None = None
+    nth = F.col("edge_ord") if edges.schema["edge_ord"].dataType.typeName() == "array" else F.array("edge_ord")
+    ends = nodes.where("sink_class IS NOT NULL").select("scope", F.col("node_id").alias("src"))  # nothing is followed beyond a sink
+    steps = edges.select("scope", "src", "dst", nth.cast("array<bigint>").alias("edge_ord")).join(ends, ["scope", "src"], "left_anti")
+    steps = stash(steps.join(nodes.select("scope", F.col("node_id").alias("dst"), *[F.col(c).alias(f"_{c}") for c in facts]), ["scope", "dst"]), "steps")
+    key = ["scope", "label", "node_id", "type"]
+    visited: list[DataFrame] = []
     found: list[DataFrame] = []
     frontier, level, spent = seeds, 1, None
     while level <= max_len:
-        states = _in_order(frontier, "scope", "parent", "edge_ord")
+        states = frontier
         if max_pops is not None:  # pops of one scope, in order, over all levels
-            states = stash(states, f"level{level}")
-            counted = states.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
-            rank = F.row_number().over(Window.partitionBy("scope").orderBy("pos"))
-            if spent is None:
-                states, spent = states.withColumn("_r", rank).where(F.col("_r") <= max_pops).drop("_r"), counted
-            else:
-                before = spent.withColumnRenamed("n", "_n")
-                states = states.join(before, "scope", "left").withColumn("_r", rank).where(F.col("_r") + F.coalesce("_n", F.lit(0)) <= max_pops).drop("_r", "_n")
-                spent = spent.unionByName(counted).groupBy("scope").agg(F.sum("n").alias("n"))
-        key = ["scope", "label", "node_id", "type"]
+            whole = stash(states, f"level{level}")
+            states, spent = _within_budget(whole, spent, max_pops)
+        for seen in visited:
+            states = states.join(seen, key, "left_anti")
         first = F.row_number().over(Window.partitionBy(*key).orderBy("pos"))
-        fresh = states.withColumn("_first", first).where("_first = 1").drop("_first")
-        if visited is not None:
-            fresh = fresh.join(visited, key, "left_anti")
-        fresh = stash(fresh.join(facts, ["scope", "node_id"]), f"fresh{level}")
+        fresh = stash(states.withColumn("_first", first).where("_first = 1").drop("_first"), f"fresh{level}")
+        if max_pops is not None:
+            drop_stash(whole)
         if fresh.isEmpty():
             break
-        seen = fresh.select(*key)
-        visited = seen if visited is None else visited.unionByName(seen)
-        sinks = fresh.where("sink_class IS NOT NULL")
-        at_sink = sinks.withColumn("danger", effective_danger(F.when(F.col("own_san.power").isNotNull(), F.array_append("sans", F.col("own_san"))).otherwise(F.col("sans")), F.col("sink_class")))
+        visited.append(fresh.select(*key))
+        if len(visited) > 6:
+            every = visited[0]
+            for seen in visited[1:]:
+                every = every.unionByName(seen)
+            visited = [stash(every, "visited")]
+        own = F.struct(F.col("san_power").alias("power"), F.col("san_for").alias("classes"))
+        at_sink = fresh.where("sink_class IS NOT NULL").withColumn("danger", effective_danger(F.when(F.col("san_power").isNotNull(), F.array_append("sans", own)).otherwise(F.col("sans")), F.col("sink_class")))
         found.append(at_sink.where(F.col("danger") >= threshold).select("scope", "source_id", F.col("node_id").alias("sink_id"), "label", F.col("sink_class").alias("vuln_class"), F.col("sink_severity").alias("severity"), "danger", F.lit(level).alias("path_len"), "path", "sans", "pos"))
-        moved = fresh.where("sink_class IS NULL").withColumnRenamed("node_id", "src").drop("sink_class", "sink_severity", "own_san", "edge_ord", "parent").join(steps, ["scope", "src"])
-        danger = F.when(F.col("san_power").isNull(), F.col("danger")).otherwise(F.col("danger") * (1.0 - F.col("san_power")))
-        moved = moved.withColumn("danger", danger)
+        moved = fresh.where("sink_class IS NULL").withColumnRenamed("node_id", "src").drop(*facts).join(steps, ["scope", "src"])
+        cleans = F.col("_san_power").isNotNull()
+        moved = moved.withColumn("danger", F.when(cleans, F.col("danger") * (1.0 - F.col("_san_power"))).otherwise(F.col("danger")))
         if prune == "reference":
-            moved = moved.where(F.col("san_power").isNull() | (F.col("danger") >= threshold))
+            moved = moved.where(~cleans | (F.col("danger") >= threshold))
         frontier = moved.select(
-            "scope", "label", "source_id", F.col("dst").alias("node_id"), F.when(F.col("san_power").isNotNull(), PARTIAL).otherwise(F.col("type")).alias("type"), "danger",
-            F.when(F.col("san_power").isNotNull(), F.array_append("sans", F.struct(F.col("san_power").alias("power"), F.col("san_for").alias("classes")))).otherwise(F.col("sans")).alias("sans"),
-            (F.array_append("path", F.col("dst")) if keep_paths else F.col("path")).alias("path"), F.col("pos").alias("parent"), "edge_ord",
+            "scope", "label", "source_id", F.col("dst").alias("node_id"), F.when(cleans, PARTIAL).otherwise(F.col("type")).alias("type"), "danger",
+            F.when(cleans, F.array_append("sans", F.struct(F.col("_san_power").alias("power"), F.col("_san_for").alias("classes")))).otherwise(F.col("sans")).alias("sans"),
+            (F.array_append("path", F.col("dst")) if keep_paths else F.col("path")).alias("path"), F.concat("pos", "edge_ord").alias("pos"), *[F.col(f"_{c}").alias(c) for c in facts],
         )
         level += 1
-    empty = nodes.sparkSession.createDataFrame([], f"scope string, source_id bigint, sink_id bigint, label string, vuln_class string, severity string, danger double, path_len int, path array<bigint>, sans {SAN}, pos bigint")
+    empty = nodes.sparkSession.createDataFrame([], f"scope string, source_id bigint, sink_id bigint, label string, vuln_class string, severity string, danger double, path_len int, path array<bigint>, sans {SAN}, pos array<bigint>")
     out = empty
     for part in found:
         out = part.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in empty.schema]).unionByName(out) if out is empty else out.unionByName(part)

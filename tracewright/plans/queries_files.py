@@ -6,26 +6,30 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import text
 from tracewright.operators import detect, graph, rules, taint
-from tracewright.operators.findings import changed_files, running_prefix
+from tracewright.operators.findings import changed_files, mode, running_prefix
+from tracewright.operators.order import ranked
 from tracewright.plans.registry import query
+from tracewright.session import stash
 from tracewright.sources import files as sources
 
 
 @query("SELECT doc_id, sha256(text) AS sha FROM documents")
 def manifest_sha256(t):
-    return t.documents.select("doc_id", F.sha2("text", 256).alias("sha"))
+    files = t.documents.select(F.lit("s").alias("scope"), F.col("doc_id").alias("path"), F.col("text").alias("source"))
+    return sources.manifest(files).select(F.col("path").alias("doc_id"), F.col("sha256").alias("sha"))
 
 
 @query("""
-WITH o AS (SELECT doc_id AS path, sha256(text) AS sha FROM documents WHERE doc_id % 11 <> 0),
-n AS (SELECT doc_id AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '#' ELSE text END) AS sha FROM documents WHERE doc_id % 13 <> 0)
-SELECT coalesce(n.path, o.path) AS path, CASE WHEN o.sha IS NULL THEN 'new' WHEN n.sha IS NULL THEN 'deleted' ELSE 'changed' END AS reason
-FROM n FULL JOIN o ON n.path = o.path WHERE o.sha IS NULL OR n.sha IS NULL OR o.sha <> n.sha""")
+WITH o AS (SELECT source AS scope, doc_id % 20 AS path, sha256(max(text)) AS sha FROM documents WHERE doc_id % 11 <> 0 GROUP BY 1, 2),
+n AS (SELECT source AS scope, doc_id % 20 AS path, sha256(max(CASE WHEN doc_id % 7 = 0 THEN text || '#' ELSE text END)) AS sha FROM documents WHERE doc_id % 13 <> 0 GROUP BY 1, 2)
+SELECT coalesce(n.scope, o.scope) AS scope, coalesce(n.path, o.path) AS path, CASE WHEN o.sha IS NULL THEN 'new' WHEN n.sha IS NULL THEN 'deleted' ELSE 'changed' END AS reason
+FROM n FULL JOIN o ON n.path = o.path AND n.scope = o.scope WHERE o.sha IS NULL OR n.sha IS NULL OR o.sha <> n.sha""")
 def manifest_changed(t):
-    # the two states of the tree are made from one table: some files added, removed and edited
-    d = t.documents.select(F.col("doc_id").alias("path"), "text")
-    old = d.where("path % 11 <> 0").select("path", F.sha2("text", 256).alias("sha256"))
-    new = d.where("path % 13 <> 0").select("path", F.sha2(F.when(F.col("path") % 7 == 0, F.concat("text", F.lit("#"))).otherwise(F.col("text")), 256).alias("sha256"))
+    # the two states of the trees are made from one table: files added, removed and edited; scopes share their paths
+    d = t.documents.select(F.col("source").alias("scope"), "doc_id", (F.col("doc_id") % 20).alias("path"), "text")
+    state = lambda rows, body: sources.manifest(rows.groupBy("scope", "path").agg(F.max(body).alias("source")))
+    old = state(d.where("doc_id % 11 <> 0"), F.col("text"))
+    new = state(d.where("doc_id % 13 <> 0"), F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("#"))).otherwise(F.col("text")))
     return changed_files(old, new)
 
 
@@ -48,7 +52,7 @@ def language_map(t):
 
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, lang LIMIT 1")
 def language_mode(t):
-    return t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1)
+    return mode(t.documents, "lang")
 
 
 @query("""
@@ -56,12 +60,11 @@ WITH f AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER B
 SELECT source, min(CASE WHEN regexp_matches(text, 'Apache|MIT') THEN 0 WHEN regexp_matches(text, '[0-9]{6}') THEN 1 WHEN regexp_matches(text, 'token') THEN 2 END) AS framework
 FROM f WHERE ord <= 50 GROUP BY source HAVING framework IS NOT NULL""")
 def framework_first(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy("doc_id")
-    rows = t.documents.select("source", "doc_id", "text").withColumn("ord", F.row_number().over(w)).where("ord <= 50")  # the detector reads 50 files
-    n = text.framework_number(F.col("text"), [("a", "Apache|MIT"), ("b", "[0-9]{6}"), ("c", "token")])
-    return rows.groupBy("source").agg(F.min(n).alias("framework")).where("framework IS NOT NULL")
+    # places are ranked without the texts; the detector reads those of 50 files
+    place = ranked(t.documents.select(F.col("source").alias("scope"), "doc_id"), ["scope"], ["doc_id"]).select("doc_id", F.col("_rank").alias("ord")).where("ord <= 50")
+    rows = t.documents.select(F.col("source").alias("scope"), "doc_id", F.col("text").alias("source")).join(place, "doc_id")
+    found = sources.detect_framework(rows, patterns=[("0", "Apache|MIT"), ("1", "[0-9]{6}"), ("2", "token")])
+    return found.select(F.col("scope").alias("source"), F.col("framework").cast("int").alias("framework"))
 
 
 RULES = ["idiot", "scum", "license", "token", "| ", "http", "the", "de", "é"]
@@ -104,7 +107,7 @@ def prefix_budget(t):
 
 
 @query("""
-WITH s AS (SELECT source, doc_id, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS total FROM documents)
+WITH s AS (SELECT source, doc_id, sum(length(text) + length(doc_id::VARCHAR) + 18) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS total FROM documents)
 SELECT source, count(*) AS n, max(doc_id) AS last_id FROM s WHERE total <= 2000000 GROUP BY source""")
 def bundle_prefix(t):
     rows = t.documents.select(F.col("source").alias("scope"), F.col("doc_id").alias("path"), F.col("text").alias("source"))
@@ -151,11 +154,12 @@ def read_sink_20(t):
 
 
 @query("""
-WITH w AS (SELECT event_id AS write_id FROM events WHERE event_type = 'signup' ORDER BY ts, event_id LIMIT 1)
-SELECT e.event_id, w.write_id FROM events e, w WHERE e.event_type = 'error'""")
+WITH w AS (SELECT user_id % 50 AS scope, arg_min(event_id, (ts, event_id)) AS write_id FROM events WHERE event_type = 'signup' AND value > 50 GROUP BY 1)
+SELECT e.event_id, w.write_id FROM events e JOIN w ON e.user_id % 50 = w.scope WHERE e.event_type = 'error'""")
 def second_order_first_write(t):
-    first = t.events.where("event_type = 'signup'").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("write_id"))
-    return t.events.where("event_type = 'error'").select("event_id").crossJoin(F.broadcast(first)).where("write_id IS NOT NULL")  # one row
+    e = t.events.withColumn("scope", F.col("user_id") % 50)
+    writes = e.where("event_type = 'signup' AND value > 50").select("scope", "ts", "event_id")
+    return detect.with_first_write(e.where("event_type = 'error'").select("scope", F.col("event_id").alias("sink")), writes, ["scope"], ["ts", "event_id"]).select(F.col("sink").alias("event_id"), F.col("w.event_id").alias("write_id"))
 
 
 @query(LINES_SQL + """,
@@ -171,7 +175,7 @@ def unguarded_route(t):
 SELECT event_id FROM (SELECT *, max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) AS safe FROM events) WHERE safe = 0 AND event_type = 'error'""")
 def timing_gate(t):
     safe = t.events.groupBy("user_id").agg(F.max(F.col("event_type") == "signup").alias("safe"))
-    return t.events.where("event_type = 'error'").join(safe.where("NOT safe"), "user_id", "left_semi").select("event_id")
+    return detect.unless_safe(t.events, safe, ["user_id"], F.col("event_type") == "error", "safe").select("event_id")
 
 
 @query("""
@@ -186,20 +190,20 @@ def def_use_edges(t):
 @query("""
 WITH k AS (SELECT event_id, user_id, event_type, 'app.k' || (event_id % 997) || '_' || user_id % 20 AS key FROM events)
 SELECT a.event_id AS src, b.event_id AS dst, '<shared:' || min(a.key) || '>' AS var FROM k a JOIN k b ON a.key = b.key AND a.user_id <> b.user_id
-WHERE a.event_type = 'signup' AND b.event_type = 'purchase' GROUP BY 1, 2""")
+WHERE a.event_type = 'signup' AND b.event_type = 'purchase' AND a.event_id % 5 <> 0 GROUP BY 1, 2""")
 def shared_state_edges(t):
     key = F.concat(F.lit("app.k"), F.col("event_id") % 997, F.lit("_"), F.col("user_id") % 20)
     code = F.when(F.col("event_type") == "signup", F.concat(key, F.lit(" = compute()"))).otherwise(F.concat(F.lit("result = "), key))
     nodes = t.events.where("event_type IN ('signup', 'purchase')").select(F.lit("s").alias("scope"), F.col("event_id").alias("node_id"), F.col("user_id").cast("string").alias("file"), code.alias("code"))
-    return graph.shared_state_edges(nodes).select("src", "dst", "var")
+    known = graph.shared_state_edges(nodes).where("src % 5 = 0")  # edges that are there already are not made again
+    return graph.shared_state_edges(nodes, known).select("src", "dst", "var")
 
 
 @query("""
 SELECT p_partkey, i::INT AS pos, a[i + 1] AS arg, b[i + 1] AS param FROM (SELECT p_partkey, string_split(p_name, ' ') AS a, string_split(p_type, ' ') AS b FROM part), unnest(range(0, least(len(a), len(b)))) AS u(i)""")
 def arg_param_zip(t):
-    p = t.part.select("p_partkey", F.split("p_name", " ").alias("a"), F.split("p_type", " ").alias("b"))
-    args = p.select("p_partkey", F.posexplode("a").alias("pos", "arg"))
-    return args.join(p.select("p_partkey", F.posexplode("b").alias("pos", "param")), ["p_partkey", "pos"])
+    calls, functions = t.part.select("p_partkey", F.split("p_name", " ").alias("args")), t.part.select("p_partkey", F.split("p_type", " ").alias("params"))
+    return graph.positional_zip(calls, functions, ["p_partkey"])
 
 
 @query("""
@@ -238,16 +242,25 @@ FOLD_SQL = """
 WITH RECURSIVE e AS (SELECT user_id, event_id AS src, lead(event_id) OVER w AS dst, event_type AS kind, lead(event_type) OVER w AS dkind FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 d AS (SELECT * FROM e WHERE dst IS NOT NULL),
 mid AS (SELECT a.dst AS node FROM d a JOIN d b ON a.dst = b.src WHERE a.dkind IN ('view', 'click')),
-r AS (SELECT src, dst, 0 AS n FROM d WHERE src NOT IN (SELECT node FROM mid)
-  UNION ALL SELECT r.src, d.dst, r.n + 1 FROM r JOIN mid ON r.dst = mid.node JOIN d ON d.src = r.dst)
-SELECT src, dst, n::BIGINT AS folded FROM r WHERE dst NOT IN (SELECT node FROM mid)"""
+r AS (SELECT src, dst, [src] AS path FROM d WHERE src NOT IN (SELECT node FROM mid)
+  UNION ALL SELECT r.src, d.dst, list_append(r.path, r.dst) FROM r JOIN mid ON r.dst = mid.node JOIN d ON d.src = r.dst),
+f AS (SELECT src, dst, path FROM r WHERE dst NOT IN (SELECT node FROM mid))
+"""
 
 
-@query(FOLD_SQL)
+@query(FOLD_SQL + "SELECT src, dst, array_to_string(path[2:], '-') AS folded FROM f")
 def fold_chains(t):
     edges, nodes = event_chain(t)
     thru = graph.passthrough_nodes(nodes, edges, [])
-    return graph.fold_chains(edges, thru).select("src", "dst", F.size("folded").cast("bigint").alias("folded"))
+    return graph.fold_chains(edges, thru).select("src", "dst", F.array_join(F.col("folded").cast("array<string>"), "-").alias("folded"))
+
+
+@query(FOLD_SQL + """, g AS (SELECT sum(len(path) - 1) AS gone FROM f)
+SELECT count(*) AS n_before, (count(*) - (SELECT gone FROM g))::BIGINT AS n_after, round((count(*) - (SELECT gone FROM g)) / count(*)::DOUBLE, 6) AS ratio FROM events""")
+def fold_ratio(t):
+    edges, nodes = event_chain(t)
+    folded = graph.fold_chains(edges, graph.passthrough_nodes(nodes, edges, []))
+    return graph.fold_ratio(nodes, folded).select("n_before", "n_after", F.round("ratio", 6).alias("ratio"))
 
 
 def event_chain(t):
@@ -261,14 +274,13 @@ def event_chain(t):
     return edges, e.select("scope", F.col("event_id").alias("node_id"), kind.alias("node_type"), F.lit("").alias("code"))
 
 
-@query("""
-WITH f AS (""" + FOLD_SQL + """) SELECT sum(folded + 2)::BIGINT AS nodes, count(*) AS paths FROM f""")
+@query(FOLD_SQL + """, p AS (SELECT src || '-' || dst AS key, list_append(path, dst) AS nodes FROM f)
+SELECT key, (i - 1)::INT AS pos, nodes[i] AS node_id, i > 1 AND i < len(nodes) AS is_folded FROM p, unnest(range(1, len(nodes) + 1)) AS u(i)""")
 def unfold_paths(t):
     edges, nodes = event_chain(t)
-    folded = graph.fold_chains(edges, graph.passthrough_nodes(nodes, edges, []))
+    folded = stash(graph.fold_chains(edges, graph.passthrough_nodes(nodes, edges, [])), "folded")
     paths = folded.select("scope", F.concat_ws("-", "src", "dst").alias("key"), F.array("src", "dst").alias("path"))
-    out = graph.unfold_paths(paths, folded, "key")
-    return out.agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("key").alias("paths"))
+    return graph.unfold_paths(paths, folded, "key").select("key", "pos", "node_id", "is_folded")
 
 
 def _trade_graph(t, cyclic: bool):
@@ -331,6 +343,50 @@ def taint_cyclic(t):
     return _paths(taint.taint_paths(nodes, edges, max_pops=None, keep_paths=False)).groupBy("label", "sink").agg(F.count(F.lit(1)).alias("kinds"))
 
 
-@query("SELECT l_orderkey, round(product(1.0::DOUBLE - l_discount), 9) AS danger FROM lineitem GROUP BY l_orderkey")
+ROADS_SQL = """
+WITH bound AS (SELECT {bound} AS k),
+e AS (SELECT o_custkey + (1::BIGINT << 40) AS src, o_orderkey + (2::BIGINT << 40) AS dst, o_orderpriority = '1-URGENT' AS clean FROM orders
+  UNION ALL SELECT DISTINCT l_orderkey + (2::BIGINT << 40), l_suppkey + (3::BIGINT << 40), false FROM lineitem),
+l1 AS (SELECT 'src:' || n_regionkey AS label, c_custkey + (1::BIGINT << 40) AS node, 't' AS kind, [c_custkey + (1::BIGINT << 40)] AS path, row_number() OVER (ORDER BY c_custkey) AS nth FROM customer JOIN nation ON c_nationkey = n_nationkey),
+f1 AS (SELECT * FROM l1 WHERE nth <= (SELECT k FROM bound)),
+l2 AS (SELECT f1.label, e.dst AS node, CASE WHEN e.clean THEN 'p' ELSE f1.kind END AS kind, list_append(f1.path, e.dst) AS path FROM f1 JOIN e ON f1.node = e.src),
+n2 AS (SELECT *, row_number() OVER (ORDER BY path) + (SELECT count(*) FROM l1) AS nth FROM l2),
+f2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label, node, kind ORDER BY path) AS r FROM n2 WHERE nth <= (SELECT k FROM bound)) WHERE r = 1),
+l3 AS (SELECT f2.label, e.dst AS node, f2.kind, list_append(f2.path, e.dst) AS path FROM f2 JOIN e ON f2.node = e.src),
+n3 AS (SELECT *, row_number() OVER (ORDER BY path) + (SELECT count(*) FROM l1) + (SELECT count(*) FROM l2) AS nth FROM l3),
+f3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label, node, kind ORDER BY path) AS r FROM n3 WHERE nth <= (SELECT k FROM bound)) WHERE r = 1)
+SELECT label, node AS sink_id, array_to_string(path, '>') AS path FROM f3 JOIN supplier ON f3.node = s_suppkey + (3::BIGINT << 40) WHERE s_acctbal < 0
+"""
+
+
+def _roads(t, max_pops: int | None, max_len: int = 50):
+    nodes, edges = _trade_graph(t, cyclic=False)
+    suppliers = nodes.where(F.shiftright("node_id", 40) < 4)
+    out = taint.taint_paths(suppliers, edges.where(F.shiftright("dst", 40) < 4), max_pops=max_pops, max_len=max_len)
+    return out.select("label", "sink_id", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query(ROADS_SQL.format(bound="1::BIGINT << 60"))
+def taint_first_paths(t):
+    """The path that the work list meets first, for every label, sink and kind of taint."""
+    return _roads(t, None)
+
+
+@query(ROADS_SQL.format(bound="(SELECT 2 * count(*) FROM orders)"))
+def taint_budget(t):
+    """The same under a bound on the states that are popped, which cuts inside the third level."""
+    return _roads(t, 2 * t.orders.count())
+
+
+@query("SELECT 'src:0' AS label, 0::BIGINT AS sink_id, '' AS path WHERE false")
+def taint_short_paths(t):
+    """No sink lies within two nodes."""
+    return _roads(t, None, max_len=2)
+
+
+@query("SELECT l_orderkey, round(product(CASE WHEN l_linenumber % 3 <> 0 THEN 1.0::DOUBLE - l_discount ELSE 1.0::DOUBLE END), 9) AS danger FROM lineitem GROUP BY l_orderkey")
 def danger_product(t):
-    return t.lineitem.groupBy("l_orderkey").agg(F.round(F.product(F.lit(1.0) - F.col("l_discount")), 9).alias("danger"))
+    # a third of the sanitizers work for another class
+    classes = F.when(F.col("l_linenumber") % 3 != 0, F.array(F.lit("sqli"))).otherwise(F.array(F.lit("xss")))
+    sans = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_discount").cast("double").alias("power"), classes.alias("classes"))).alias("sans"))  # an order has a few lines
+    return sans.select("l_orderkey", F.round(taint.effective_danger(F.col("sans"), F.lit("sqli")), 9).alias("danger"))

@@ -9,6 +9,8 @@ from tracewright.functions import scoring, text
 from tracewright.operators import findings as fd
 from tracewright.operators import taint
 from tracewright.plans.registry import query
+from tracewright.plans.report import context, markdown_table
+from tracewright.session import fresh_path
 from tracewright.sources import files as sources
 from tracewright.streaming import limits
 
@@ -96,8 +98,7 @@ def finding_stats(t):
 
 @query(f"""SELECT o_orderstatus, {SEV_SQL} AS severity, grouping(o_orderstatus)::INT AS g, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus, severity), (severity))""")
 def stats_cube(t):
-    o = orders(t).groupingSets([["o_orderstatus", "severity"], ["severity"]], "o_orderstatus", "severity").agg(F.grouping("o_orderstatus").cast("int").alias("g"), F.count(F.lit(1)).alias("n"))
-    return o.select("o_orderstatus", "severity", "g", "n")
+    return fd.severity_cube(orders(t), "o_orderstatus").select("o_orderstatus", "severity", "g", "n")
 
 
 @query(f"""WITH w AS (SELECT o_custkey, least(100, sum(CASE {SEV_SQL} WHEN 'critical' THEN 40 WHEN 'high' THEN 15 WHEN 'medium' THEN 5 WHEN 'low' THEN 1 ELSE 0 END))::INT AS risk_score FROM orders GROUP BY 1)
@@ -108,7 +109,7 @@ def risk_score(t):
 
 @query(f"""SELECT {SEV_SQL} AS severity, count(*) AS n FROM orders GROUP BY 1""")
 def severity_histogram(t):
-    return orders(t).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    return context(orders(t).withColumns({"cwe_id": F.lit("c"), "title": F.lit("t"), "owasp_category": F.lit("o"), "sink_file": F.lit("f"), "sink_line": F.lit(1), "id": F.col("o_orderkey")}))["severities"]
 
 
 @query("""WITH c AS (SELECT 'CWE-' || o_custkey % 40 AS cwe, 'T' || o_orderkey AS title, o_orderkey FROM orders)
@@ -125,7 +126,8 @@ def owasp_counts(t):
 
 @query(f"""SELECT o_orderkey FROM orders WHERE {SEV_SQL} = 'critical' ORDER BY o_orderkey LIMIT 3""")
 def top_critical(t):
-    return orders(t).where("severity = 'critical'").orderBy("o_orderkey").limit(3).select("o_orderkey")
+    rows = orders(t).withColumns({"cwe_id": F.lit("c"), "title": F.lit("t"), "owasp_category": F.lit("o"), "sink_file": F.lit("f"), "sink_line": F.col("o_orderkey"), "id": F.col("o_orderkey")})
+    return context(rows)["critical"].select(F.col("sink_line").alias("o_orderkey"))
 
 
 @query(f"""WITH s AS (SELECT o_custkey, count(*) AS n, count(*) FILTER ({SEV_SQL} = 'critical') AS c, count(*) FILTER ({SEV_SQL} = 'high') AS h FROM orders GROUP BY 1)
@@ -166,7 +168,7 @@ def compare_scans(t):
 
 DIFF_SQL = """WITH a AS (SELECT event_id AS id, user_id, event_type, (epoch_us(ts) // 60000000) AS line FROM events WHERE event_id % 2 = 0),
 b AS (SELECT event_id AS other_id, user_id, event_type AS other_type, (epoch_us(ts) // 60000000) + 2 AS other_line FROM events WHERE event_id % 2 = 1),
-m AS (SELECT id, min(other_id) AS other_id FROM a JOIN b ON a.user_id = b.user_id AND abs(line - other_line) <= 5 AND (event_type = other_type OR other_type = 'error') GROUP BY id)
+m AS (SELECT id, min(other_id) AS other_id FROM a JOIN b ON a.user_id = b.user_id AND abs(line - other_line) <= 5 AND (event_type = other_type OR other_type = 'error' OR event_type = 'view') GROUP BY id)
 SELECT CASE WHEN m.id IS NULL THEN 'ours_only' ELSE 'overlap' END AS bucket, a.id, m.other_id FROM a LEFT JOIN m ON a.id = m.id
 UNION ALL SELECT 'theirs_only', NULL, other_id FROM b WHERE other_id NOT IN (SELECT other_id FROM m)"""
 
@@ -177,7 +179,8 @@ def differential_5(t):
     e = t.events.withColumn("m", minute)
     ours = e.where("event_id % 2 = 0").select(F.col("event_id").alias("id"), "user_id", "event_type", F.col("m").alias("line"))
     theirs = e.where("event_id % 2 = 1").select(F.col("event_id").alias("other_id"), "user_id", F.col("event_type").alias("other_type"), (F.col("m") + 2).alias("other_line"), F.col("event_id").alias("other_ord"))
-    return fd.differential(ours, theirs, ["user_id"], 5, (F.col("event_type") == F.col("other_type")) | (F.col("other_type") == "error"))
+    vuln = lambda c, none: F.when(F.col(c) == none, "unknown").otherwise(F.col(c))
+    return fd.differential(ours, theirs, ["user_id"], 5, scoring.compatible(vuln("other_type", "error"), vuln("event_type", "view")))
 
 
 @query("SELECT page_id, CASE " + " ".join(f"WHEN contains(lower(url), '{k}') THEN '{v}'" for k, v in scoring.RULE_KEYWORDS) + " ELSE 'unknown' END AS vuln_class FROM pages")
@@ -217,8 +220,11 @@ def valid_chains(t):
 d AS (SELECT event_id AS ord, user_id, (event_id * 7) % 1000 AS file, (event_id % 15)::INT AS line, (event_id % 11) / 10.0::DOUBLE AS confidence FROM events)
 SELECT user_id, ord FROM (SELECT d.*, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, ord) AS r FROM d LEFT JOIN b USING (file) WHERE confidence >= 0.6::DOUBLE AND line > 0 AND (n_lines IS NULL OR line <= n_lines)) WHERE r <= 5""")
 def valid_discoveries(t):
-    bounds = t.documents.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("file"), F.size(F.split("text", "\n", -1)).alias("n_lines"))  # every third file is unknown
-    d = t.events.select(F.col("event_id").alias("ord"), "user_id", ((F.col("event_id") * 7) % 1000).alias("file"), (F.col("event_id") % 15).cast("int").alias("line"), ((F.col("event_id") % 11) / F.lit(10.0)).alias("confidence"))
+    # every third file is unknown; every other finding names its file with a folder, which only the short name finds
+    bounds = t.documents.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("file"), F.size(F.split("text", "\n", -1)).alias("n_lines"))
+    number = (F.col("event_id") * 7) % 1000
+    file = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("src/deep/"), number)).otherwise(number.cast("string"))
+    d = t.events.select(F.col("event_id").alias("ord"), "user_id", file.alias("file"), (F.col("event_id") % 15).cast("int").alias("line"), ((F.col("event_id") % 11) / F.lit(10.0)).alias("confidence"))
     return fd.valid_discoveries(d, bounds, ["user_id"]).select("user_id", "ord")
 
 
@@ -263,33 +269,53 @@ def triage_latest(t):
 @query("""SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1""")
 def stream_counts(t):
     """The same count as a Structured Streaming query over the table's folder."""
-    import uuid
-
-    from tracewright.session import shared_dir
-
-    shared_dir(t.spark)
-    schema = t.events.schema
-    stream = t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/events.parquet*")
-    name = "errors_" + uuid.uuid4().hex
-    limits.run_to_memory(stream.where("event_type = 'error'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), name)
-    return t.spark.table(name)
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parquet*")
+    counted = stream.where("event_type = 'error'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return limits.run_to_table(counted, fresh_path(t.spark, "errors"), fresh_path(t.spark, "stream"), keys=["user_id"])
 
 
 @query("""SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2""")
 def confusion(t):
-    return t.labels.groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    return fd.confusion(t.labels, "quality", "toxic")
 
 
 @query("""SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 1 AND toxic = 1) AS fp, count(*) FILTER (quality = 0 AND toxic = 0) AS fn, count(*) FILTER (quality = 0 AND toxic = 1) AS tn FROM labels""")
 def confusion_counts(t):
-    q, x = F.col("quality") == 1, F.col("toxic") == 1
-    return t.labels.agg(F.count_if(q & ~x).alias("tp"), F.count_if(q & x).alias("fp"), F.count_if(~q & ~x).alias("fn"), F.count_if(~q & x).alias("tn"))
+    return fd.confusion_counts(t.labels, F.col("quality") == 1, F.col("toxic") == 0)
+
+
+SAMPLES_SQL = """s AS (SELECT c_custkey AS name, c_acctbal > 0 AS vulnerable, count(o_orderkey) FILTER (o_orderstatus = 'F') AS ours, count(o_orderkey) FILTER (o_orderstatus = 'P') AS theirs FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2),
+w AS (SELECT *, CASE WHEN (ours > 0) = (theirs > 0) THEN CASE WHEN vulnerable AND ours = 0 THEN 'neither' ELSE 'tie' END WHEN vulnerable = (ours > 0) THEN 'ours' ELSE 'theirs' END AS winner FROM s)"""
+
+
+def samples(t):
+    """Customers as a benchmark's samples, two states of orders as what two tools found."""
+    found = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("ours"), F.count_if(F.col("o_orderstatus") == "P").alias("theirs"))
+    rows = t.customer.join(found, "c_custkey", "left").select(F.col("c_custkey").alias("name"), (F.col("c_acctbal") > 0).alias("vulnerable"), F.coalesce("ours", F.lit(0)).alias("ours"), F.coalesce("theirs", F.lit(0)).alias("theirs"))
+    return fd.compare_tools(rows)
+
+
+@query(f"""WITH {SAMPLES_SQL} SELECT name, winner FROM w""")
+def tool_winner(t):
+    return samples(t).select("name", "winner")
+
+
+@query(f"""WITH {SAMPLES_SQL} SELECT count(*) FILTER (vulnerable) AS vulnerable, count(*) FILTER (NOT vulnerable) AS safe, count(*) FILTER (vulnerable AND ours > 0) AS ours_found, count(*) FILTER (vulnerable AND theirs > 0) AS theirs_found,
+count(*) FILTER (vulnerable AND winner = 'ours') AS ours_only, count(*) FILTER (vulnerable AND winner = 'theirs') AS theirs_only, count(*) FILTER (NOT vulnerable AND ours > 0) AS ours_false, count(*) FILTER (NOT vulnerable AND theirs > 0) AS theirs_false FROM w""")
+def tool_counts(t):
+    return fd.tool_counts(samples(t))
+
+
+@query(f"""WITH {SAMPLES_SQL} SELECT name, '| ' || name || ' | ' || CASE WHEN ours > 0 THEN ours || ' found' WHEN vulnerable THEN '0 findings' ELSE '0 (correct)' END || ' | ' || CASE WHEN theirs > 0 THEN theirs || ' found' WHEN vulnerable THEN '0 findings' ELSE '0 (correct)' END
+|| ' | ' || CASE winner WHEN 'ours' THEN '**Ours**' WHEN 'theirs' THEN 'Theirs' WHEN 'tie' THEN 'Tie' ELSE 'Neither' END || ' |' AS line FROM w""")
+def markdown_lines(t):
+    return markdown_table(samples(t))
 
 
 @query("""SELECT conv_id, array_to_string(list_sort(list_distinct(list(('CWE-' || turn % 3) || ''))), ',') AS ids FROM conversations GROUP BY 1""")
 def distinct_cwes(t):
-    found = F.regexp_extract(F.concat(F.lit("see CWE-"), F.col("turn") % 3, F.lit(".")), r"(CWE-\d+)", 1)
-    return t.conversations.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set(found)), ",").alias("ids"))
+    rows = t.conversations.withColumn("said", F.concat(F.lit("see CWE-"), F.col("turn") % 3, F.lit(".")))
+    return fd.weakness_ids(rows, ["conv_id"], "said").select("conv_id", F.array_join("ids", ",").alias("ids"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE CASE WHEN contains(left(text, 300), ' ') THEN regexp_replace(left(text, 300), ' [^ ]*$', '') ELSE left(text, 300) END || '…' END AS short FROM documents""")
@@ -316,10 +342,11 @@ def external_findings(t):
     return parsed.select(F.col("event_id").alias("ord"), "rule_id", "file", "line", "severity", "cwe")
 
 
-@query(f"""SELECT o_orderkey, {SEV_SQL} <> 'info' AS shown FROM orders WHERE o_orderstatus = 'F'""")
+@query("""SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND c_acctbal >= 0""")
 def owner_scope(t):
-    # the status stands for the owner; rows of no owner are denied
-    return orders(t).where(F.col("o_orderstatus") == "F").select("o_orderkey", (F.col("severity") != "info").alias("shown"))
+    # a scan is a customer, its owner the market segment; scans of a negative balance have no owner
+    scans = t.customer.select(F.col("c_custkey").alias("scan_id"), F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("user_id"))
+    return fd.owned_findings(t.orders.withColumnRenamed("o_custkey", "scan_id"), scans, "BUILDING").select("o_orderkey")
 
 
 @query("""SELECT e.event_id, CASE WHEN c.ts >= (SELECT max(ts) FROM events) - INTERVAL 3600 SECOND THEN c.event_id END AS cached FROM events e LEFT JOIN (SELECT props, max(event_id) AS event_id, max(ts) AS ts FROM events WHERE event_type = 'view' GROUP BY props) c ON e.props = c.props""")
@@ -332,10 +359,19 @@ def prompt_cache(t):
     return fresh.select("event_id", "cached")
 
 
-@query("""SELECT doc_id, CASE WHEN n_chars > 10485760 THEN 'too_large' WHEN lang NOT IN ('en', 'de', 'fr') THEN 'bad_language' ELSE 'ok' END AS verdict, contains(text, 'http') AS taint_only FROM documents""")
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 2 THEN 'source_type' WHEN page_id % 3 = 0 AND NOT ((starts_with(url, 'https://github.com/') OR starts_with(url, 'https://gitlab.com/') OR starts_with(url, 'https://bitbucket.org/')) AND NOT regexp_matches(url, '[;&|`$<>]|\\.\\.')) THEN 'repository' WHEN page_id % 3 = 1 AND length(html) > 1500 THEN 'size' END AS error,
+CASE WHEN page_id % 4 = 3 THEN 'status' WHEN length(html) > 2000 THEN 'notes' END AS triage FROM pages""")
 def request_checks(t):
-    verdict = F.when(F.col("n_chars") > 10_485_760, "too_large").when(~F.col("lang").isin("en", "de", "fr"), "bad_language").otherwise("ok")
-    return t.documents.select("doc_id", verdict.alias("verdict"), F.contains("text", F.lit("http")).alias("taint_only"))
+    kind = F.get(F.array(F.lit("github_url"), F.lit("raw_code"), F.lit("directory")), (F.col("page_id") % 3).cast("int"))
+    status = F.get(F.array(F.lit("true_positive"), F.lit("false_positive"), F.lit("accepted_risk"), F.lit("open")), (F.col("page_id") % 4).cast("int"))
+    source = F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(F.col("html"))
+    return t.pages.select("page_id", text.request_error(kind, source, limit=1500).alias("error"), text.triage_error(status, F.col("html")).alias("triage"))
+
+
+@query("""SELECT count(*) FILTER (n_chars % 3 = 0) AS taint_only, count(*) AS n FROM documents""")
+def taint_only_count(t):
+    reasoning = F.when(F.col("n_chars") % 3 == 0, "the budget exhausted, taint alone").when(F.col("n_chars") % 3 == 1, "looked at")
+    return t.documents.agg(F.count_if(scoring.taint_only(reasoning)).alias("taint_only"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS previous FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""")
@@ -357,7 +393,7 @@ def owned_findings(t):
 
 @query("""SELECT l_suppkey, sum(l_quantity) AS tokens, count(*) AS calls, count(*) FILTER (l_returnflag = 'R') AS cache_hits FROM lineitem GROUP BY 1""")
 def usage_counters(t):
-    return t.lineitem.groupBy("l_suppkey").agg(F.sum("l_quantity").alias("tokens"), F.count(F.lit(1)).alias("calls"), F.count_if(F.col("l_returnflag") == "R").alias("cache_hits"))
+    return fd.usage(t.lineitem, ["l_suppkey"], "l_quantity", F.col("l_returnflag") == "R")
 
 
 @query("""SELECT user_id, 'rate:' || user_id || ':' || strftime(max(ts), '%Y-%m-%d') AS key FROM events GROUP BY 1""")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import scoring
 from tracewright.operators import findings as fd
+from tracewright.session import stash
 
 
 def summary(total: Column, critical: Column, high: Column) -> Column:
@@ -18,7 +19,12 @@ def summary(total: Column, critical: Column, high: Column) -> Column:
 
 
 def context(findings: DataFrame, order: str = "id") -> dict[str, DataFrame]:
-    """The report's tables; each is a few rows whatever the number of findings."""
+    """The report's tables; each is a few rows whatever the number of findings.
+
+    The findings are written once, with the columns that the tables read.
+    """
+    columns = dict.fromkeys(["severity", "cwe_id", "title", "owasp_category", "sink_file", "sink_line", order])
+    findings = stash(findings.select(*columns), "report")
     counted = fd.severity_counts(findings)
     return {
         "summary": counted.select("total", summary(F.col("total"), F.col("critical"), F.col("high")).alias("text")),
@@ -39,3 +45,20 @@ def render(tables: dict[str, DataFrame], title: str = "Report") -> str:
         body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in rows)
         out.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{body}</table>")
     return "".join(out)
+
+
+def markdown_table(compared: DataFrame) -> DataFrame:
+    """One line of a Markdown table for each sample, in the order of their names: ``line``.
+
+    compared: name, vulnerable, ours, theirs, winner (see ``compare_tools``).
+    """
+    cell = lambda n: F.when(~F.col("vulnerable") & (n == 0), "0 (correct)").when(n == 0, "0 findings").otherwise(F.concat(n.cast("string"), F.lit(" found")))
+    who = F.when(F.col("winner") == "ours", "**Ours**").otherwise(F.initcap("winner"))
+    return compared.select("name", F.concat_ws(" | ", F.concat(F.lit("| "), F.col("name")), cell(F.col("ours")), cell(F.col("theirs")), F.concat(who, F.lit(" |"))).alias("line"))
+
+
+def write_markdown(compared: DataFrame, path: str) -> None:
+    """The table as one text file; samples of a benchmark are few."""
+    head = compared.sparkSession.createDataFrame([(0, "", "| Sample | Ours | Theirs | Winner |"), (1, "", "|---|---|---|---|")], "part int, name string, line string")
+    lines = head.unionByName(markdown_table(compared).select(F.lit(2).alias("part"), F.col("name").cast("string").alias("name"), "line"))
+    lines.orderBy("part", "name").select("line").coalesce(1).write.mode("overwrite").text(path)

@@ -2,33 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import scoring, text
 from tracewright.operators import detect, graph, parse, rules, taint
-from tracewright.operators.findings import collapse_groups
+from tracewright.operators.findings import changed_files, collapse_groups
 from tracewright.session import stash
-from tracewright.sources.files import select_files
+from tracewright.sources.files import detect_framework, manifest, select_files
 
 FINDING = ["scope", "analyzer", "vuln_class", "severity", "confidence", "source_file", "source_line", "sink_file", "sink_line"]
 
 
-def analyse(files: DataFrame, catalogue: DataFrame, framework: str | None = None, **options) -> dict[str, DataFrame]:
-    """Tables nodes, edges, paths and findings of ``files``.
+def analyse(files: DataFrame, catalogue: DataFrame, framework: str | None = None, fold: bool = True, **options) -> dict[str, DataFrame]:
+    """Tables nodes, edges, folded, paths, steps, findings, excluded and errors of ``files``.
 
+    Without ``framework`` the profile of each scope is that of the framework its
+    first files show.  With ``fold`` chains of nodes that only hand a value on
+    are contracted before the search and put back into the paths after it.
     ``options`` go to the fixpoint: threshold, max_len, max_pops, label_scope, prune.
     """
-    kept = select_files(files).where("reason IS NULL").drop("reason")
+    judged = select_files(files)
+    kept = judged.where("reason IS NULL").drop("reason")
     parsed = stash(parse.parse_files(kept), "parsed")
-    nodes = stash(rules.annotate(parse.node_table(parsed, kept), catalogue, framework), "nodes")
+    bare = parse.node_table(parsed, kept)
+    if framework is None:
+        bare = bare.join(detect_framework(kept), "scope", "left")
+    nodes = stash(rules.annotate(bare, catalogue, framework), "nodes")
     edges = stash(graph.project_edges(nodes, parse.func_table(parsed), parse.import_table(parsed), parse.module_table(kept)), "edges")
-    paths = taint.prededup_paths(taint.dedup_paths(taint.taint_paths(nodes, edges, **options), nodes))
-    return {"parsed": parsed, "nodes": nodes, "edges": edges, "paths": paths, "findings": correlate(paths).unionByName(detector_findings(kept), allowMissingColumns=True), "errors": parse.error_table(parsed)}
+    patterns = [r["pattern"] for r in catalogue.select("pattern").distinct().collect()]  # some hundreds
+    thru = graph.passthrough_nodes(nodes, edges, patterns) if fold else nodes.select("scope", "node_id").where("false")
+    folded = stash(graph.fold_chains(edges, thru), "folded")
+    anchors = nodes.join(thru, ["scope", "node_id"], "left_anti")
+    paths = taint.prededup_paths(taint.dedup_paths(taint.taint_paths(anchors, folded, **options), nodes))
+    paths = stash(paths.withColumn("path_id", F.sha2(F.concat_ws("|", "scope", "label", "source_id", "sink_id", "vuln_class"), 256)), "paths")
+    return {
+        "parsed": parsed, "nodes": nodes, "edges": edges, "folded": folded, "fold_ratio": graph.fold_ratio(nodes, folded), "paths": paths, "steps": steps_of(paths, folded, nodes),
+        "findings": correlate(paths, nodes).unionByName(detector_findings(kept), allowMissingColumns=True), "errors": parse.error_table(parsed), "excluded": excluded_names(judged),
+    }
 
 
-def correlate(paths: DataFrame) -> DataFrame:
+def steps_of(paths: DataFrame, folded: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Every node of every path, folded ones put back, in order, for display."""
+    unfolded = graph.unfold_paths(paths, folded, "path_id")
+    walked = paths.select("scope", "path_id", F.posexplode("path").alias("i", "node_id")).join(nodes.select("scope", "node_id", F.col("san_power").isNotNull().alias("clean")), ["scope", "node_id"])
+    so_far = Window.partitionBy("scope", "path_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a path has 50 nodes at most
+    kind = F.when(F.max(F.col("clean") & (F.col("i") > 0)).over(so_far), taint.PARTIAL).otherwise(taint.TAINTED)
+    kinds = walked.withColumn("type", kind).groupBy("scope", "path_id", "node_id").agg(F.max_by("type", "i").alias("type"))
+    return graph.path_steps(unfolded, nodes, kinds, "path_id")
+
+
+def excluded_names(judged: DataFrame) -> DataFrame:
+    """scope, reason and path of the files that were left out."""
+    return judged.where("reason IS NOT NULL").select("scope", "reason", "path")
+
+
+def correlate(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """Paths to scored, classified and deduplicated findings."""
+    paths = paths.join(nodes.select("scope", F.col("node_id").alias("sink_id"), F.col("code").alias("sink_code")), ["scope", "sink_id"], "left")
     verdict = scoring.sanitizer_verdict(F.transform("sans", lambda s: s["power"]))
     out = paths.withColumn("_v", verdict).withColumns({"llm_confidence": F.col("_v.llm_confidence"), "exploitable": F.col("_v.exploitable")})
     t, m, e = F.col("confidence"), F.col("llm_confidence"), F.col("exploitable")
@@ -41,6 +72,7 @@ def correlate(paths: DataFrame) -> DataFrame:
     best = taint.best_per_key(out, ["scope", "source_file", "source_line", "sink_file", "sink_line", "vuln_class"], "confidence", "ord")
     one = collapse_groups(best, ["scope", "sink_file", "sink_line", "vuln_class"], "confidence", ["ord"])
     named = scoring.classify(one).withColumn("title", F.concat("class_title", F.lit(" in "), text.basename(F.col("source_file"))))
+    named = named.withColumn("description", scoring.description(F.col("sink_code"), F.col("dedup_count")))
     return named.withColumn("id", F.sha2(F.concat_ws("|", "scope", "source_file", "source_line", "sink_file", "sink_line", "vuln_class"), 256))
 
 
@@ -54,9 +86,9 @@ def detector_findings(files: DataFrame) -> DataFrame:
 
 
 def incremental(files: DataFrame, old_manifest: DataFrame) -> DataFrame:
-    """Files that are new or changed since the manifest (path, sha256), of any language."""
-    old = old_manifest.select("path", F.col("sha256").alias("_old"))
-    return files.withColumn("_new", F.sha2("source", 256)).join(old, "path", "left").where("_old IS NULL OR _old <> _new").drop("_old", "_new")
+    """Files that are new or changed since the manifest (scope, path, sha256), of any language."""
+    new = changed_files(old_manifest, manifest(files)).where("reason <> 'deleted'")
+    return files.join(new.select("scope", "path"), ["scope", "path"], "left_semi")
 
 
 def gate(findings: DataFrame, threshold: str = "high") -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 # The order of a scan's states.
@@ -39,11 +40,51 @@ def read_through(requests: DataFrame, cache: DataFrame, now: Column, lifetime_se
     return requests.withColumn("_key", F.sha2("prompt", 256)).join(fresh, "_key", "left").drop("_key")
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str = "complete") -> StreamingQuery:
-    """Drive a stream over what is there and leave the result in a table in memory."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
+# The states that may follow each state.
+NEXT = {
+    "queued": ["parsing", "failed", "timeout"],
+    "parsing": ["taint_analysis", "failed", "timeout"],
+    "taint_analysis": ["reasoning", "complete", "failed", "timeout"],
+    "reasoning": ["complete", "failed", "timeout"],
+    "complete": [], "failed": [], "timeout": [],
+}
+
+
+def transitions(events: DataFrame) -> DataFrame:
+    """Events of each scan in order, with the phase before and whether it may be followed by this one."""
+    order = Window.partitionBy("scan_id").orderBy("ts", state_rank(F.col("phase")))  # a scan has a handful of events
+    rows = events.withColumn("before", F.lag("phase").over(order))
+    allowed = F.create_map(*[x for k, v in NEXT.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]).cast("array<string>"))])
+    valid = F.col("before").isNull() | (F.col("before") == F.col("phase")) | F.array_contains(allowed[F.col("before")], F.col("phase"))
+    return rows.withColumn("valid", F.coalesce(valid, F.lit(False)))
+
+
+def clone_plan(requests: DataFrame, clones: DataFrame, now: Column, lifetime_seconds: int = 600) -> DataFrame:
+    """Repositories asked for, with the folder of a fresh clone, or none: those are to be cloned.
+
+    clones: url, folder, cloned_at.  Of several clones the latest counts.
+    """
+    fresh = clones.where(F.col("cloned_at") >= now - F.make_dt_interval(secs=F.lit(lifetime_seconds))).groupBy("url").agg(F.max_by("folder", "cloned_at").alias("folder"))
+    return requests.join(fresh, "url", "left").withColumn("to_clone", F.col("folder").isNull())
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", keys: list[str] | None = None) -> DataFrame:
+    """Drive a stream over what is there; the result is a table in the shared folder.
+
+    Every micro-batch is written under its number, so a repeated batch replaces
+    itself; with ``keys`` the latest batch's row of a key counts.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    fields = T.StructType([*stream.schema, T.StructField("_batch", T.LongType())])
+    rows = stream.sparkSession.read.schema(fields).option("recursiveFileLookup", True).parquet(path)
+    if not keys:
+        return rows.drop("_batch")
+    values = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v")).select(*keys, "_v.*")
 
 
 def fan_out(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
