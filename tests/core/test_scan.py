@@ -122,5 +122,5 @@ def test_framework_is_detected(spark):
 def test_statements_over_several_lines(spark):
     code = "# === FILE: app.js ===\nfunction go(req) {\n  const {id} = req.query;\n  const sql = build(\n    id,\n    1\n  );\n  db.query(\n    sql\n  );\n}\n"
     out, rows = findings(spark, code)
-    assert {(r["vuln_class"], r["sink_line"]) for r in rows} == {("sqli", 6)}
+    assert {(r["vuln_class"], r["sink_line"]) for r in rows} == {("sqli", 7)}
     assert out["nodes"].where("parent_id IS NOT NULL").count() == 3

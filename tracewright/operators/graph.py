@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import strip
+from tracewright.operators.rules import any_pattern
 
 # Names that are no calls or arguments.
 KEYWORDS = [
@@ -170,8 +171,7 @@ def passthrough_nodes(nodes: DataFrame, edges: DataFrame, patterns: list[str]) -
     may be folded and no pattern of any rule in the code."""
     kept = nodes.where(~F.col("node_type").isin("call", "condition", "function_def", "return", "parameter"))
     if patterns:
-        lists = F.array(*[F.lit(p) for p in patterns])
-        kept = kept.where(~F.exists(lists, lambda p: F.contains(F.col("code"), p)))
+        kept = kept.where(~F.col("code").rlike(any_pattern(patterns, boundary=False)))
     return kept.join(degrees(edges).where("n_in = 1 AND n_out = 1"), ["scope", "node_id"], "left_semi")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.operators.catalogue import CATALOGUE
@@ -33,16 +33,6 @@ def lang_group(language: Column) -> Column:
     return out
 
 
-def effective_rules(rules: DataFrame, framework: str | None = None) -> DataFrame:
-    """Language rules, then the rules of one framework for every language, in order."""
-    base = rules.where("framework IS NULL")
-    if framework is None:
-        return base
-    groups = base.select("lang_group").distinct()
-    extra = rules.where(F.col("framework") == framework).drop("lang_group").crossJoin(F.broadcast(groups))  # a framework's few rows for each language
-    return base.unionByName(extra.withColumn("ord", F.col("ord") + 1_000_000).select(*base.columns))
-
-
 #: What a literal in a Java pattern needs a backslash for.
 _SPECIAL = r"([^\p{L}\p{N}_])"
 
@@ -67,42 +57,53 @@ def any_pattern(patterns: list[str], boundary: bool = True) -> str:
     return "|".join(one(p) for p in sorted(set(patterns)) if p)
 
 
-def first_match(rows: DataFrame, rules: DataFrame, code: str, lang: str | None, kind: str, boundary: bool = True, out: str = "rule", framework: str | None = None) -> DataFrame:
-    """``rows`` with ``out``: struct of the first rule of ``kind`` that matches, or null.
+_LIST = "array<struct<ord:int,pattern:string,tag:string,severity:string,power:double,effective_for:array<string>>>"
+EVERY = "*"  # the group of a language that no rule names: it has all rules
+
+
+def rule_lists(spark: SparkSession, rules: list[Row], kinds: list[str], frameworks: list[str | None]) -> DataFrame:
+    """_group, _fw and, for each kind, the ordered rules of a language under a framework's profile."""
+    groups = sorted({r["lang_group"] for r in rules if r["framework"] is None} - {EVERY})
+    out = []
+    for fw in frameworks:
+        extra = {r["ord"]: r for r in rules if fw is not None and r["framework"] == fw}  # for every language, behind its own
+        for g in [*groups, EVERY]:
+            own = [r for r in rules if r["framework"] is None and g in (EVERY, r["lang_group"])]
+            every = [(r["ord"], r) for r in own] + [(r["ord"] + 1_000_000, r) for r in extra.values()]
+            body = lambda k: sorted(((n, r["pattern"], r["tag"], r["severity"], r["power"], r["effective_for"]) for n, r in every if r["kind"] == k), key=lambda x: x[0])  # noqa: B023, E731
+            out.append((g, fw or "", *[body(k) for k in kinds]))
+    return spark.createDataFrame(out, "_group string, _fw string, " + ", ".join(f"_{k} {_LIST}" for k in kinds))
 
-    ``rules`` is a catalogue: some hundreds of rows, which the driver may hold.
-    One compiled pattern tells the rows that no rule matches, which are most;
-    for the others the catalogue's lists, one for each language (and value of
-    ``framework``), are broadcast.  No row is multiplied by the rules.
+
+def first_matches(rows: DataFrame, rules: DataFrame, code: str, lang: str | None, kinds: dict[str, bool], framework: Column | None = None) -> DataFrame:
+    """``rows`` with the first rule of each kind that matches (a struct, or null) as ``_<kind>``.
+
+    ``kinds``: whether a kind's patterns need a word boundary before.  ``rules``
+    is a catalogue: some hundreds of rows, which the driver holds.  One compiled
+    pattern a kind tells the rows that no rule matches, which are most; for the
+    others the ordered lists, one for each language and framework, are
+    broadcast.  No row is multiplied by the rules.
     """
-    some = rules.where(F.col("kind") == kind)
-    body = F.struct("ord", "pattern", "tag", "severity", "power", "effective_for")
-    if lang is None:
-        lists = some.agg(F.sort_array(F.collect_list(body)).alias("_rules"))
-        joined = rows.crossJoin(F.broadcast(lists))  # one row
-    else:
-        named = F.lit(None).cast("string") if framework is None else F.col(framework)
-        if "for_framework" not in some.columns:
-            some = some.withColumn("for_framework", F.lit(None).cast("string"))
-        grouped = some.groupBy(F.col("lang_group").alias("_group"), F.col("for_framework").alias("_fw")).agg(F.sort_array(F.collect_list(body)).alias("_rules"))
-        everything = some.groupBy(F.col("for_framework").alias("_fw2")).agg(F.sort_array(F.collect_list(body)).alias("_all"))
-        joined = rows.join(F.broadcast(grouped), (lang_group(F.col(lang)) == F.col("_group")) & named.eqNullSafe(F.col("_fw")), "left").join(F.broadcast(everything), named.eqNullSafe(F.col("_fw2")), "left")
-        joined = joined.withColumn("_rules", F.coalesce("_rules", "_all")).drop("_all", "_group", "_fw", "_fw2")  # an unknown language has all rules
-    listed = [r["pattern"] for r in some.select("pattern").distinct().collect() if r["pattern"]]
-    hit = F.filter("_rules", lambda r: matches(F.col(code), r["pattern"], boundary))
-    found = F.when(F.col(code).rlike(any_pattern(listed, boundary)), F.get(hit, F.lit(0))) if listed else F.get(hit, F.lit(0))
-    return joined.withColumn(out, found).drop("_rules")
-
-
-def rules_by_framework(rules: DataFrame) -> DataFrame:
-    """The effective rules of every framework, and of none, told apart by ``for_framework``."""
-    names = [r["framework"] for r in rules.select("framework").distinct().collect()]  # a few profiles
-    out = effective_rules(rules).withColumn("for_framework", F.lit(None).cast("string"))
-    for name in sorted(n for n in names if n):
-        out = out.unionByName(effective_rules(rules, name).withColumn("for_framework", F.lit(name)))
+    spark, held = rows.sparkSession, rules.collect()
+    names = sorted({r["framework"] for r in held if r["framework"]}) if framework is not None else []
+    known = sorted({r["lang_group"] for r in held if r["framework"] is None})
+    group = F.lit(EVERY) if lang is None else F.when(lang_group(F.col(lang)).isin(*known), lang_group(F.col(lang))).otherwise(EVERY)
+    profile = F.when(framework.isin(*names), framework).otherwise("") if names else F.lit("")
+    lists = rule_lists(spark, held, list(kinds), [None, *names])
+    out = rows.withColumns({"_g": group, "_p": profile}).join(F.broadcast(lists), (F.col("_g") == F.col("_group")) & (F.col("_p") == F.col("_fw")), "left").drop("_g", "_p", "_group", "_fw")
+    for kind, boundary in kinds.items():
+        listed = [r["pattern"] for r in held if r["kind"] == kind and r["pattern"]]
+        hit = F.filter(f"_{kind}", lambda r: matches(F.col(code), r["pattern"], boundary))  # noqa: B023
+        found = F.when(F.col(code).rlike(any_pattern(listed, boundary)), F.get(hit, F.lit(0))) if listed else F.get(hit, F.lit(0))
+        out = out.withColumn(f"_{kind}", found)
     return out
 
 
+def first_match(rows: DataFrame, rules: DataFrame, code: str, lang: str | None, kind: str, boundary: bool = True, out: str = "rule") -> DataFrame:
+    """``rows`` with ``out``: struct of the first rule of ``kind`` that matches, or null."""
+    return first_matches(rows, rules, code, lang, {kind: boundary}).withColumnRenamed(f"_{kind}", out)
+
+
 def matchable(node_type: Column) -> Column:
     """Types of nodes that may be sources and sinks."""
     return node_type.isin("call", "assignment", "statement", "expression", "return")
@@ -115,25 +116,15 @@ def annotate(nodes: DataFrame, rules: DataFrame, framework: str | None = None) -
     ``framework`` of the nodes, where there is one, names that of each (a
     profile that the catalogue lacks counts as none).
     """
-    column = None
-    if framework is not None:
-        active = effective_rules(rules, framework)
-    elif "framework" in nodes.columns:
-        active, column = rules_by_framework(rules), "_profile"
-        names = [r["framework"] for r in rules.select("framework").distinct().collect() if r["framework"]]
-        nodes = nodes.withColumn("_profile", F.when(F.col("framework").isin(*names), F.col("framework")) if names else F.lit(None).cast("string"))
-    else:
-        active = effective_rules(rules)
-    out = first_match(nodes, active, "code", "language", "source", out="_source", framework=column)
-    out = first_match(out, active, "code", "language", "sink", out="_sink", framework=column)
-    out = first_match(out, active, "code", "language", "sanitizer", boundary=False, out="_san", framework=column)
+    profile = F.lit(framework) if framework is not None else F.col("framework") if "framework" in nodes.columns else None
+    out = first_matches(nodes, rules, "code", "language", {"source": True, "sink": True, "sanitizer": False}, profile)
     fits = matchable(F.col("node_type"))
     return out.select(
-        *[c for c in nodes.columns if c != "_profile"],
+        *nodes.columns,
         F.when(fits, F.col("_source.tag")).alias("source_type"),
         F.when(fits, F.col("_sink.tag")).alias("sink_class"),
         F.when(fits, F.col("_sink.severity")).alias("sink_severity"),
-        F.col("_san.pattern").alias("san_pattern"),
-        F.col("_san.power").alias("san_power"),
-        F.col("_san.effective_for").alias("san_for"),
+        F.col("_sanitizer.pattern").alias("san_pattern"),
+        F.col("_sanitizer.power").alias("san_power"),
+        F.col("_sanitizer.effective_for").alias("san_for"),
     )

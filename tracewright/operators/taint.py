@@ -19,6 +19,8 @@ graphs without such a bound.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,10 @@ def confidence(danger: Column, severity: Column, path_len: Column) -> Column:
     return F.bround(F.when(path_len > 10, F.greatest(base - 0.1, F.lit(0.1))).otherwise(base), 2)
 
 
+def union_of(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _within_budget(states: DataFrame, spent: DataFrame | None, max_pops: int) -> tuple[DataFrame, DataFrame]:
     """The states that are popped before their scope has spent ``max_pops``, and (scope, spent) after them.
 
@@ -100,8 +106,8 @@ def taint_paths(nodes: DataFrame, edges: DataFrame, threshold: float = 0.15, max
         if max_pops is not None:  # pops of one scope, in order, over all levels
             whole = stash(states, f"level{level}")
             states, spent = _within_budget(whole, spent, max_pops)
-        for seen in visited:
-            states = states.join(seen, key, "left_anti")
+        if visited:
+            states = states.join(union_of(visited), key, "left_anti")
         first = F.row_number().over(Window.partitionBy(*key).orderBy("pos"))
         fresh = stash(states.withColumn("_first", first).where("_first = 1").drop("_first"), f"fresh{level}")
         if max_pops is not None:
@@ -110,10 +116,7 @@ def taint_paths(nodes: DataFrame, edges: DataFrame, threshold: float = 0.15, max
             break
         visited.append(fresh.select(*key))
         if len(visited) > 6:
-            every = visited[0]
-            for seen in visited[1:]:
-                every = every.unionByName(seen)
-            visited = [stash(every, "visited")]
+            visited = [stash(union_of(visited), "visited")]
         own = F.struct(F.col("san_power").alias("power"), F.col("san_for").alias("classes"))
         at_sink = fresh.where("sink_class IS NOT NULL").withColumn("danger", effective_danger(F.when(F.col("san_power").isNotNull(), F.array_append("sans", own)).otherwise(F.col("sans")), F.col("sink_class")))
         found.append(at_sink.where(F.col("danger") >= threshold).select("scope", "source_id", F.col("node_id").alias("sink_id"), "label", F.col("sink_class").alias("vuln_class"), F.col("sink_severity").alias("severity"), "danger", F.lit(level).alias("path_len"), "path", "sans", "pos"))
@@ -129,9 +132,7 @@ def taint_paths(nodes: DataFrame, edges: DataFrame, threshold: float = 0.15, max
         )
         level += 1
     empty = nodes.sparkSession.createDataFrame([], f"scope string, source_id bigint, sink_id bigint, label string, vuln_class string, severity string, danger double, path_len int, path array<bigint>, sans {SAN}, pos array<bigint>")
-    out = empty
-    for part in found:
-        out = part.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in empty.schema]).unionByName(out) if out is empty else out.unionByName(part)
+    out = union_of([p.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in empty.schema]) for p in found]) if found else empty
     out = out.withColumn("confidence", confidence(F.col("danger"), F.col("severity"), F.col("path_len")))
     return out.withColumn("ord", F.struct("path_len", "pos")).drop("pos")
 

@@ -156,16 +156,12 @@ def analyse_projects(t):
 
 
 @query("""WITH s AS (SELECT s_suppkey AS k, 'n' || s_nationkey AS scope, 'f' || lpad(s_suppkey::VARCHAR, 9, '0') || '.py' AS file FROM supplier WHERE s_acctbal < 0)
-SELECT scope, file, 0 AS pos, 'q = request.args.get(''q'')' AS label, 0 AS line, false AS is_folded FROM s
-UNION ALL SELECT scope, file, 1, '(folded) r' || k || ' = q', 1, true FROM s UNION ALL SELECT scope, file, 2, 'os.system(r' || k || ')', 2, false FROM s""")
+SELECT scope, file, 0 AS pos, 'q = request.args.get(''q'')' AS label, 0 AS line, 'tainted' AS type, false AS is_folded FROM s UNION ALL SELECT scope, file, 1, '(folded) r' || k || ' = q', 1, 'tainted', true FROM s
+UNION ALL SELECT scope, file, 2, 't = r' || k, 2, 'tainted', false FROM s UNION ALL SELECT scope, file, 3, 'os.system(t)', 3, 'tainted', false FROM s""")
 def path_steps(t):
     """Paths as they are shown: what folding took out is back, and marked."""
-    # without the call inside the statement, which is a node of its own and a sink as well, the middle node has one edge out
-    files = supplier_files(t).withColumn("source", F.regexp_replace("source", r"\nos\.system\((r\d+)\)", "\nx = os.system($1)"))
-    out = scan.analyse(files, rules.default_rules(t.spark))
-    best = out["steps"].withColumn("is_sink", F.col("label").startswith("x = "))
-    rows = best.select("scope", "file", "pos", F.regexp_replace("label", "^x = ", "").alias("label"), "line", "is_folded")
-    return rows.where("label LIKE 'q =%' OR label LIKE '(folded)%' OR label LIKE 'os.%'")
+    files = supplier_files(t).withColumn("source", F.regexp_replace("source", r"\nos\.system\((r\d+)\)", "\nt = $1\nos.system(t)"))
+    return scan.analyse(files, rules.default_rules(t.spark))["steps"].select("scope", "file", "pos", "label", "line", "type", "is_folded")
 
 
 @query("""WITH k AS (SELECT s_suppkey AS k, 'f' || lpad(s_suppkey::VARCHAR, 9, '0') || '.py' AS file, s_acctbal < 0 AS bad FROM supplier)
