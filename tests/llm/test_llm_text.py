@@ -411,6 +411,8 @@ def test_known_features():
         text = " ".join(rnd.choices(["alpha", "beta", "gammas", "de"], k=n))
         found = toxicity.features(text, 8)
         assert toxicity.weighty(text, known, 8).tolist() == found[known[found]].tolist()
+        for piece in (1, 2, 7):
+            assert sorted(np.concatenate([np.empty(0, np.uint64), *toxicity.grams_of(text, piece)])) == sorted(np.concatenate([np.empty(0, np.uint64), *toxicity.grams_of(text)]))
 
 
 def test_best_cut():
@@ -438,6 +440,15 @@ def test_layouts(spark):
     assert [turns[r] for r in rows] == [[("user", "p"), ("assistant", "c")], [("user", "i\n\nn"), ("assistant", "o")], [("user", "u")], [("user", "h"), ("assistant", "g")], None, None, None]
 
 
+def test_layouts_of_nested_and_uneven_records(spark):
+    rows = ['{"data":{"completion":"c","prompt":"p"}}', '{"messages":[]}', '{"messages":[{"role":"user"},{"content":"x","role":"assistant"}]}', '{"messages":null}', '{"prompt":"p","completion":null}', "[1]", '{"prompt":"STRING","response":"a: STRING, b"}']
+    got = {r.payload: r.turns and [(x.role, x.text) for x in r.turns] for r in chat.canonical_turns(spark.createDataFrame([(r, 1, [2]) for r in rows], "payload string, layout int, turns array<int>"), "payload").collect()}
+    assert [got[r] for r in rows] == [[("user", "p"), ("assistant", "c")], [], [("user", None), ("assistant", "x")], None, [("user", "p"), ("assistant", None)], None, [("user", "STRING"), ("assistant", "a: STRING, b")]]
+    flat = chat.turn_rows_of_json(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id bigint, j string"), "id", "j").collect()
+    assert [(r.conv_id, r.turn, r.text) for r in sorted(flat, key=lambda r: (r.conv_id, r.turn)) if r.conv_id in (1, 2)] == [(2, 0, ""), (2, 1, "x")]
+    assert chat.turn_rows_of_json(spark.createDataFrame([], "id bigint, j string"), "id", "j").count() == 0
+
+
 # --- sharding --------------------------------------------------------------------------------
 
 
@@ -453,6 +464,25 @@ def test_shards_are_even(spark, n):
     assert max(counts) - min(counts) <= 1
 
 
+def test_movement_is_limited():
+    """One more shard takes its share; few other rows change places, as they would nearly all by a modulus."""
+    rnd = random.Random(12)
+    histogram = {c: rnd.randrange(1, 9) for c in range(4096)}
+    of = [{}, {}]
+    for k, shards in enumerate((8, 9)):
+        for cell, lo, hi, shard, _ in sharding.pieces(histogram, shards, 64, 4096):
+            of[k].update({(cell, r): shard for r in range(lo, hi)})
+    moved = [key for key in of[0] if of[0][key] != of[1][key]]
+    assert len(of[0]) == len(of[1]) == sum(histogram.values())
+    assert 1 / 9 <= len(moved) / len(of[0]) < 1 / 3, len(moved) / len(of[0])
+
+
+def test_equal_rows_and_null_keys_are_dealt(spark):
+    docs = spark.createDataFrame([(1, "a", 7)] * 50 + [(None, None, 7)] * 30 + [(i, "b", 7) for i in range(20)], "doc_id bigint, text string, shard int")
+    got = sharding.shard_rows(docs, ["doc_id", "text"]).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("slot").alias("k"), F.max("slot").alias("m")).collect()
+    assert len(got) == 8 and all(r.n == r.k == r.m + 1 and r.n in (12, 13) for r in got)
+
+
 def test_overflow_goes_clockwise():
     cells = 16
     walks = sharding.ring(3, 2, cells)

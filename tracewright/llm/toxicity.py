@@ -46,13 +46,13 @@ Model = tuple[np.ndarray, np.ndarray, float]
 class Words:
     """Hashes of the words seen and of their stems; emptied when full."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 100_000):
         self.limit = limit
         self.number: dict[str, int] = {}
         self.table = np.zeros((1024, 1 + len(STEMS)), np.uint64)
 
     def __call__(self, text: str) -> np.ndarray:
-        """A row of hashes for each word of the text."""
+        """The row of ``table`` for each word of the text; rows hold until the next call."""
         words = WORD.findall(text.lower())
         if len(self.number) > self.limit:
             self.number.clear()
@@ -66,18 +66,20 @@ class Words:
                     self.table = np.concatenate([self.table, np.zeros_like(self.table)])
                 self.table[n] = [xxhash.xxh64_intdigest(w), *(xxhash.xxh64_intdigest(w[:k], k) for k in STEMS)]
             at[i] = n
-        return self.table[at]
+        return at
 
 
 _words = Words()
 
 
-def grams_of(text: str) -> np.ndarray:
-    """64-bit hashes of the word grams, skip-grams and stems of a text, with repeats."""
-    hashes = _words(text)
-    h = hashes[:, 0]
-    with np.errstate(over="ignore"):
-        return np.concatenate([h * _M1, (h[:-1] * _M2 + h[1:]) * _M1, (h[:-2] * _M3 + h[2:]) * _M1, hashes[:, 1:].ravel() * _M1])
+def grams_of(text: str, piece: int = 1 << 16) -> Iterator[np.ndarray]:
+    """64-bit hashes of the word grams, skip-grams and stems of a text, with repeats, ``piece`` words at a time."""
+    at = _words(text)
+    for a in range(0, len(at), piece):
+        hashes = _words.table[at[a : a + piece + 2]]
+        h, n = hashes[:, 0], min(piece, len(at) - a)
+        with np.errstate(over="ignore"):
+            yield np.concatenate([h[:n] * _M1, ((h[:-1] * _M2 + h[1:]) * _M1)[:n], ((h[:-2] * _M3 + h[2:]) * _M1)[:n], hashes[:n, 1:].ravel() * _M1])
 
 
 def _again(grams: np.ndarray) -> np.ndarray:
@@ -90,7 +92,10 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
     """Distinct hashed features of a text."""
     if not text:
         return np.empty(0, np.int32)
-    found, n = np.unique(grams_of(text), return_counts=True)
+    grams = [*grams_of(text)]
+    if not grams:
+        return np.empty(0, np.int32)
+    found, n = np.unique(np.concatenate(grams), return_counts=True)
     return np.unique((np.concatenate([found, _again(found[n > 1])]) >> np.uint64(64 - bits)).astype(np.int32))
 
 
@@ -99,11 +104,13 @@ def weighty(text: str | None, known: np.ndarray, bits: int = BITS) -> np.ndarray
     if not text:
         return np.empty(0, np.int64)
     shift = np.uint64(64 - bits)
-    grams = grams_of(text)
-    once = (grams >> shift).astype(np.int64)
-    again = (_again(grams) >> shift).astype(np.int64)
-    _, first, n = np.unique(grams[known[again]], return_index=True, return_counts=True)
-    return np.unique(np.concatenate([once[known[once]], again[known[again]][first[n > 1]]]))
+    single, grams = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for part in grams_of(text):
+        at = (part >> shift).astype(np.int64)
+        single.append(at[known[at]])
+        grams.append(part[known[(_again(part) >> shift).astype(np.int64)]])
+    found, n = np.unique(np.concatenate(grams), return_counts=True)
+    return np.unique(np.concatenate([*single, (_again(found[n > 1]) >> shift).astype(np.int64)]))
 
 
 class Ftrl:
