@@ -48,7 +48,7 @@ from tracewright.llm.rows import numbered, slices
 from tracewright.session import stash
 
 LENGTH, GRAM, GROUP = 200, 32, 100_000
-PIECE = 8 << 20  # bytes of a text that are scanned at once
+PIECE = 1 << 20  # bytes of a text that are scanned at once
 BATCH_ROWS = 24_000
 SALTS = 32
 _rng = np.random.RandomState(7)
