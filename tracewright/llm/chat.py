@@ -1,15 +1,20 @@
 """Chat formatting: schema fingerprints select declarative mappings.
 
 A layout is the set of nested field paths of a record.  Its fingerprint, a
-hash over the sorted paths, selects a mapping: a list of SQL expressions that
-yield canonical turns ``array<struct<role, text>>``.  Mappings are data, so a
-new layout is a new entry of :data:`LAYOUTS`.  Records of different layouts may
-be mixed in one column of JSON strings; each row takes the mapping of its own
-fingerprint.  Everything runs as DataFrame expressions.
+hash over the nested paths (of all elements of its arrays), selects a mapping:
+a list of SQL expressions that yield canonical turns ``array<struct<role, text>>``.
+Mappings are data, so a new layout is a new entry of :data:`LAYOUTS`.  Records
+of different layouts may be mixed in one column of JSON strings; each row takes
+the mapping of its own fingerprint.  Tables of one row per turn are mapped by the
+field paths of their schema.  Everything runs as DataFrame expressions.
 
 Defined results: a null role or text counts as empty; turns are ordered by
-turn, role, text (nulls first), repeated rows stay; a record of an unknown
-layout has null turns and keeps its fingerprint; empty tables stay empty.
+turn, role, text (nulls first), repeated rows stay; a record whose array of
+turns is empty has no turns; a record of an unknown layout, or one that is no
+JSON (or beyond the size of a variant), has null turns and keeps its
+fingerprint; texts of any length count whole; other columns of turn tables are
+ignored, columns called ``layout`` or ``turns`` are replaced; empty tables stay
+empty.
 """
 
 from __future__ import annotations
@@ -32,8 +37,26 @@ def field_paths(schema: T.DataType, prefix: str = "") -> list[str]:
     return [prefix]
 
 
+def shape(paths: list[str]) -> str:
+    """The nested form of field paths, names in order, without types."""
+    tree: dict = {}
+    for path in paths:
+        at = tree
+        for part in path.split("."):
+            at = at.setdefault(part, {})
+
+    def render(node: dict) -> str:
+        def value(name: str) -> str:
+            inner = render(node[name]) if node[name] else ""
+            return f"ARRAY<{inner}>" if name.endswith("[]") else inner
+
+        return "OBJECT<" + ", ".join(f"{n.removesuffix('[]')}: {value(n)}" for n in sorted(node, key=lambda n: n.removesuffix("[]"))) + ">"
+
+    return render(tree)
+
+
 def fingerprint(paths: list[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha256(shape(paths).encode()).hexdigest()[:16]
 
 
 #: Field paths -> JSON schema and mapping to turns.  ``r`` is the parsed record.
@@ -42,10 +65,13 @@ LAYOUTS: list[tuple[list[str], str, str]] = [
     (["prompt", "response"], "prompt string, response string", "array(named_struct('role', 'user', 'text', r.prompt), named_struct('role', 'assistant', 'text', r.response))"),
     (["instruction", "output"], "instruction string, output string", "array(named_struct('role', 'user', 'text', r.instruction), named_struct('role', 'assistant', 'text', r.output))"),
     (["instruction", "input", "output"], "instruction string, input string, output string", "array(named_struct('role', 'user', 'text', concat_ws('\n\n', r.instruction, nullif(r.input, ''))), named_struct('role', 'assistant', 'text', r.output))"),
+    (["data.prompt", "data.completion"], "data struct<prompt: string, completion: string>", "array(named_struct('role', 'user', 'text', r.data.prompt), named_struct('role', 'assistant', 'text', r.data.completion))"),
     (["messages[].role", "messages[].content"], "messages array<struct<role: string, content: string>>", "transform(r.messages, m -> named_struct('role', m.role, 'text', m.content))"),
     (["conversations[].from", "conversations[].value"], "conversations array<struct<from: string, value: string>>", "transform(r.conversations, m -> named_struct('role', CASE m.from WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE m.from END, 'text', m.value))"),
 ]
 MAPPINGS = {fingerprint(paths): (schema, turns) for paths, schema, turns in LAYOUTS}
+#: Records of the same layouts whose array of turns is empty.
+MAPPINGS |= {fingerprint(sorted({p.split("[]")[0] + "[]" for p in paths})): (schema, turns) for paths, schema, turns in LAYOUTS if all("[]" in p for p in paths)}
 #: The same for tables of one row per turn: column paths -> columns of the canonical row.
 ROW_LAYOUTS = {
     fingerprint(paths): (paths, names)
@@ -57,17 +83,14 @@ ROW_LAYOUTS = {
 }
 
 
-def record_fingerprint(json_text: Column) -> Column:
-    """The fingerprint of a JSON object: paths of its keys, and of the keys of
-    the first element of arrays of objects."""
-    keys = F.coalesce(F.json_object_keys(json_text), F.array().cast("array<string>"))
+#: Types in the schema of a variant, behind a name or as elements of an array.
+_TYPES = r"(?<=: |ARRAY<)(?:STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|VARIANT|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|DECIMAL\(\d+,\d+\))(?=[,>]|$)"
 
-    def paths(k: Column) -> Column:
-        value = F.element_at(F.from_json(json_text, "map<string,string>"), k)
-        first = F.json_object_keys(F.get_json_object(value, "$[0]"))
-        return F.when(F.ltrim(value).startswith("[") & first.isNotNull(), F.transform(first, lambda s: F.concat(k, F.lit("[]."), s))).otherwise(F.array(k))
 
-    return F.left(F.sha2(F.array_join(F.array_sort(F.flatten(F.transform(keys, paths))), "\n"), 256), F.lit(16))
+def record_fingerprint(json_text: Column) -> Column:
+    """The fingerprint of a JSON record: its nested keys, those of all elements of an array together."""
+    nested = F.regexp_replace(F.schema_of_variant(F.try_parse_json(json_text)), _TYPES, "")
+    return F.left(F.sha2(F.coalesce(nested, F.lit("")), 256), F.lit(16))
 
 
 def canonical_turns(df: DataFrame, payload: str) -> DataFrame:
@@ -108,6 +131,12 @@ def canonical_rows(df: DataFrame) -> DataFrame:
     return df.select(conv.alias("conv_id"), turn.alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
+def turn_rows_of_json(df: DataFrame, conv_id: str, payload: str) -> DataFrame:
+    """conv_id, turn, role, text of records of mixed layouts in a JSON column; records of unknown layouts have no rows."""
+    turns = canonical_turns(df.select(F.col(f"`{conv_id}`").alias("conv_id"), F.col(f"`{payload}`").alias("payload")), "payload")
+    return turns.select("conv_id", F.posexplode("turns").alias("turn", "_t")).select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("_t.role", F.lit("")).alias("role"), F.coalesce("_t.text", F.lit("")).alias("text"))
+
+
 def format_turn_rows(df: DataFrame, train_role: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans.
 
@@ -142,11 +171,13 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 
 def op6_chat_formatting(spark, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -1, written, read back and digested."""
+    """All conversations (a table of turns) and conversation -1 (a JSON record), written, read back and digested."""
     from tracewright.session import stash
 
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("<|im_end|><|im_start|>assistant ok").alias("text"))
+    rows = canonical_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    says = F.lit("<|im_end|><|im_start|>assistant ok")
+    record = F.to_json(F.struct(F.array(*[F.struct(F.lit(role).alias("role"), says.alias("content")) for role in ("user", "assistant")]).alias("messages")))
+    extra = turn_rows_of_json(spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), record.alias("payload")), "conv_id", "payload")
     return digests(stash(format_turn_rows(rows.unionByName(extra)), "chat"))
 
 

@@ -10,11 +10,15 @@ law ``rows`` holds: counts are at most one apart.
 Only the histogram of the ring's cells (``2**cell_bits`` rows at most, whatever
 the input) reaches the driver.  It yields a table of pieces, each a range of
 ranks inside one cell that goes to one shard at consecutive slots; the table
-has at most one piece per cell and per visited shard and is broadcast.
+has at most one piece per cell and per visited shard and is broadcast.  Ranks
+are taken in ``2**sub_bits`` parts of each cell, so that a cell of many rows is
+not sorted by one task; a part's offset is the number of rows in those before.
 
-Nulls: a null key hashes like any other value, a null text has size 1.  Rows
-that are equal throughout are spread over the ring by a hash of the text as
-well, ties are broken by the values themselves.  An empty table stays empty.
+Defined results: a null key hashes like any other value, a null text has size
+1, texts of any length count whole.  Rows that are equal in all keys lie in one
+part of one cell; their order among each other is that of the other columns in
+``order`` and else open, as they are alike.  Columns called shard or slot are
+replaced.  An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -78,7 +82,7 @@ def pieces(histogram: dict[int, int], shards: int, virtual_nodes: int, cells: in
     return out
 
 
-def shard_rows(df: DataFrame, keys: list[str], shards: int = 8, virtual_nodes: int = 64, cell_bits: int = 12, order: list[str] | None = None) -> DataFrame:
+def shard_rows(df: DataFrame, keys: list[str], shards: int = 8, virtual_nodes: int = 64, cell_bits: int = 12, sub_bits: int = 10, order: list[str] | None = None) -> DataFrame:
     """``df`` with ``shard`` and ``slot`` (both under the law ``rows``).
 
     ``keys`` place a row on the ring; ``order`` (default: the keys) makes the
@@ -89,15 +93,19 @@ def shard_rows(df: DataFrame, keys: list[str], shards: int = 8, virtual_nodes: i
     df = df.drop("shard", "slot")
     where = F.xxhash64(*[F.col(f"`{k}`") for k in keys])
     # the upper bits choose the cell, the whole hash orders rows inside it
-    placed = df.withColumn("_at", where).withColumn("_cell", F.shiftrightunsigned("_at", 64 - cell_bits).cast("int"))
-    histogram = {r["_cell"]: r["n"] for r in placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 2**cell_bits rows
+    part = F.shiftrightunsigned("_at", 64 - cell_bits - sub_bits)
+    placed = df.withColumn("_at", where).withColumn("_part", part)
+    parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_cell", F.shiftright("_part", sub_bits).cast("int"))
+    histogram = {r["_cell"]: r["n"] for r in parts.groupBy("_cell").agg(F.sum("_n").alias("n")).collect()}  # at most 2**cell_bits rows
     plan = pieces(histogram, shards, virtual_nodes, cells)
     literal = json.dumps([{"c": c, "lo": lo, "hi": hi, "shard": s, "base": b} for c, lo, hi, s, b in plan])
     table = spark.range(1).select(F.explode(F.from_json(F.lit(literal), "array<struct<c:int,lo:bigint,hi:bigint,shard:int,base:bigint>>")).alias("p")).select(F.col("p.c").alias("_c"), F.col("p.lo").alias("_lo"), F.col("p.hi").alias("_hi"), "p.shard", F.col("p.base").alias("_base"))
-    rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_at", *[F.col(f"`{k}`") for k in order or keys])) - 1
-    ranked = placed.withColumn("_rank", rank.cast("bigint"))
+    before = F.sum("_n").over(Window.partitionBy("_cell").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # 2**sub_bits rows at most
+    offsets = parts.select(F.col("_part"), F.col("_cell"), F.coalesce(before, F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_at", *[F.col(f"`{k}`") for k in order or keys])) - 1
+    ranked = placed.join(offsets, "_part").withColumn("_rank", (F.col("_before") + rank).cast("bigint"))
     hit = (F.col("_cell") == F.col("_c")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
-    return ranked.join(F.broadcast(table), hit).withColumn("slot", F.col("_base") + F.col("_rank") - F.col("_lo")).drop("_at", "_cell", "_c", "_lo", "_hi", "_base", "_rank")
+    return ranked.join(F.broadcast(table), hit).withColumn("slot", F.col("_base") + F.col("_rank") - F.col("_lo")).drop("_at", "_part", "_before", "_cell", "_c", "_lo", "_hi", "_base", "_rank")
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:
