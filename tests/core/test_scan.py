@@ -124,3 +124,14 @@ def test_statements_over_several_lines(spark):
     out, rows = findings(spark, code)
     assert {(r["vuln_class"], r["sink_line"]) for r in rows} == {("sqli", 7)}
     assert out["nodes"].where("parent_id IS NOT NULL").count() == 3
+
+
+def test_another_scorer(spark):
+    """A scorer's answers count; where it has none the default's does."""
+    from pyspark.sql import functions as F
+
+    none = lambda paths: paths.withColumns({"llm_confidence": F.lit(None).cast("double"), "exploitable": F.lit(None).cast("boolean")})
+    doubt = lambda paths: paths.withColumns({"llm_confidence": F.lit(0.2), "exploitable": F.lit(False)})
+    code = "q = request.args.get('q')\nos.system(q)\n"
+    got = [[(r["severity"], r["is_false_positive"]) for r in findings(spark, code, scorer=s)[1]] for s in (scan.verdicts, none, doubt)]
+    assert got[0] == got[1] == [("critical", False)] and got[2] == [("low", True)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +16,19 @@ from tracewright.sources.files import detect_framework, manifest, select_files
 FINDING = ["scope", "analyzer", "vuln_class", "severity", "confidence", "source_file", "source_line", "sink_file", "sink_line"]
 
 
-def analyse(files: DataFrame, catalogue: DataFrame, framework: str | None = None, fold: bool = True, **options) -> dict[str, DataFrame]:
+def verdicts(paths: DataFrame) -> DataFrame:
+    """The default scorer: confidence and exploitability by the sanitizers of each path."""
+    scored = paths.withColumn("_v", scoring.sanitizer_verdict(F.transform("sans", lambda s: s["power"])))
+    return scored.withColumns({"llm_confidence": F.col("_v.llm_confidence"), "exploitable": F.col("_v.exploitable")}).drop("_v")
+
+
+def analyse(files: DataFrame, catalogue: DataFrame, framework: str | None = None, fold: bool = True, scorer: Callable[[DataFrame], DataFrame] = verdicts, **options) -> dict[str, DataFrame]:
     """Tables nodes, edges, folded, paths, steps, findings, excluded and errors of ``files``.
 
     Without ``framework`` the profile of each scope is that of the framework its
     first files show.  With ``fold`` chains of nodes that only hand a value on
     are contracted before the search and put back into the paths after it.
+    ``scorer`` judges the paths (see :func:`correlate`).
     ``options`` go to the fixpoint: threshold, max_len, max_pops, label_scope, prune.
     """
     judged = select_files(files)
@@ -38,7 +47,7 @@ def analyse(files: DataFrame, catalogue: DataFrame, framework: str | None = None
     paths = stash(paths.withColumn("path_id", F.sha2(F.concat_ws("|", "scope", "label", "source_id", "sink_id", "vuln_class"), 256)), "paths")
     return {
         "parsed": parsed, "nodes": nodes, "edges": edges, "folded": folded, "fold_ratio": graph.fold_ratio(nodes, folded), "paths": paths, "steps": steps_of(paths, folded, nodes),
-        "findings": correlate(paths, nodes).unionByName(detector_findings(kept), allowMissingColumns=True), "errors": parse.error_table(parsed), "excluded": excluded_names(judged),
+        "findings": correlate(paths, nodes, scorer).unionByName(detector_findings(kept), allowMissingColumns=True), "errors": parse.error_table(parsed), "excluded": excluded_names(judged),
     }
 
 
@@ -57,18 +66,25 @@ def excluded_names(judged: DataFrame) -> DataFrame:
     return judged.where("reason IS NOT NULL").select("scope", "reason", "path")
 
 
-def correlate(paths: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Paths to scored, classified and deduplicated findings."""
+def correlate(paths: DataFrame, nodes: DataFrame, scorer: Callable[[DataFrame], DataFrame] = verdicts) -> DataFrame:
+    """Paths to scored, classified and deduplicated findings.
+
+    ``scorer`` adds ``llm_confidence`` (null where it has no answer, which the
+    default's takes the place of) and ``exploitable`` to the paths.
+    """
     paths = paths.join(nodes.select("scope", F.col("node_id").alias("sink_id"), F.col("code").alias("sink_code")), ["scope", "sink_id"], "left")
-    verdict = scoring.sanitizer_verdict(F.transform("sans", lambda s: s["power"]))
-    out = paths.withColumn("_v", verdict).withColumns({"llm_confidence": F.col("_v.llm_confidence"), "exploitable": F.col("_v.exploitable")})
+    out = verdicts(paths).withColumnsRenamed({"llm_confidence": "_confidence", "exploitable": "_exploitable"})
+    if scorer is verdicts:
+        out = out.withColumnsRenamed({"_confidence": "llm_confidence", "_exploitable": "exploitable"})
+    else:
+        out = scorer(out).withColumns({"llm_confidence": F.coalesce("llm_confidence", "_confidence"), "exploitable": F.coalesce("exploitable", "_exploitable")}).drop("_confidence", "_exploitable")
     t, m, e = F.col("confidence"), F.col("llm_confidence"), F.col("exploitable")
     combined = scoring.fused(t, m)
     out = out.withColumns({
         "taint_confidence": t, "combined": combined, "is_true_positive": scoring.is_true_positive(t, m, e), "is_false_positive": scoring.is_false_positive(t, m, e),
         "severity": scoring.adjusted_severity(F.col("severity"), combined, e), "analyzer": F.lit("taint"),
     })
-    out = out.withColumn("confidence", F.bround("combined", 2)).drop("_v", "combined")
+    out = out.withColumn("confidence", F.bround("combined", 2)).drop("combined")
     best = taint.best_per_key(out, ["scope", "source_file", "source_line", "sink_file", "sink_line", "vuln_class"], "confidence", "ord")
     one = collapse_groups(best, ["scope", "sink_file", "sink_line", "vuln_class"], "confidence", ["ord"])
     named = scoring.classify(one).withColumn("title", F.concat("class_title", F.lit(" in "), text.basename(F.col("source_file"))))
