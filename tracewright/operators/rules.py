@@ -61,18 +61,11 @@ _LIST = "array<struct<ord:int,pattern:string,tag:string,severity:string,power:do
 EVERY = "*"  # the group of a language that no rule names: it has all rules
 
 
-def rule_lists(spark: SparkSession, rules: list[Row], kinds: list[str], frameworks: list[str | None]) -> DataFrame:
-    """_group, _fw and, for each kind, the ordered rules of a language under a framework's profile."""
-    groups = sorted({r["lang_group"] for r in rules if r["framework"] is None} - {EVERY})
-    out = []
-    for fw in frameworks:
-        extra = {r["ord"]: r for r in rules if fw is not None and r["framework"] == fw}  # for every language, behind its own
-        for g in [*groups, EVERY]:
-            own = [r for r in rules if r["framework"] is None and g in (EVERY, r["lang_group"])]
-            every = [(r["ord"], r) for r in own] + [(r["ord"] + 1_000_000, r) for r in extra.values()]
-            body = lambda k: sorted(((n, r["pattern"], r["tag"], r["severity"], r["power"], r["effective_for"]) for n, r in every if r["kind"] == k), key=lambda x: x[0])  # noqa: B023, E731
-            out.append((g, fw or "", *[body(k) for k in kinds]))
-    return spark.createDataFrame(out, "_group string, _fw string, " + ", ".join(f"_{k} {_LIST}" for k in kinds))
+def rule_lists(spark: SparkSession, key: str, lists: dict[str, list[Row]], kinds: list[str]) -> DataFrame:
+    """``key`` and, for each kind, the ordered rules of every list, as ``<key>_<kind>``."""
+    fields = ["ord", "pattern", "tag", "severity", "power", "effective_for"]
+    rows = [(name, *[sorted((tuple(r[f] for f in fields) for r in held if r["kind"] == k), key=lambda x: x[0]) for k in kinds]) for name, held in lists.items()]
+    return spark.createDataFrame(rows, f"{key} string, " + ", ".join(f"{key}_{k} {_LIST}" for k in kinds), verifySchema=False)
 
 
 def first_matches(rows: DataFrame, rules: DataFrame, code: str, lang: str | None, kinds: dict[str, bool], framework: Column | None = None) -> DataFrame:
@@ -81,22 +74,28 @@ def first_matches(rows: DataFrame, rules: DataFrame, code: str, lang: str | None
     ``kinds``: whether a kind's patterns need a word boundary before.  ``rules``
     is a catalogue: some hundreds of rows, which the driver holds.  One compiled
     pattern a kind tells the rows that no rule matches, which are most; for the
-    others the ordered lists, one for each language and framework, are
-    broadcast.  No row is multiplied by the rules.
+    others the ordered lists of each language, and behind them those of each
+    framework's profile, are broadcast.  No row is multiplied by the rules.
     """
     spark, held = rows.sparkSession, rules.collect()
-    names = sorted({r["framework"] for r in held if r["framework"]}) if framework is not None else []
-    known = sorted({r["lang_group"] for r in held if r["framework"] is None})
+    base = [r for r in held if r["framework"] is None]
+    known = sorted({r["lang_group"] for r in base} - {EVERY})
     group = F.lit(EVERY) if lang is None else F.when(lang_group(F.col(lang)).isin(*known), lang_group(F.col(lang))).otherwise(EVERY)
-    profile = F.when(framework.isin(*names), framework).otherwise("") if names else F.lit("")
-    lists = rule_lists(spark, held, list(kinds), [None, *names])
-    out = rows.withColumns({"_g": group, "_p": profile}).join(F.broadcast(lists), (F.col("_g") == F.col("_group")) & (F.col("_p") == F.col("_fw")), "left").drop("_g", "_p", "_group", "_fw")
+    languages = {g: [r for r in base if g in (EVERY, r["lang_group"])] for g in [*known, EVERY]}
+    out = rows.withColumn("_g", group).join(F.broadcast(rule_lists(spark, "_base", languages, list(kinds))), F.col("_g") == F.col("_base"), "left").drop("_g", "_base")
+    names = sorted({r["framework"] for r in held if r["framework"]}) if framework is not None else []
+    if names:
+        # a profile's rules count for every language, each once
+        profiles = {n: list({r["ord"]: r for r in held if r["framework"] == n}.values()) for n in names}
+        out = out.withColumn("_p", framework).join(F.broadcast(rule_lists(spark, "_more", profiles, list(kinds))), F.col("_p") == F.col("_more"), "left").drop("_p", "_more")
+    used = [r for r in held if r["framework"] is None or names]
     for kind, boundary in kinds.items():
-        listed = [r["pattern"] for r in held if r["kind"] == kind and r["pattern"]]
-        hit = F.filter(f"_{kind}", lambda r: matches(F.col(code), r["pattern"], boundary))  # noqa: B023
+        listed = [r["pattern"] for r in used if r["kind"] == kind and r["pattern"]]
+        every = F.concat(F.col(f"_base_{kind}"), F.coalesce(F.col(f"_more_{kind}"), F.array().cast(_LIST))) if names else F.col(f"_base_{kind}")
+        hit = F.filter(every, lambda r: matches(F.col(code), r["pattern"], boundary))  # noqa: B023
         found = F.when(F.col(code).rlike(any_pattern(listed, boundary)), F.get(hit, F.lit(0))) if listed else F.get(hit, F.lit(0))
         out = out.withColumn(f"_{kind}", found)
-    return out
+    return out.drop(*[f"{t}_{k}" for t in ("_base", "_more") for k in kinds])
 
 
 def first_match(rows: DataFrame, rules: DataFrame, code: str, lang: str | None, kind: str, boundary: bool = True, out: str = "rule") -> DataFrame:
