@@ -1,7 +1,7 @@
 """A training-data pipeline: five stages over the table ``documents``.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is
-written as Parquet and read back as the next stage's input.  All but the last
+Every stage takes (spark, docs, sf_dir), where docs is a plain read of Parquet
+files, and returns a DataFrame; its result is written as Parquet and read back as the next stage's input.  All but the last
 return the columns of documents; other columns of the input are ignored.
 
 Defined results: null and empty texts are not toxic, are one group of near
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import decontamination, sentencepiece_codec, simhash, suffix_dedup, toxicity
+from tracewright.llm.rows import numbered
 from tracewright.session import drop_path, fresh_path, stash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,15 +33,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keep the row of least doc_id of each group of linked fingerprints.
 
     Documents without a word have fingerprint zero and are a group like any other.
-    Rows are told apart by an internal id that is written beside them, not by
+    Rows are told apart by the file that holds them and their place in it, not by
     doc_id: exactly one row of a group stays.  A null doc_id comes after all
     others; of equal ones the first row stays.
     """
-    who = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", F.monotonically_increasing_id().alias("rid")).alias("who")
-    rows = stash(simhash.add_fingerprints(docs.select(*COLUMNS, who), [*COLUMNS, "who"]), "rows")
-    classes = simhash.grouped(rows.select("who", "fp"), "who")
+    rows = numbered(docs.select(*COLUMNS))
+    who = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "rid").alias("who")
+    marked = stash(simhash.add_fingerprints(rows.select(who, "text"), ["who"]), "fingerprints")
+    classes = simhash.grouped(marked, "who")
     gone = classes.where("who.rid <> component_id.rid").select("who.rid")
-    return rows.select(*COLUMNS, "who.rid").join(gone, "rid", "left_anti").select(*COLUMNS)
+    return rows.join(gone, "rid", "left_anti").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
