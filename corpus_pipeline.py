@@ -1,8 +1,9 @@
 """A training-data pipeline: five stages over the table ``documents``.
 
 Every stage takes (spark, docs, sf_dir), where docs is a plain read of Parquet
-files, and returns a DataFrame; its result is written as Parquet and read back as the next stage's input.  All but the last
-return the columns of documents; other columns of the input are ignored.
+files, and returns a DataFrame; its result is written as Parquet and read back
+as the next stage's input.  All but the last return the columns of documents;
+other columns of the input are ignored.
 
 Defined results: null and empty texts are not toxic, are one group of near
 copies, and pass the other stages unchanged (a null text has no tokens); doc_id
