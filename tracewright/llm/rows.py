@@ -37,6 +37,7 @@ def map_texts(df: DataFrame, text: str, out: T.StructType, fn: Callable[[pa.Reco
         for part in slices(batches, text, limit):
             columns = fn(part)
             yield pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+        pa.default_memory_pool().release_unused()  # workers are reused by later stages
 
     return df.mapInArrow(run, out)
 

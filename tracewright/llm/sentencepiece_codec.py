@@ -130,12 +130,11 @@ class Codec:
     def __init__(self, path: str, threads: int = 2):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.model = Model(path)
-        self.tokenizer = build_tokenizer(self.model)
+        self.tokenizer = bare = build_tokenizer(self.model)  # one only: every worker holds it
         self.cache = None
         if self.model.chunkable():
-            bare = build_tokenizer(self.model)
             bare.normalizer = None
-            self.cache = ChunkCache(lambda chunks: [as_bytes(e.ids) for e in bare.encode_batch_fast(chunks, add_special_tokens=False)], 150_000, threads=True)
+            self.cache = ChunkCache(lambda chunks: [as_bytes(e.ids) for e in bare.encode_batch_fast(chunks, add_special_tokens=False)], 100_000, threads=True)
             self.chunks = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
         # a piece's bytes; the decoder's steps put together for one piece
         self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces]

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from tracewright.llm.rows import map_texts, of_rest, spare, unit
 
 WORD = re.compile(r"[^\W_]+")
-MAX_TRAIN, BITS = 8_000, 20
+MAX_TRAIN, BITS = 5_000, 20
 STEMS = (4, 6, 8)
 FOLDS, ALARM, THRESHOLD = 3, 10.0, 0.7
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
