@@ -361,7 +361,10 @@ CATALOGUE = [
     ("sink", "*", "express", "res.render(", "ssti", "high", None, None),
     ("sink", "*", "express", "res.end(", "xss", "medium", None, None),
     ("sanitizer", "*", "express", "res.json(", None, None, 0.0, ["xss"]),
-    # rules beside the 311 and the four profiles; they come last
+]
+
+#: Rules beside the catalogue, which change verdicts: they count only where they are asked for, and come last.
+MORE_RULES = [
     ("source", "python", None, "request.args.get(", "http_param", None, None, None),
     ("source", "python", None, "request.form.get(", "http_form", None, None, None),
     ("source", "python", None, "request.headers.get(", "http_header", None, None, None),

@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.operators.catalogue import CATALOGUE
+from tracewright.operators.catalogue import CATALOGUE, MORE_RULES
 
 RULE_SCHEMA = "kind string, lang_group string, framework string, ord int, pattern string, tag string, severity string, power double, effective_for array<string>"
 
@@ -21,8 +21,9 @@ RULE_SCHEMA = "kind string, lang_group string, framework string, ord int, patter
 LANGUAGE_ALIASES = {"typescript": "javascript", "tsx": "javascript", "jsx": "javascript", "cpp": "c"}
 
 
-def default_rules(spark: SparkSession) -> DataFrame:
-    rows = [(k, g, fw, i, p, t, s, w, e) for i, (k, groups, fw, p, t, s, w, e) in enumerate(CATALOGUE) for g in groups.split()]
+def default_rules(spark: SparkSession, more: bool = False) -> DataFrame:
+    """The catalogue as a table, with ``more`` the opt-in rules behind it."""
+    rows = [(k, g, fw, i, p, t, s, w, e) for i, (k, groups, fw, p, t, s, w, e) in enumerate([*CATALOGUE, *(MORE_RULES if more else [])]) for g in groups.split()]
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 

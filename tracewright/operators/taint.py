@@ -15,6 +15,15 @@ level; tables of visited states are merged every few levels.
 
 States past ``max_pops`` (of one scope) are cut in that order; pass None for
 graphs without such a bound.
+
+Edges may come as hubs (:mod:`tracewright.operators.hubs`): states go to the
+hub and from it to all it leads to.  A state that comes to a hub after another
+of its label and type, with no more danger, would only meet states that are
+visited or were dropped, so it isn't expanded: a level costs what its states
+and the hubs' rows are, not their pairs.
+
+:func:`reachable` is for questions that need no paths: it holds a row a node,
+with the labels that reach it as bits.
 """
 
 from __future__ import annotations
@@ -71,7 +80,26 @@ def _within_budget(states: DataFrame, spent: DataFrame | None, max_pops: int) ->
     return enough.unionByName(short.drop("_part", "_room")), after
 
 
-def taint_paths(nodes: DataFrame, edges: DataFrame, threshold: float = 0.15, max_len: int = 50, max_pops: int | None = 10_000, label_scope: str = "line", prune: str = "reference", keep_paths: bool = True) -> DataFrame:
+def _at_hubs(states: DataFrame, ins: DataFrame, seen: list[DataFrame], weigh: bool) -> DataFrame:
+    """States (with ``src``) at the hubs they lead to, but for those that an earlier one of label and type stands for.
+
+    Only one with more danger than all before it (``weigh``) may still get past a
+    sanitizer where they were dropped.  A source that is a sanitizer itself
+    (``solo``) goes on as another type when it is met again, so it stands for none.
+    """
+    key = ["scope", "label", "hub", "type"]
+    here = states.join(ins, ["scope", "src"])
+    solo, rest = here.where("solo"), here.where("NOT solo")
+    before = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rest = rest.withColumn("_best", F.max("danger").over(before))
+    if seen:
+        past = union_of(seen).groupBy(*key).agg(F.max("danger").alias("_past"))
+        rest = rest.join(past, key, "left").withColumn("_best", F.greatest("_best", "_past")).drop("_past")
+    first = F.col("_best").isNull()
+    return rest.where(first | (F.col("danger") > F.col("_best")) if weigh else first).drop("_best").unionByName(solo)
+
+
+def taint_paths(nodes: DataFrame, edges: DataFrame | None, threshold: float = 0.15, max_len: int = 50, max_pops: int | None = 10_000, label_scope: str = "line", prune: str = "reference", keep_paths: bool = True, hubs: DataFrame | None = None) -> DataFrame:
     """Paths from sources to sinks.
 
     nodes: scope, node_id, ord, file, line, source_type, sink_class,
@@ -82,8 +110,14 @@ def taint_paths(nodes: DataFrame, edges: DataFrame, threshold: float = 0.15, max
 
     ``label_scope`` 'line' labels a seed by its line alone, 'file_line' also by
     its file.  ``prune`` 'reference' drops states by the danger of all
-    sanitizers, 'class_aware' leaves that to the sink.
+    sanitizers, 'class_aware' leaves that to the sink.  ``hubs`` are edges beside
+    or instead of ``edges``, ordered by (stage, node); as states that meet at a
+    hub are not counted apart, they need ``max_pops`` None.
     """
+    if hubs is not None and max_pops is not None:
+        raise ValueError("hubs have no pops to count: pass max_pops=None, or their pairs as edges")
+    if edges is None:
+        edges = nodes.sparkSession.createDataFrame([], "scope string, src bigint, dst bigint, edge_ord array<bigint>")
     facts = ["sink_class", "sink_severity", "san_power", "san_for"]
     nodes = nodes.select("scope", "node_id", "ord", "file", "line", "source_type", *facts)
     label = F.concat(F.lit("src:"), F.col("line").cast("string"))
@@ -96,7 +130,15 @@ def taint_paths(nodes: DataFrame, edges: DataFrame, threshold: float = 0.15, max
     nth = F.col("edge_ord") if edges.schema["edge_ord"].dataType.typeName() == "array" else F.array("edge_ord")
     ends = nodes.where("sink_class IS NOT NULL").select("scope", F.col("node_id").alias("src"))  # nothing is followed beyond a sink
     steps = edges.select("scope", "src", "dst", nth.cast("array<bigint>").alias("edge_ord")).join(ends, ["scope", "src"], "left_anti")
-    steps = stash(steps.join(nodes.select("scope", F.col("node_id").alias("dst"), *[F.col(c).alias(f"_{c}") for c in facts]), ["scope", "dst"]), "steps")
+    reached = nodes.select("scope", F.col("node_id").alias("dst"), *[F.col(c).alias(f"_{c}") for c in facts])
+    steps = stash(steps.join(reached, ["scope", "dst"]), "steps")
+    if hubs is not None:
+        from tracewright.operators.hubs import sides
+
+        ins, outs = sides(hubs)
+        ins = stash(ins.join(ends, ["scope", "src"], "left_anti"), "hub-ins")
+        outs = stash(outs.join(reached, ["scope", "dst"]), "hub-outs")
+        at_hubs: list[DataFrame] = []
     key = ["scope", "label", "node_id", "type"]
     visited: list[DataFrame] = []
     found: list[DataFrame] = []
@@ -120,7 +162,16 @@ def taint_paths(nodes: DataFrame, edges: DataFrame, threshold: float = 0.15, max
         own = F.struct(F.col("san_power").alias("power"), F.col("san_for").alias("classes"))
         at_sink = fresh.where("sink_class IS NOT NULL").withColumn("danger", effective_danger(F.when(F.col("san_power").isNotNull(), F.array_append("sans", own)).otherwise(F.col("sans")), F.col("sink_class")))
         found.append(at_sink.where(F.col("danger") >= threshold).select("scope", "source_id", F.col("node_id").alias("sink_id"), "label", F.col("sink_class").alias("vuln_class"), F.col("sink_severity").alias("severity"), "danger", F.lit(level).alias("path_len"), "path", "sans", "pos"))
-        moved = fresh.where("sink_class IS NULL").withColumnRenamed("node_id", "src").drop(*facts).join(steps, ["scope", "src"])
+        leaving = fresh.where("sink_class IS NULL").withColumnRenamed("node_id", "src")
+        moved = leaving.drop(*facts).join(steps, ["scope", "src"])
+        if hubs is not None:
+            solo = F.col("san_power").isNotNull() & (F.col("type") == TAINTED)
+            met = stash(_at_hubs(leaving.withColumn("solo", solo).drop(*facts), ins, at_hubs, prune == "reference"), f"hubs{level}")
+            at_hubs.append(met.where("NOT solo").select("scope", "label", "hub", "type", "danger"))
+            if len(at_hubs) > 6:
+                at_hubs = [stash(union_of(at_hubs), "hubs")]
+            onward = met.join(outs, ["scope", "hub"]).where("src <> dst").withColumn("edge_ord", F.array(F.col("stage").cast("bigint"), F.col("dst")))
+            moved = moved.unionByName(onward.drop("hub", "stage", "solo"))
         cleans = F.col("_san_power").isNotNull()
         moved = moved.withColumn("danger", F.when(cleans, F.col("danger") * (1.0 - F.col("_san_power"))).otherwise(F.col("danger")))
         if prune == "reference":
@@ -137,6 +188,67 @@ def taint_paths(nodes: DataFrame, edges: DataFrame, threshold: float = 0.15, max
     return out.withColumn("ord", F.struct("path_len", "pos")).drop("pos")
 
 
+def reachable(nodes: DataFrame, edges: DataFrame | None = None, hubs: DataFrame | None = None, label_scope: str = "line") -> DataFrame:
+    """(scope, label, sink_id, type): which labels reach which sinks, tainted or partially sanitized.
+
+    These are the sinks of :func:`taint_paths` where no state is dropped for its
+    danger (``prune`` 'class_aware', threshold 0) and no length or budget bounds
+    the search; nothing is followed beyond a sink.  Labels are numbered in each
+    scope and 64 of them share a row of a node: ``t`` has the bits of those that
+    reach it tainted, ``p`` sanitized.  A level is one join of the rows that
+    gained bits with the edges, merged by ``bit_or``; hubs are nodes of the walk.
+    Node ids are at least 0.
+    """
+    from tracewright.operators.hubs import sides
+    from tracewright.operators.order import ranked
+
+    label = F.concat(F.lit("src:"), F.col("line").cast("string"))
+    if label_scope == "file_line":
+        label = F.concat(F.col("file"), F.lit(":"), label)
+    seeds = nodes.where("source_type IS NOT NULL").select("scope", "node_id", label.alias("label"))
+    names = stash(ranked(seeds.select("scope", "label").distinct(), ["scope"], ["label"]).select("scope", "label", (F.col("_rank") - 1).alias("no")), "labels")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("no").bitwiseAND(F.lit(63)).cast("int"))
+    none = F.lit(0).cast("bigint")
+    start = seeds.join(names, ["scope", "label"]).groupBy("scope", "node_id", F.shiftright("no", 6).alias("w")).agg(F.bit_or(bit).alias("t"), F.lit(0).cast("bigint").alias("p"))
+    facts = nodes.select("scope", "node_id", (F.col("sink_class").isNotNull()).alias("sink"), F.col("san_power").isNotNull().alias("cleans"))
+    hops = []
+    if edges is not None:
+        hops.append(edges.select("scope", "src", "dst"))
+    if hubs is not None:
+        # hubs as nodes below zero
+        ids = stash(hubs.select("scope", "hub").distinct().withColumn("id", -1 - F.monotonically_increasing_id()), "hub-ids")
+        ins, outs = (side.join(ids, ["scope", "hub"]) for side in sides(hubs))
+        # a source that is a sanitizer and uses the name it defines would sanitize itself through the hub: its pairs are written out
+        odd = seeds.select("scope", "node_id").distinct().join(facts.where("cleans"), ["scope", "node_id"]).select("scope", F.col("node_id").alias("src"))
+        own = stash(ins.join(odd, ["scope", "src"], "left_semi").join(outs.select("scope", "id", F.col("dst").alias("src")), ["scope", "id", "src"], "left_semi"), "odd")
+        hops.append(ins.join(own.select("scope", "id", "src"), ["scope", "id", "src"], "left_anti").select("scope", "src", F.col("id").alias("dst")))
+        hops.append(outs.select("scope", F.col("id").alias("src"), "dst"))
+        hops.append(own.join(outs.select("scope", "id", "dst"), ["scope", "id"]).where("src <> dst").select("scope", "src", "dst"))
+    closed = facts.where("sink").select("scope", F.col("node_id").alias("src"))
+    clean = facts.where("cleans").select("scope", F.col("node_id").alias("dst"), F.lit(True).alias("cleans"))
+    steps = union_of(hops).join(closed, ["scope", "src"], "left_anti").join(clean, ["scope", "dst"], "left")
+    steps = stash(steps.withColumnRenamed("src", "node_id").withColumn("cleans", F.coalesce("cleans", F.lit(False))), "steps")
+    key = ["scope", "node_id", "w"]
+    fresh, seen = stash(start, "reach"), []
+    while not fresh.isEmpty():
+        seen.append(fresh)
+        if len(seen) > 4:
+            whole = stash(union_of(seen).groupBy(*key).agg(F.bit_or("t").alias("t"), F.bit_or("p").alias("p")), "seen")
+            drop_stash(*seen[:-1])
+            seen = [whole]
+        either = F.col("t").bitwiseOR(F.col("p"))
+        moved = fresh.join(steps, ["scope", "node_id"]).groupBy("scope", F.col("dst").alias("node_id"), "w").agg(F.bit_or(F.when(F.col("cleans"), none).otherwise(F.col("t"))).alias("t"), F.bit_or(F.when(F.col("cleans"), either).otherwise(F.col("p"))).alias("p"))
+        held = union_of(seen).groupBy(*key).agg(F.bit_or("t").alias("_t"), F.bit_or("p").alias("_p"))
+        gained = moved.join(held, key, "left").select(*key, F.col("t").bitwiseAND(F.bitwise_not(F.coalesce("_t", none))).alias("t"), F.col("p").bitwiseAND(F.bitwise_not(F.coalesce("_p", none))).alias("p"))
+        fresh = stash(gained.where("t <> 0 OR p <> 0"), "reach")
+    if not seen:
+        return names.sparkSession.createDataFrame([], "scope string, label string, sink_id bigint, type string")
+    ended = union_of(seen).join(facts.where("sink").select("scope", "node_id"), ["scope", "node_id"], "left_semi").groupBy(*key).agg(F.bit_or("t").alias("t"), F.bit_or("p").alias("p"))
+    listed = ended.join(names.withColumn("w", F.shiftright("no", 6)), ["scope", "w"]).withColumn("_bit", bit)
+    types = F.filter(F.array(F.when(F.col("t").bitwiseAND(F.col("_bit")) != 0, F.lit(TAINTED)), F.when(F.col("p").bitwiseAND(F.col("_bit")) != 0, F.lit(PARTIAL))), lambda x: x.isNotNull())
+    return listed.select("scope", "label", F.col("node_id").alias("sink_id"), F.explode(types).alias("type"))
+
+
 def best_per_key(df: DataFrame, keys: list[str], score: str, *tie: str) -> DataFrame:
     """The row of the highest score for each key, the first in order on ties."""
     order = Window.partitionBy(*keys).orderBy(F.col(score).desc(), *tie)

@@ -340,7 +340,7 @@ def _paths(out):
 SELECT label, sink.node AS sink, count(*) AS kinds FROM r JOIN sink ON r.node = sink.node GROUP BY 1, 2""")
 def taint_cyclic(t):
     nodes, edges = _trade_graph(t, cyclic=True)
-    return _paths(taint.taint_paths(nodes, edges, max_pops=None, keep_paths=False)).groupBy("label", "sink").agg(F.count(F.lit(1)).alias("kinds"))
+    return _paths(taint.reachable(nodes, edges)).groupBy("label", "sink").agg(F.count(F.lit(1)).alias("kinds"))
 
 
 ROADS_SQL = """
