@@ -43,16 +43,16 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracewright.llm.pieces import as_bytes, threaded
-from tracewright.llm.rows import slices, spare
+from tracewright.llm.rows import in_workers, slices, spare
 from tracewright.llm.sentencepiece_codec import BYTE, CONTROL, MARK, UNKNOWN, Model, default_model
 from tracewright.session import join_skewed, stash
 
 LISTS = ["ids_a", "ends_a", "ids_b", "ends_b", "chunk_ends"]
 MADE = ["n_a", "n_b", "n_groups", "n_links", "groups", "groups_sha256", "links"]
 #: Bytes of text that share a dictionary, but for a longer single text.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 #: A worker's cache keeps only the last batch's chunks when it holds more chunks or characters than these.
-MAX_CHUNKS, MAX_CHARS = 400_000, 8_000_000
+MAX_CHUNKS, MAX_CHARS = 250_000, 4_000_000
 _RUN = re.compile(r"\s\s")
 _BORDER = re.compile(r"(?<=\S)(?= \S)")
 
@@ -158,6 +158,18 @@ class Tokenizers:
 _made: dict[tuple[str, str], Tokenizers] = {}
 
 
+def tokenizers(a_path: str, b_path: str) -> Tokenizers:
+    """This worker's pair of tokenizers with its cache; one pair is held."""
+    if (a_path, b_path) not in _made:
+        _made.clear()
+        _made[a_path, b_path] = Tokenizers(a_path, b_path)
+    return _made[a_path, b_path]
+
+
+def forget() -> None:
+    _made.clear()
+
+
 def tokenise(docs: DataFrame, a_path: str, b_path: str, keep: list[str], text: str = "text") -> DataFrame:
     """Batches: ``docs`` (structs of the ``keep`` columns and ``sequence``) and the integer lists of :data:`LISTS`."""
     numbers = T.ArrayType(T.IntegerType(), False)
@@ -170,18 +182,14 @@ def tokenise(docs: DataFrame, a_path: str, b_path: str, keep: list[str], text: s
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(v, np.int32) for v in values if len(v)]])), type=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (a_path, b_path) not in _made:
-            _made.clear()
-            _made[a_path, b_path] = Tokenizers(a_path, b_path)
         for b in slices(batches, text, BATCH_BYTES):
-            sequences, dictionary = _made[a_path, b_path](b.column(text).to_pylist())
+            sequences, dictionary = tokenizers(a_path, b_path)(b.column(text).to_pylist())
             kind = schema.field("docs").type
             fields = [kind.value_type.field(i) for i in range(kind.value_type.num_fields)]
             rows = pa.StructArray.from_arrays([lists(sequences, f.type) if f.name == "sequence" else b.column(f.name).cast(f.type) for f in fields], fields=fields)
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows, type=kind), *[lists([v], schema.field(c).type) for c, v in zip(LISTS, dictionary, strict=True)]], schema=schema)
-        pa.default_memory_pool().release_unused()  # workers are reused by later stages
 
-    return docs.select(*dict.fromkeys([*doc.fieldNames()[:-1], text])).mapInArrow(run, out)
+    return in_workers(docs.select(*dict.fromkeys([*doc.fieldNames()[:-1], text])), run, out, "alignment", forget, BATCH_BYTES)
 
 
 def doubles(merged: str) -> Column:
