@@ -36,6 +36,7 @@ as null; repeated rows are judged each; a kept column called
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -44,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.rows import slices, spare
+from tracewright.llm.rows import in_workers, slices, spare
 from tracewright.session import stash
 
 Q, RATE, MIN_CHARS = 12, 0.05, 30
@@ -333,21 +334,35 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str
     return rows.join(found, "_rid", "left").select(*keep, F.coalesce("leaks", none).alias("leaks"))
 
 
+_indexes: dict[str, tuple[Items, Short]] = {}
+
+
+def forget() -> None:
+    _indexes.clear()
+
+
+def indexed(name: str, block: list[tuple[int, str]], *settings) -> tuple[Items, Short]:
+    """The index of a block, made once in a worker; one block's is held."""
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = Items([x for x in block if len(x[1]) >= MIN_CHARS], *settings), Short([x for x in block if len(x[1]) < MIN_CHARS])
+    return _indexes[name]
+
+
 def _search(docs: DataFrame, block: list[tuple[int, str]], keep: list[str], text: str, q: int, rate: float, window: int, step: int) -> DataFrame:
     """``keep`` columns and ``leaks`` of one block of items."""
-    sent = docs.sparkSession.sparkContext.broadcast(block)  # about block_chars characters
+    sent, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex  # about block_chars characters
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items([x for x in sent.value if len(x[1]) >= MIN_CHARS], q, rate, window, step)
-        short = Short([x for x in sent.value if len(x[1]) < MIN_CHARS])
+        items, short = indexed(name, sent.value, q, rate, window, step)
         for b in slices(batches, text, 2 << 20):
             texts = b.column(text).to_pylist()
             out = [sorted(x + y) for x, y in zip(leaks(texts, items), short.found(texts), strict=True)]
             found = pa.array([[{"item_id": None if i == NO_ID else i, "edits": k} for i, k in x] for x in out], pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64())])))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), found], names=[*keep, "leaks"])
 
-    return docs.mapInArrow(run, f"{fields}, leaks array<struct<item_id: bigint, edits: bigint>>")
+    return in_workers(docs, run, f"{fields}, leaks array<struct<item_id: bigint, edits: bigint>>", "decontamination", forget)
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -15,6 +17,43 @@ from pyspark.sql.pandas.types import to_arrow_schema
 BATCH_BYTES = 4 << 20
 
 
+#: Bytes of rows that the executor hands to a worker at once, but for a longer single row.
+ARROW_BYTES = 4 << 20
+_held: dict[str, Callable[[], None]] = {}
+
+
+def take_over(owner: str, drop: Callable[[], None] | None) -> None:
+    """Drop what other operators left in this worker, which later stages use again; ``drop`` will drop the owner's."""
+    others = [name for name in _held if name != owner]
+    for name in others:
+        _held.pop(name)()
+    if others:
+        give_back()
+    if drop:
+        _held[owner] = drop
+
+
+def give_back() -> None:
+    """Return freed memory of the worker to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only one C library has it
+    if trim:
+        trim(0)
+
+
+def in_workers(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, owner: str = "", drop: Callable[[], None] | None = None, arrow_bytes: int = ARROW_BYTES) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches bounded by bytes and nothing left behind in the workers but the owner's caches."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", arrow_bytes)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(owner, drop)
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of each weigh ``limit`` bytes at most."""
     for batch in batches:
@@ -29,7 +68,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BY
             yield batch.slice(first)
 
 
-def map_texts(df: DataFrame, text: str, out: T.StructType, fn: Callable[[pa.RecordBatch], dict], limit: int = BATCH_BYTES) -> DataFrame:
+def map_texts(df: DataFrame, text: str, out: T.StructType, fn: Callable[[pa.RecordBatch], dict], limit: int = BATCH_BYTES, owner: str = "", drop: Callable[[], None] | None = None) -> DataFrame:
     """Apply ``fn`` (a batch to columns of ``out``) to bounded slices of ``df``."""
     schema = to_arrow_schema(out)
 
@@ -37,9 +76,8 @@ def map_texts(df: DataFrame, text: str, out: T.StructType, fn: Callable[[pa.Reco
         for part in slices(batches, text, limit):
             columns = fn(part)
             yield pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-        pa.default_memory_pool().release_unused()  # workers are reused by later stages
 
-    return df.mapInArrow(run, out)
+    return in_workers(df, run, out, owner, drop)
 
 
 def spare(keep: list[str], made: Iterable[str]) -> list[str]:

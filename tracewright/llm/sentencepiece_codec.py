@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracewright.llm.pieces import ChunkCache, as_bytes, threaded
-from tracewright.llm.rows import slices, spare
+from tracewright.llm.rows import in_workers, slices, spare
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -178,6 +178,10 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def forget() -> None:
+    _codecs.clear()
+
+
 def encode_documents(docs: DataFrame, model: str, keep: list[str], text: str = "text", with_ids: bool = True) -> DataFrame:
     """``keep`` columns, token_ids (optional), n_tokens, ids_crc32,
     decoded_sha256 and round_trip (the decoded text is the text, its markers
@@ -198,7 +202,7 @@ def encode_documents(docs: DataFrame, model: str, keep: list[str], text: str = "
             arrays += [pa.array(sizes), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string()), pa.array([x == (t or "").replace(MARK, " ") for x, t in zip(back, texts, strict=True)], pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *(["token_ids"] if with_ids else []), "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"])
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, out)
+    return in_workers(docs.select(*dict.fromkeys([*keep, text])), run, out, "sentencepiece", forget)
 
 
 def default_model() -> str:

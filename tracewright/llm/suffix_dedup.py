@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.rows import numbered, slices
+from tracewright.llm.rows import in_workers, numbered, slices
 from tracewright.session import stash
 
 LENGTH, GRAM, GROUP = 200, 32, 100_000
@@ -203,7 +203,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
             rid = b.column("rid").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(rid[row]), pa.array(h), pa.array(lo), pa.array((hi - lo).astype(np.int32)), pa.array((a - lo).astype(np.int32))], names=["rid", "h", "lo", "more", "off"])
 
-    anchors = stash(keyed.select("rid", "text").mapInArrow(find, "rid bigint, h bigint, lo bigint, more int, off int"), "anchors")
+    anchors = stash(in_workers(keyed.select("rid", "text"), find, "rid bigint, h bigint, lo bigint, more int, off int"), "anchors")
     grams = stash(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
     found = anchors.join(grams, "h")
     hot = grams.where(F.col("n") > group).limit(1).count() > 0
@@ -245,7 +245,8 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
         if rows:
             yield run(waiting)
 
-    spans = located.mapInArrow(cut, "h bigint, rid bigint, lo bigint, off int, seg binary").repartition("h").sortWithinPartitions("h", "rid", "lo").mapInArrow(match, "rid bigint, start bigint, end bigint")
+    passages = in_workers(located, cut, "h bigint, rid bigint, lo bigint, off int, seg binary")
+    spans = in_workers(passages.repartition("h").sortWithinPartitions("h", "rid", "lo"), match, "rid bigint, start bigint, end bigint")
     if hot:
 
         def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +255,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
                     at = [s for x in items or () if x["n"] > group for s in range(x["lo"], x["lo"] + x["more"] + 1)]
                     yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(data[s : s + length]) for s in at], pa.binary()), pa.array(np.full(len(at), r)), pa.array(at, pa.int64())], names=["w", "rid", "start"])
 
-        every = stash(located.mapInArrow(strings, "w binary, rid bigint, start bigint"), "strings")
+        every = stash(in_workers(located, strings, "w binary, rid bigint, start bigint"), "strings")
         again = every.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "start")).alias("low")).where("n > 1")
         # a string may hold a third of all rows: its rows are dealt over salts, the few repeated strings to each
         salted = every.withColumn("salt", F.pmod(F.xxhash64("rid", "start"), F.lit(SALTS)))
@@ -321,7 +322,7 @@ def rewrite(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(new, pa.string()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], names=[*others, "text", *digests])
 
     kinds = ", ".join(f"`{c}` {searched.schema[c].dataType.simpleString()}" for c in others)
-    out = joined.select(*others, "text", "spans").mapInArrow(cut, f"{kinds}, text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    out = in_workers(joined.select(*others, "text", "spans"), cut, f"{kinds}, text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return out.withColumnRenamed("text", text) if text != "text" else out
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.rows import map_texts, of_rest, spare, unit
+from tracewright.llm.rows import in_workers, map_texts, of_rest, spare, unit
 
 WORD = re.compile(r"[^\W_]+")
 MAX_TRAIN, BITS = 5_000, 20
@@ -48,6 +48,9 @@ class Words:
 
     def __init__(self, limit: int = 100_000):
         self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.table = np.zeros((1024, 1 + len(STEMS)), np.uint64)
 
@@ -72,6 +75,10 @@ class Words:
 _words = Words()
 
 
+def forget() -> None:
+    _words.clear()
+
+
 def grams_of(text: str, piece: int = 1 << 16) -> Iterator[np.ndarray]:
     """64-bit hashes of the word grams, skip-grams and stems of a text, with repeats, ``piece`` words at a time."""
     at = _words(text)
@@ -181,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bits: in
     sample = known.where(unit("doc_id") < share)  # about max_train rows of two numbers
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text"))
     out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("_y", T.IntegerType()), T.StructField("at", T.BinaryType())])
-    hashed = map_texts(texts, "text", out, lambda b: {"doc_id": b.column("doc_id"), "_y": b.column("_y"), "at": [features(t, bits).tobytes() for t in b.column("text").to_pylist()]})
+    hashed = map_texts(texts, "text", out, lambda b: {"doc_id": b.column("doc_id"), "_y": b.column("_y"), "at": [features(t, bits).tobytes() for t in b.column("text").to_pylist()]}, owner="toxicity", drop=forget)
     one = hashed.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")  # features of the bounded sample; the algorithm is sequential
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bits: in
             at, w, bias = train(rows, bits)
             yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()]), pa.array([w.tobytes()]), pa.array([bias])], names=["at", "w", "bias"])
 
-    model = one.mapInArrow(run, "at binary, w binary, bias double").collect()  # one row, at most 8 * 2**bits bytes
+    model = in_workers(one, run, "at binary, w binary, bias double", "toxicity", forget).collect()  # one row, at most 8 * 2**bits bytes
     if not model:
         return None
     return np.frombuffer(model[0]["at"], np.int32), np.frombuffer(model[0]["w"], np.float32), model[0]["bias"]
@@ -223,7 +230,7 @@ def score_texts(df: DataFrame, model: Model | None, keep: list[str], text: str =
     def fn(b: pa.RecordBatch) -> dict:
         return {c: b.column(c) for c in keep} | {score: [one(t) for t in b.column(text).to_pylist()]}
 
-    return map_texts(df.select(*dict.fromkeys([*keep, text])), text, out, fn)
+    return map_texts(df.select(*dict.fromkeys([*keep, text])), text, out, fn, owner="toxicity", drop=forget)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
