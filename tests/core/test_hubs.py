@@ -80,3 +80,39 @@ def test_project_hubs(spark):
     degree = {r.node_id: (min(2, r.n_in), min(2, r.n_out)) for r in graph.degrees(out["edges"]).collect()}
     single = {r.node_id: (r.n_in, r.n_out) for r in hubs.single_degrees(held).collect()}
     assert {k: v for k, v in single.items() if v != (0, 0)} == degree
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_folding_over_hubs(spark, seed):
+    """Paths over folded hubs, put back together, are those over folded pairs."""
+    named, facts = random_project(spark, 20 + seed, 40)
+    held = hubs.def_use_hubs(named, ["scope"]).cache()
+    ordered = hubs.pairs(held).select("scope", "src", "dst", F.array(F.col("stage").cast("bigint"), "dst").alias("edge_ord")).cache()
+    plain = facts.where("source_type IS NULL AND sink_class IS NULL AND san_power IS NULL").select("scope", "node_id", F.lit("assignment").alias("node_type"), F.lit("x").alias("code"))
+    thru = [graph.passthrough_nodes(plain, ordered, []), hubs.passthrough_nodes(plain, held, [])]
+    assert {r.node_id for r in thru[0].collect()} == {r.node_id for r in thru[1].collect()}
+    anchors = facts.join(thru[0], ["scope", "node_id"], "left_anti")
+    shown = []
+    for folded, rest in ((graph.fold_chains(ordered, thru[0]), None), hubs.fold_hubs(held, thru[1])):
+        paths = taint.taint_paths(anchors, folded, max_pops=None, hubs=rest, threshold=0.2).withColumn("key", F.concat_ws("|", "source_id", "sink_id", "label", "path_len", F.concat_ws(",", "path")))
+        shown.append(Counter((r.key, r.pos, r.node_id, r.is_folded) for r in graph.unfold_paths(paths, folded, "key").collect()))
+    assert shown[0] == shown[1]
+
+
+def test_analysis_over_hubs(spark):
+    from test_scan import PROJECT, findings
+
+    columns = ["vuln_class", "source_file", "source_line", "sink_file", "sink_line", "confidence"]
+    one, two = ([tuple(r[c] for c in columns) for r in findings(spark, PROJECT, **kw)[1]] for kw in ({"max_pops": None}, {"as_hubs": True}))
+    assert sorted(one) == sorted(two) and one
+
+
+def test_own_rules_change_no_verdict(spark):
+    """A statement that only mentions a placeholder is no sanitizer unless the further rules are asked for."""
+    from tracewright.operators.rules import default_rules
+    from tracewright.plans.scan import analyse
+    from tracewright.sources.files import inline_file
+
+    code = 'q = request.args.get("q")\ns = "SELECT %s", q\ncursor.execute(s)\n'
+    found = [[(r.vuln_class, r.source_line, r.sink_line) for r in analyse(inline_file(spark, code), default_rules(spark, more))["findings"].where("analyzer = 'taint'").collect()] for more in (False, True)]
+    assert found == [[("sqli", 0, 2)], []]

@@ -168,11 +168,13 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def passthrough_nodes(nodes: DataFrame, edges: DataFrame, patterns: list[str]) -> DataFrame:
     """Nodes that only hand a value on: one data edge in, one out, a type that
-    may be folded and no pattern of any rule in the code."""
+    may be folded and no pattern of any rule in the code.  ``edges`` may be a
+    table of degrees (scope, node_id, n_in, n_out)."""
     kept = nodes.where(~F.col("node_type").isin("call", "condition", "function_def", "return", "parameter"))
     if patterns:
         kept = kept.where(~F.col("code").rlike(any_pattern(patterns, boundary=False)))
-    return kept.join(degrees(edges).where("n_in = 1 AND n_out = 1"), ["scope", "node_id"], "left_semi")
+    counted = edges if "n_in" in edges.columns else degrees(edges)
+    return kept.join(counted.where("n_in = 1 AND n_out = 1"), ["scope", "node_id"], "left_semi")
 
 
 def fold_chains(edges: DataFrame, passthrough: DataFrame) -> DataFrame:

@@ -141,3 +141,30 @@ def single_degrees(hubs: DataFrame) -> DataFrame:
     n_in = one_side("out", "n_ins", "in1", "in2").withColumnRenamed("n", "n_in")
     n_out = one_side("in", "n_outs", "out1", "out2").withColumnRenamed("n", "n_out")
     return n_in.join(n_out, ["scope", "node_id"], "full_outer").select("scope", "node_id", F.coalesce("n_in", F.lit(0)).alias("n_in"), F.coalesce("n_out", F.lit(0)).alias("n_out"))
+
+
+def fold_hubs(hubs: DataFrame, passthrough: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chains of ``passthrough`` nodes contracted: (edges with ``folded`` nodes, the hubs of all other nodes).
+
+    Passthrough nodes have one edge in and one out (:func:`single_degrees`), so
+    the edges at them are as many as they; only these are written out and
+    folded.  Where a hub also leads from one end of a chain to the other, the
+    first of both by order stays, as between any two nodes.
+    """
+    thru = passthrough.select("scope", "node_id")
+    ins, outs = sides(hubs)
+    away = ins.join(thru.select("scope", F.col("node_id").alias("src")), ["scope", "src"], "left_semi").join(outs, ["scope", "hub"])
+    into = outs.join(thru.select("scope", F.col("node_id").alias("dst")), ["scope", "dst"], "left_semi").join(ins, ["scope", "hub"])
+    near = away.select("scope", "src", "dst", "stage").unionByName(into.select("scope", "src", "dst", "stage")).where("src <> dst").groupBy("scope", "src", "dst").agg(F.min("stage").cast("bigint").alias("stage"))
+    edges = stash(near.select("scope", "src", "dst", F.array("stage", "dst").alias("edge_ord")), "near")
+    rest = stash(hubs.join(thru, ["scope", "node_id"], "left_anti"), "hubs")
+    ins, outs = sides(rest)
+    folded = stash(graph.fold_chains(edges, passthrough), "chains")
+    beside = folded.select("scope", "src", "dst").join(ins, ["scope", "src"]).join(outs, ["scope", "hub", "dst"]).groupBy("scope", "src", "dst").agg(F.min("stage").cast("bigint").alias("stage"))
+    both = folded.join(beside.select("scope", "src", "dst", F.array("stage", "dst").alias("_direct")), ["scope", "src", "dst"], "left")
+    return both.where(F.col("_direct").isNull() | (F.col("edge_ord") < F.col("_direct"))).drop("_direct"), rest
+
+
+def passthrough_nodes(nodes: DataFrame, hubs: DataFrame, patterns: list[str]) -> DataFrame:
+    """:func:`graph.passthrough_nodes` with the degrees of hubs."""
+    return graph.passthrough_nodes(nodes, single_degrees(hubs), patterns)

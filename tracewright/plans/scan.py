@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import scoring, text
-from tracewright.operators import detect, graph, parse, rules, taint
+from tracewright.operators import detect, graph, hubs, parse, rules, taint
 from tracewright.operators.findings import changed_files, collapse_groups
 from tracewright.session import stash
 from tracewright.sources.files import detect_framework, manifest, select_files
@@ -22,13 +22,17 @@ def verdicts(paths: DataFrame) -> DataFrame:
     return scored.withColumns({"llm_confidence": F.col("_v.llm_confidence"), "exploitable": F.col("_v.exploitable")}).drop("_v")
 
 
-def analyse(files: DataFrame, catalogue: DataFrame, framework: str | None = None, fold: bool = True, scorer: Callable[[DataFrame], DataFrame] = verdicts, **options) -> dict[str, DataFrame]:
+def analyse(files: DataFrame, catalogue: DataFrame, framework: str | None = None, fold: bool = True, scorer: Callable[[DataFrame], DataFrame] = verdicts, as_hubs: bool = False, **options) -> dict[str, DataFrame]:
     """Tables nodes, edges, folded, paths, steps, findings, excluded and errors of ``files``.
 
     Without ``framework`` the profile of each scope is that of the framework its
     first files show.  With ``fold`` chains of nodes that only hand a value on
     are contracted before the search and put back into the paths after it.
     ``scorer`` judges the paths (see :func:`correlate`).
+    With ``as_hubs`` edges are never written as pairs of definitions and uses:
+    folding and the search walk hubs, and the search has no budget of pops.
+    Patterns of the base rules hold nodes back from folding, those of a
+    framework's profile don't.
     ``options`` go to the fixpoint: threshold, max_len, max_pops, label_scope, prune.
     """
     judged = select_files(files)
@@ -38,10 +42,20 @@ def analyse(files: DataFrame, catalogue: DataFrame, framework: str | None = None
     if framework is None:
         bare = bare.join(detect_framework(kept), "scope", "left")
     nodes = stash(rules.annotate(bare, catalogue, framework), "nodes")
-    edges = stash(graph.project_edges(nodes, parse.func_table(parsed), parse.import_table(parsed), parse.module_table(kept)), "edges")
-    patterns = [r["pattern"] for r in catalogue.select("pattern").distinct().collect()]  # some hundreds
-    thru = graph.passthrough_nodes(nodes, edges, patterns) if fold else nodes.select("scope", "node_id").where("false")
-    folded = stash(graph.fold_chains(edges, thru), "folded")
+    tables = parse.func_table(parsed), parse.import_table(parsed), parse.module_table(kept)
+    patterns = [r["pattern"] for r in catalogue.where("framework IS NULL").select("pattern").distinct().collect()]  # some hundreds
+    none = nodes.select("scope", "node_id").where("false")
+    if as_hubs:
+        held = stash(hubs.project_hubs(nodes, *tables), "hubs")
+        edges = hubs.pairs(held).select("scope", "src", "dst", F.lit("data_dep").alias("edge_type"), F.array(F.col("stage").cast("bigint"), "dst").alias("edge_ord"))  # made only if asked for
+        thru = hubs.passthrough_nodes(nodes, held, patterns) if fold else none
+        folded, rest = hubs.fold_hubs(held, thru)
+        options = options | {"max_pops": None, "hubs": rest}
+    else:
+        edges = stash(graph.project_edges(nodes, *tables), "edges")
+        thru = graph.passthrough_nodes(nodes, edges, patterns) if fold else none
+        folded = graph.fold_chains(edges, thru)
+    folded = stash(folded, "folded")
     anchors = nodes.join(thru, ["scope", "node_id"], "left_anti")
     paths = taint.prededup_paths(taint.dedup_paths(taint.taint_paths(anchors, folded, **options), nodes))
     paths = stash(paths.withColumn("path_id", F.sha2(F.concat_ws("|", "scope", "label", "source_id", "sink_id", "vuln_class"), 256)), "paths")
