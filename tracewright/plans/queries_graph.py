@@ -73,3 +73,34 @@ def hub_degrees(t):
     nodes = lines.select(F.col("l_orderkey").cast("string").alias("scope"), F.col("l_linenumber").alias("node_id"), name("d").alias("defs"), name("u").alias("uses"))
     out = hubs.single_degrees(hubs.def_use_hubs(nodes, ["scope"])).where("n_in > 0 OR n_out > 0")
     return out.select(F.col("scope").cast("bigint").alias("l_orderkey"), "node_id", "n_in", "n_out")
+
+
+def _trades(t, changed: bool):
+    """A project a nation: a file for each supplier that calls one of the nation's five libraries; in the changed one every
+    seventh supplier's file is another, some are gone, and a nation's libraries are rewritten."""
+    from tracewright.sources.files import _files
+
+    debt = (F.col("s_acctbal") < 0) if not changed else (F.col("s_acctbal") < 0) != (F.col("s_suppkey") % 7 == 0)
+    library = F.col("s_suppkey") % 5
+    head = F.when(debt, F.lit("q = request.args.get('q')\n")).otherwise(F.lit("q = 'fixed'\n"))
+    source = F.concat(F.lit("from lib"), library, F.lit(" import go"), library, F.lit("\n"), head, F.lit("go"), library, F.lit("(q)\n"))
+    own = t.supplier.where("s_suppkey % 11 <> 0" if changed else "true").select(F.concat(F.lit("n"), "s_nationkey").alias("scope"), F.concat(F.lit("f"), "s_suppkey", F.lit(".py")).alias("path"), source.alias("source"))
+    body = F.when((F.col("n_nationkey") % 9 == 4) & F.lit(changed), F.lit("(x):\n    print(x)\n")).otherwise(F.lit("(x):\n    os.system(x)\n"))
+    libraries = t.nation.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(F.concat(F.lit("n"), "n_nationkey").alias("scope"), F.concat(F.lit("lib"), "k", F.lit(".py")).alias("path"), F.concat(F.lit("def go"), "k", body).alias("source"))
+    made = own.unionByName(libraries)
+    return _files(made.withColumns({"sha256": F.sha2("source", 256), "n_bytes": F.octet_length("source").cast("bigint")}))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, 'n' || s_nationkey AS scope, (s_acctbal < 0) <> (s_suppkey % 7 = 0) AS bad FROM supplier WHERE s_suppkey % 11 <> 0 AND s_nationkey % 9 <> 4)
+SELECT scope, 'f' || min(k::VARCHAR) || '.py' AS source_file, 1 AS source_line, 'lib' || k % 5 || '.py' AS sink_file, 1 AS sink_line, 'cmdi' AS vuln_class FROM s WHERE bad GROUP BY scope, k % 5""")
+def incremental_findings(t):
+    """An update of the stored analysis: one finding for each library that a supplier's input reaches, from the first of them."""
+    from tracewright.operators.rules import default_rules
+    from tracewright.plans import incremental
+    from tracewright.session import fresh_path
+
+    path, rules = fresh_path(t.spark, "analysis"), default_rules(t.spark)
+    incremental.store(incremental.whole(_trades(t, False), rules), path)
+    out = incremental.update(_trades(t, True), rules, incremental.load(t.spark, path))
+    found = out["findings"].where("analyzer = 'taint'")
+    return found.select("scope", "source_file", F.col("source_line").cast("int").alias("source_line"), "sink_file", F.col("sink_line").cast("int").alias("sink_line"), "vuln_class")

@@ -22,7 +22,7 @@ def verdicts(paths: DataFrame) -> DataFrame:
     return scored.withColumns({"llm_confidence": F.col("_v.llm_confidence"), "exploitable": F.col("_v.exploitable")}).drop("_v")
 
 
-def analyse(files: DataFrame, catalogue: DataFrame, framework: str | None = None, fold: bool = True, scorer: Callable[[DataFrame], DataFrame] = verdicts, as_hubs: bool = False, **options) -> dict[str, DataFrame]:
+def analyse(files: DataFrame, catalogue: DataFrame, framework: str | None = None, fold: bool = True, scorer: Callable[[DataFrame], DataFrame] = verdicts, as_hubs: bool = False, parsed: DataFrame | None = None, frameworks: DataFrame | None = None, **options) -> dict[str, DataFrame]:
     """Tables nodes, edges, folded, paths, steps, findings, excluded and errors of ``files``.
 
     Without ``framework`` the profile of each scope is that of the framework its
@@ -33,14 +33,17 @@ def analyse(files: DataFrame, catalogue: DataFrame, framework: str | None = None
     folding and the search walk hubs, and the search has no budget of pops.
     Patterns of the base rules hold nodes back from folding, those of a
     framework's profile don't.
+    ``parsed`` (rows of :func:`parse.parse_files`) saves parsing, ``frameworks``
+    (scope, framework) detecting them.
     ``options`` go to the fixpoint: threshold, max_len, max_pops, label_scope, prune.
     """
     judged = select_files(files)
     kept = judged.where("reason IS NULL").drop("reason")
-    parsed = stash(parse.parse_files(kept), "parsed")
+    if parsed is None:
+        parsed = stash(parse.parse_files(kept), "parsed")
     bare = parse.node_table(parsed, kept)
     if framework is None:
-        bare = bare.join(detect_framework(kept), "scope", "left")
+        bare = bare.join(detect_framework(kept) if frameworks is None else frameworks, "scope", "left")
     nodes = stash(rules.annotate(bare, catalogue, framework), "nodes")
     tables = parse.func_table(parsed), parse.import_table(parsed), parse.module_table(kept)
     patterns = [r["pattern"] for r in catalogue.where("framework IS NULL").select("pattern").distinct().collect()]  # some hundreds
