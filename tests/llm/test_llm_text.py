@@ -492,3 +492,35 @@ def test_overflow_goes_clockwise():
     order = [s for c, _, _, s, _ in got if c == 4]
     assert order == [s for s in walks[4] if s in order] and order[0] == home
     assert sum(hi - lo for _, lo, hi, _, _ in got) == sum(hist.values())
+
+
+@pytest.mark.parametrize("variant", ["given", "cased", "added", "other pattern", "byte level", "truncated"])
+def test_token_output_reads_its_tokenizer_file(tmp_path, variant):
+    """Ids are the library's for any file, by the short way or not."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = str(public_tokenizers.path("byte_bpe_50k.json" if variant == "byte level" else "word_bpe_49k.json"))
+    with open(path, encoding="utf-8") as f:
+        settings = json.load(f)
+    if variant == "cased":
+        settings["normalizer"]["normalizers"].pop()
+    elif variant == "added":
+        settings["added_tokens"].append(settings["added_tokens"][0] | {"id": 49408, "content": "[MARK]"})
+    elif variant == "other pattern":
+        settings["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
+    elif variant == "truncated":
+        settings["truncation"] = {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}
+    if variant not in ("given", "byte level"):
+        path = str(tmp_path / "tokenizer.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(settings, f)
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    texts = ["Hello World, don't STOP 12 times", "Écoute  le\nVent [MARK] <|endoftext|> x", "", None, "a" * 300, "ÀÉ é日本 \U0001f389"]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    got = [np.frombuffer(x, "<u4").tolist() for x in token_output.encode_texts(path, texts)]
+    assert got == want
+    assert token_output.word_tokenizer(path) == (variant in ("given", "truncated"))

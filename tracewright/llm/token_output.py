@@ -18,6 +18,7 @@ rows are written each; other columns are ignored; an empty table gives no row.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.pieces import ChunkCache, as_bytes
+from tracewright.llm.pieces import ChunkCache, as_bytes, threaded
 from tracewright.llm.rows import slices
 
 WRITER = {
@@ -41,7 +42,7 @@ WRITER = {
     "compression": "snappy",
 }
 SCHEMA = "doc_id bigint, n_tokens bigint, part int, start_in_part bigint, token_ids array<int>"
-_caches: dict[str, ChunkCache] = {}
+_caches: dict[str, ChunkCache | None] = {}
 
 
 #: A lower-case word of Latin letters, with a run of ASCII marks behind it (no apostrophe).
@@ -51,15 +52,55 @@ _MARK = re.compile(rb"(?<=[a-z])([,.])(?=[ \n])")
 _FAR = bytes(range(0xC6, 0x100))
 
 
-def word_cache(path: str) -> ChunkCache:
-    """A tokenizer whose pre-tokenizer drops white space: ASCII white space is
+#: What a file must say for its texts to be cut at white space and their plain words lower-cased and encoded by themselves.
+_STEPS = {"NFC", "Lowercase"}
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BLANKS = re.compile(r"\\s\+")
+
+
+def _steps(part: dict | None, key: str) -> list[dict]:
+    """The steps of a normaliser or pre-tokenizer, one or a sequence of them."""
+    return [] if part is None else part[key] if part.get("type") == "Sequence" else [part]
+
+
+def word_tokenizer(path: str) -> bool:
+    """Whether a tokenizer file is of the kind :func:`word_cache` knows: texts lower-cased and composed, white space
+    collapsed, words split off and dropped blanks between them, byte-level pieces, ``</w>`` at a word's end."""
+    with open(path, encoding="utf-8") as f:
+        settings = json.load(f)
+    model = settings["model"]
+    if model.get("type", "BPE") != "BPE" or model.get("end_of_word_suffix") != "</w>" or model.get("continuing_subword_prefix"):
+        return False
+    if any("<|" not in t["content"] or len(t["content"].split()) != 1 or t["normalized"] for t in settings["added_tokens"]):
+        return False  # the short way looks out for these strings by how they begin
+    names = set()
+    for step in _steps(settings["normalizer"], "normalizers"):
+        if step["type"] == "Replace":
+            if not _BLANKS.fullmatch(step["pattern"].get("Regex", "")) or step["content"] != " ":
+                return False
+        elif step["type"] not in _STEPS:
+            return False
+        names.add(step["type"])
+    before = _steps(settings["pre_tokenizer"], "pretokenizers")
+    kinds = [s["type"] for s in before]
+    splits = kinds == ["Split", "ByteLevel"] and before[0]["behavior"] == "Removed" and before[0]["invert"] is True and not before[1]["add_prefix_space"]
+    return "Lowercase" in names and splits and WORD_PATTERN == before[0]["pattern"].get("Regex")
+
+
+def word_cache(path: str) -> ChunkCache | None:
+    """None if the file is no :func:`word_tokenizer`; else a tokenizer whose pre-tokenizer drops white space: ASCII white space is
     a border of chunks, as is the end of a plain word before marks.  Plain
     words need neither the normaliser nor the pre-tokenizer's pattern; many are
     encoded as one text and told apart by their closing pieces."""
+    if path not in _caches and not word_tokenizer(path):
+        _caches[path] = None
     if path not in _caches:
         from tokenizers import Tokenizer, pre_tokenizers
 
         whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for each in (whole, plain):  # a file's own limit would cut texts
+            each.no_padding()
+            each.no_truncation()
         plain.normalizer = None
         plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         closing = np.zeros(whole.get_vocab_size(), bool)
@@ -98,8 +139,27 @@ def _chunks(text: str | None) -> list[bytes]:
     return data.split()
 
 
+_whole: dict[str, Callable[[list[str]], list[bytes]]] = {}
+
+
+def whole_texts(path: str) -> Callable[[list[str]], list[bytes]]:
+    """Any other tokenizer file: the library encodes the texts as they are."""
+    if path not in _whole:
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(path)
+        made.no_padding()
+        made.no_truncation()
+        _whole[path] = lambda texts: [as_bytes(e.ids) for e in made.encode_batch_fast(texts, add_special_tokens=False)]
+    return _whole[path]
+
+
 def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
-    return word_cache(path)([_chunks(t) for t in texts])
+    cache = word_cache(path)
+    if cache is None:
+        threaded(False)
+        return whole_texts(path)([t or "" for t in texts])
+    return cache([_chunks(t) for t in texts])
 
 
 def file_count(docs: DataFrame, target_bytes: int) -> int:
