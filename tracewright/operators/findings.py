@@ -11,10 +11,14 @@ from tracewright.operators.order import ranked
 
 def collapse_groups(df: DataFrame, keys: list[str], score: str, tie: list[str], threshold: int = 3) -> DataFrame:
     """Groups of ``threshold`` rows or more keep their best row; ``dedup_count`` is the size kept for."""
+    order = [F.col(score).desc(), *tie]
+    # a group is cut in parts first, so that a hot sink's rows don't meet in one task: few of each part go on, with its count
+    part = Window.partitionBy(*keys, "_part")
+    dealt = df.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
+    few = dealt.withColumns({"_c": F.count(F.lit(1)).over(part), "_r": F.row_number().over(part.orderBy(*order))}).where(F.col("_r") < max(2, threshold))
     group = Window.partitionBy(*keys)
-    rank = F.row_number().over(group.orderBy(F.col(score).desc(), *tie))
-    out = df.withColumns({"_n": F.count(F.lit(1)).over(group), "_r": rank}).where((F.col("_n") < threshold) | (F.col("_r") == 1))
-    return out.withColumn("dedup_count", F.when(F.col("_n") < threshold, 1).otherwise(F.col("_n")).cast("long")).drop("_n", "_r")
+    out = few.withColumns({"_n": F.sum(F.when(F.col("_r") == 1, F.col("_c"))).over(group), "_best": F.row_number().over(group.orderBy(*order))}).where((F.col("_n") < threshold) | (F.col("_best") == 1))
+    return out.withColumn("dedup_count", F.when(F.col("_n") < threshold, 1).otherwise(F.col("_n")).cast("long")).drop("_n", "_r", "_c", "_best", "_part")
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -279,4 +283,4 @@ def valid_discoveries(df: DataFrame, bounds: DataFrame, keys: list[str], n: int
 def chain_candidates(df: DataFrame, keys: list[str]) -> DataFrame:
     """Mild findings that aren't false positives, of keys that have two or more."""
     mild = df.where(F.col("severity").isin("info", "low", "medium") & ~F.col("is_false_positive"))
-    return mild.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_n >= 2").drop("_n")
+    return mild.join(mild.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select(*keys), keys, "left_semi")

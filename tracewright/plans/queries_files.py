@@ -172,9 +172,9 @@ def unguarded_route(t):
 
 
 @query("""
-SELECT event_id FROM (SELECT *, max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) AS safe FROM events) WHERE safe = 0 AND event_type = 'error'""")
+SELECT event_id FROM (SELECT *, max(CASE WHEN event_type = 'signup' AND event_id % 16 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) AS safe FROM events) WHERE safe = 0 AND event_type = 'error'""")
 def timing_gate(t):
-    safe = t.events.groupBy("user_id").agg(F.max(F.col("event_type") == "signup").alias("safe"))
+    safe = t.events.groupBy("user_id").agg(F.max((F.col("event_type") == "signup") & (F.col("event_id") % 16 == 0)).alias("safe"))
     return detect.unless_safe(t.events, safe, ["user_id"], F.col("event_type") == "error", "safe").select("event_id")
 
 
@@ -378,10 +378,15 @@ def taint_budget(t):
     return _roads(t, 2 * t.orders.count())
 
 
-@query("SELECT 'src:0' AS label, 0::BIGINT AS sink_id, '' AS path WHERE false")
+@query("""SELECT 'src:' || n_regionkey AS label, o_orderkey + (2::BIGINT << 40) AS sink_id, (c_custkey + (1::BIGINT << 40)) || '>' || (o_orderkey + (2::BIGINT << 40)) AS path
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE o_orderkey % 3 = 0""")
 def taint_short_paths(t):
-    """No sink lies within two nodes."""
-    return _roads(t, None, max_len=2)
+    """Paths of two nodes end at every third order; the longer ones, which end at suppliers, are cut."""
+    nodes, edges = _trade_graph(t, cyclic=False)
+    near = (F.shiftright("node_id", 40) == 2) & (F.col("node_id").bitwiseAND(F.lit((1 << 40) - 1)) % 3 == 0)
+    nodes = nodes.withColumns({"sink_class": F.when(near, "trade").otherwise(F.col("sink_class")), "sink_severity": F.when(near, "high").otherwise(F.col("sink_severity"))})
+    out = taint.taint_paths(nodes, edges, max_pops=None, max_len=2)
+    return out.select("label", "sink_id", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 @query("SELECT l_orderkey, round(product(CASE WHEN l_linenumber % 3 <> 0 THEN 1.0::DOUBLE - l_discount ELSE 1.0::DOUBLE END), 9) AS danger FROM lineitem GROUP BY l_orderkey")

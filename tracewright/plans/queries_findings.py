@@ -120,7 +120,8 @@ def cwe_top20(t):
 
 @query(f"""WITH {TAX_SQL} SELECT owasp, count(*) AS n FROM (SELECT {CLASS_SQL} AS c FROM orders) JOIN tax ON v = c WHERE owasp <> '' GROUP BY 1""")
 def owasp_counts(t):
-    return scoring.classify(orders(t)).where("owasp_category <> 'Unknown'").groupBy(F.col("owasp_category").alias("owasp")).agg(F.count(F.lit(1)).alias("n"))
+    rows = scoring.classify(orders(t)).withColumns({"title": F.lit("t"), "sink_file": F.lit("f"), "sink_line": F.lit(1), "id": F.col("o_orderkey")})
+    return context(rows)["owasp"].where("owasp_category <> 'Unknown'").select(F.col("owasp_category").alias("owasp"), "n")
 
 
 @query(f"""SELECT o_orderkey FROM orders WHERE {SEV_SQL} = 'critical' ORDER BY o_orderkey LIMIT 3""")
@@ -216,12 +217,12 @@ def valid_chains(t):
 
 
 @query("""WITH b AS (SELECT doc_id AS file, len(string_split(text, chr(10))) AS n_lines FROM documents WHERE doc_id % 3 <> 0),
-d AS (SELECT event_id AS ord, user_id, (event_id * 7) % 1000 AS file, (event_id % 15)::INT AS line, (event_id % 11) / 10.0::DOUBLE AS confidence FROM events)
+d AS (SELECT event_id AS ord, user_id, (event_id * 7) % (SELECT count(*) FROM documents) AS file, (event_id % 15)::INT AS line, (event_id % 11) / 10.0::DOUBLE AS confidence FROM events)
 SELECT user_id, ord FROM (SELECT d.*, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, ord) AS r FROM d LEFT JOIN b USING (file) WHERE confidence >= 0.6::DOUBLE AND line > 0 AND (n_lines IS NULL OR line <= n_lines)) WHERE r <= 5""")
 def valid_discoveries(t):
     # every third file is unknown; every other finding names its file with a folder, which only the short name finds
     bounds = t.documents.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("file"), F.size(F.split("text", "\n", -1)).alias("n_lines"))
-    number = (F.col("event_id") * 7) % 1000
+    number = (F.col("event_id") * 7) % t.documents.count()
     file = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("src/deep/"), number)).otherwise(number.cast("string"))
     d = t.events.select(F.col("event_id").alias("ord"), "user_id", file.alias("file"), (F.col("event_id") % 15).cast("int").alias("line"), ((F.col("event_id") % 11) / F.lit(10.0)).alias("confidence"))
     return fd.valid_discoveries(d, bounds, ["user_id"]).select("user_id", "ord")
@@ -386,8 +387,9 @@ def delete_cascade(t):
 
 @query("""SELECT c_custkey, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1""")
 def owned_findings(t):
-    mine = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return t.orders.join(mine, "o_custkey", "left_semi").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    scans = t.customer.select(F.col("c_custkey").alias("scan_id"), F.col("c_mktsegment").alias("user_id"))
+    mine = fd.owned_findings(t.orders.select(F.col("o_custkey").alias("scan_id")), scans, "BUILDING")
+    return mine.groupBy(F.col("scan_id").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT l_suppkey, sum(l_quantity) AS tokens, count(*) AS calls, count(*) FILTER (l_returnflag = 'R') AS cache_hits FROM lineitem GROUP BY 1""")

@@ -104,3 +104,19 @@ def incremental_findings(t):
     out = incremental.update(_trades(t, True), rules, incremental.load(t.spark, path))
     found = out["findings"].where("analyzer = 'taint'")
     return found.select("scope", "source_file", F.col("source_line").cast("int").alias("source_line"), "sink_file", F.col("sink_line").cast("int").alias("sink_line"), "vuln_class")
+
+
+@query("""WITH f AS (SELECT 'n' || s_nationkey AS scope, 'f' || s_suppkey || '.py' AS file, s_suppkey % 5 AS k FROM supplier), l AS (SELECT 'n' || n_nationkey AS scope, k FROM nation, (SELECT unnest(range(5)) AS k))
+SELECT scope, file, 'import' AS kind, 'go' || k AS name, 'lib' || k AS what FROM f UNION ALL SELECT scope, 'lib' || k || '.py', 'function', 'go' || k, 'x' FROM l
+UNION ALL SELECT scope, file, 'module', left(file, length(file) - 3), file FROM f UNION ALL SELECT scope, 'lib' || k || '.py', 'module', 'lib' || k, 'lib' || k || '.py' FROM l""")
+def parsed_symbols(t):
+    """Functions with their parameters, imports with their modules, and the modules that files are."""
+    from tracewright.operators import parse
+    from tracewright.session import stash
+
+    files = _trades(t, False)
+    parsed = stash(parse.parse_files(files), "parsed")
+    row = lambda df, kind, name, what: df.select("scope", "file", F.lit(kind).alias("kind"), F.col(name).alias("name"), what.alias("what"))
+    out = row(parse.func_table(parsed), "function", "name", F.array_join("params", ","))
+    out = out.unionByName(row(parse.import_table(parsed), "import", "local_name", F.col("module_stem")))
+    return out.unionByName(row(parse.module_table(files).withColumn("file", F.col("path")), "module", "stem", F.col("path")))
