@@ -62,3 +62,23 @@ def cache_hits(t):
     """Look-ups of forty prompts in a cache whose values live for four hours, and which look-up stored what was found."""
     found = arriving(t, "user_id % 40", lambda s: keyed.read_through(s, 14_400_000))
     return found.select(F.col("number").alias("event_id"), "hit", "source")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'false positive' ELSE 'open' END AS state FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")
+def versioned_findings(t):
+    """Scans of customers in debt are deleted with their findings and urgent findings triaged, in one version; a writer
+    that never commits leaves no trace."""
+    from tracewright.sources.versions import Store
+
+    store = Store(t.spark, fresh_path(t.spark, "store"))
+    first = store.begin()
+    first.append("scans", t.customer.select(F.col("c_custkey").alias("scan_id"), F.col("c_acctbal").alias("balance")))
+    first.append("findings", t.orders.select("o_orderkey", F.col("o_custkey").alias("scan_id"), F.col("o_orderpriority").alias("priority"), F.lit("open").alias("state")))
+    first.commit()
+    change = store.begin()
+    change.remove("findings", change.read("scans").where("balance < 0"), ["scan_id"])
+    change.delete("scans", F.col("balance") < 0)
+    change.update("findings", F.col("priority") == "1-URGENT", {"state": F.lit("false positive")})
+    change.commit()
+    store.begin().delete("findings", F.lit(True))
+    return store.read("findings").select("o_orderkey", "state")
