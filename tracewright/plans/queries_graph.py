@@ -120,3 +120,14 @@ def parsed_symbols(t):
     out = row(parse.func_table(parsed), "function", "name", F.array_join("params", ","))
     out = out.unionByName(row(parse.import_table(parsed), "import", "local_name", F.col("module_stem")))
     return out.unionByName(row(parse.module_table(files).withColumn("file", F.col("path")), "module", "stem", F.col("path")))
+
+
+@query("""WITH p AS (SELECT doc_id AS ord, substr(text, 1 + (doc_id % 40)::INT, 7) AS pattern FROM documents)
+SELECT d.doc_id, min(p.ord) AS ord FROM documents d JOIN p ON p.pattern <> '' AND contains(d.text, p.pattern) GROUP BY 1""")
+def rule_index(t):
+    """As many rules as there are documents, a few characters of each: the first that matches every document."""
+    from tracewright.operators.rule_index import first_match_indexed
+
+    rules = t.documents.select(F.col("doc_id").alias("ord"), F.substring("text", 1 + F.col("doc_id") % 40, 7).alias("pattern"), F.lit("t").alias("tag"))
+    found = first_match_indexed(t.documents, rules, ["doc_id"], "text", boundary=False)
+    return found.select("doc_id", F.col("rule.ord").alias("ord"))
