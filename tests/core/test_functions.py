@@ -30,6 +30,7 @@ def test_word_boundary_and_framework_rules(spark):
     rows = spark.createDataFrame([("get_user_input()", "python"), ("x = input()", "python"), ("send_file(p)", "go"), ("anything req.body", "cobol")], "code string, language string")
     kinds = {r.code: r.rule.tag if r.rule else None for r in rules.first_match(rows, cat, "code", "language", "source").collect()}
     assert kinds == {"get_user_input()": None, "x = input()": "user_input", "send_file(p)": None, "anything req.body": "http_body"}
+    cat = rules.default_rules(spark, more=True)  # sending files is among the rules that are asked for
     flask = rules.first_matches(rows, cat, "code", "language", {"sink": True}, F.lit("flask")).withColumnRenamed("_sink", "rule")
     assert {r.code for r in flask.where("rule IS NOT NULL").collect()} == {"send_file(p)"}
 
