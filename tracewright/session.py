@@ -16,10 +16,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only where that setting
-    is absent (tests, notebooks) is a temporary folder chosen and recorded.
+    is absent and all runs on one machine (tests, notebooks) is a temporary
+    folder chosen and recorded; executors elsewhere would each write to their own.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tracewright-")
         spark.conf.set("spark.checkpoint.dir", where)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
