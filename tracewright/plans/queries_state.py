@@ -82,3 +82,18 @@ def versioned_findings(t):
     change.commit()
     store.begin().delete("findings", F.lit(True))
     return store.read("findings").select("o_orderkey", "state")
+
+
+@query("""SELECT source AS scope, 'y' || n_chars % 10 || '/z' || doc_id % 7 || '/d' || doc_id || '.txt' AS path, CASE WHEN doc_id % 50 = 3 THEN 'changed' WHEN doc_id % 50 = 4 THEN 'new' ELSE 'deleted' END AS reason FROM documents WHERE doc_id % 50 IN (3, 4, 5)""")
+def manifest_tree(t):
+    """Files of documents in folders: what changed between two manifests, found through their stored trees."""
+    from tracewright.sources import hashtree
+
+    path = F.concat(F.lit("y"), F.col("n_chars") % 10, F.lit("/z"), F.col("doc_id") % 7, F.lit("/d"), "doc_id", F.lit(".txt"))
+    files = t.documents.select(F.col("source").alias("scope"), path.alias("path"), "doc_id", F.sha2("text", 256).alias("sha256"))
+    old = files.where("doc_id % 50 <> 4")
+    new = files.where("doc_id % 50 <> 5").withColumn("sha256", F.when(F.col("doc_id") % 50 == 3, "other").otherwise(F.col("sha256")))
+    places = [fresh_path(t.spark, "tree"), fresh_path(t.spark, "tree")]
+    for manifest, place in zip((old, new), places, strict=True):
+        hashtree.save_tree(manifest, place)
+    return hashtree.diff(old, new, *[hashtree.load_tree(t.spark, p) for p in places])
