@@ -48,6 +48,8 @@ _caches: dict[str, ChunkCache | None] = {}
 #: A lower-case word of Latin letters, with a run of ASCII marks behind it (no apostrophe).
 _PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-^`{-~]*)")
 _MARK = re.compile(rb"(?<=[a-z])([,.])(?=[ \n])")
+#: A comma or full stop that may be one piece with the mark before it; where there is none, plain replacements set all of them apart.
+_JOINED = re.compile(rb"[!-/:-@\[-`{-~\x80-\xff][,.][ \n]")
 #: Bytes that begin characters from U+0180 on; below, texts are composed and lower case is plain.
 _FAR = bytes(range(0xC6, 0x100))
 
@@ -135,7 +137,11 @@ def _chunks(text: str | None) -> list[bytes]:
     data = (text or "").encode("utf-8", "replace")
     if b"<|" not in data and len(data) == len(data.translate(None, _FAR)):
         # a mark between a letter and white space is a piece of its own: as a chunk of its own it is known already
-        data = _MARK.sub(rb" \1", text.lower().encode()) if text else b""
+        data = text.lower().encode() if text else b""
+        if _JOINED.search(data):
+            data = _MARK.sub(rb" \1", data)
+        else:
+            data = data.replace(b", ", b" , ").replace(b". ", b" . ").replace(b",\n", b" ,\n").replace(b".\n", b" .\n")
     return data.split()
 
 
