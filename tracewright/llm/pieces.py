@@ -33,7 +33,7 @@ class ChunkCache:
         self.encode, self.limit, self.threads, self.known = encode, limit, threads, {}
 
     def learn(self, chunks: set) -> None:
-        new = [c for c in chunks if c not in self.known]
+        new = list(chunks.difference(self.known))
         if len(self.known) + len(new) > self.limit:
             self.known.clear()
             new = list(chunks)
