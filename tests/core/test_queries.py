@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tracewright.plans import queries_files, queries_findings, queries_rules, registry  # noqa: F401
+from tracewright.plans import queries_files, queries_findings, queries_rules, queries_store, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tracewright.operators.intervals import names_below
+
 _LONG, _INT, _TEXT, _TEXTS = T.LongType(), T.IntegerType(), T.StringType(), T.ArrayType(T.StringType())
 #: Columns of the rows of each kind; a row has nulls for those of other kinds.
 KINDS = {
@@ -32,6 +34,9 @@ KINDS = {
 HEAD = {"scope": _TEXT, "file": _TEXT, "file_ord": _LONG, "kind": _TEXT}
 ROW = T.StructType([T.StructField(n, t) for columns in (HEAD, *KINDS.values()) for n, t in columns.items()])
 
+#: Node ids leave room for so many rows a file; a file with more is an error.
+NODES = 1 << 24
+
 _TYPES = {
     ast.Assign: "assignment", ast.AugAssign: "assignment", ast.AnnAssign: "assignment", ast.Return: "return", ast.If: "condition", ast.While: "condition",
     ast.For: "statement", ast.AsyncFor: "statement", ast.Expr: "statement", ast.Delete: "statement", ast.Assert: "statement", ast.Raise: "statement", ast.With: "statement",
@@ -184,13 +189,27 @@ def parse_lines(source: str) -> Iterator[tuple[str, dict]]:
             parents.append((depth, number))
 
 
-def parse_file(language: str, source: str) -> Iterator[tuple[str, dict]]:
-    return parse_python(source) if language == "python" else parse_lines(source)
+#: Parsers by language; languages without one go to the lexer of logical lines.
+PARSERS: dict[str, Callable[[str], Iterable[tuple[str, dict]]]] = {"python": parse_python}
+
+
+def register_parser(language: str, parser: Callable[[str], Iterable[tuple[str, dict]]]) -> None:
+    """A parser for a language, used by every later :func:`parse_files`.
+
+    It takes a file's text and gives (kind, columns) as in :data:`KINDS`;
+    nodes are numbered from 1 in pre-order.  A ``ValueError`` or
+    ``SyntaxError`` makes the file one row of kind ``error``.
+    """
+    PARSERS[language] = parser
+
+
+def parse_file(language: str, source: str, parsers: dict | None = None) -> Iterable[tuple[str, dict]]:
+    return (PARSERS if parsers is None else parsers).get(language, parse_lines)(source)
 
 
 def parse_files(files: DataFrame) -> DataFrame:
     """files (scope, path, language, source, ord) to rows of the four kinds."""
-    schema = to_arrow_schema(ROW)
+    schema, parsers = to_arrow_schema(ROW), dict(PARSERS)  # what is registered goes with the task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,7 +217,10 @@ def parse_files(files: DataFrame) -> DataFrame:
             for r in b.to_pylist():
                 head = {"scope": r["scope"], "file": r["path"], "file_ord": r["ord"]}
                 try:
-                    rows += [{**head, "kind": kind, **body} for kind, body in parse_file(r["language"], r["source"] or "")]
+                    found = [{**head, "kind": kind, **body} for kind, body in parse_file(r["language"], r["source"] or "", parsers)]
+                    if len(found) >= NODES:
+                        raise ValueError(f"{len(found)} rows")
+                    rows += found
                 except (SyntaxError, ValueError, RecursionError) as e:
                     rows.append({**head, "kind": "error", "message": str(e)[:200]})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -206,20 +228,91 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("scope", "path", "language", "source", F.col("ord").cast("bigint").alias("ord")).mapInArrow(run, ROW)
 
 
+def python_places(source: str) -> Iterator[dict]:
+    """Spans of nodes and places of names, in one walk.
+
+    Names and calls are numbered as they are met.  A node's ``use`` span holds
+    the names it reads, its ``call`` span the calls in it, as :func:`_uses` and
+    :func:`parse_python` list them; nodes that read or call nothing have none.
+    """
+    tree = ast.parse(source)
+    number, place = 0, 0
+
+    def visit(node: ast.AST) -> Iterator[dict]:
+        nonlocal number, place
+        mine, begin, read = None, place + 1, None
+        if type(node) in _TYPES:
+            number += 1
+            mine = number
+        if isinstance(node, ast.Name):
+            place += 1
+            yield {"of": "use", "place": place, "name": node.id}
+        if isinstance(node, ast.Call):
+            place += 1
+            yield {"of": "call", "place": place, "name": ast.unparse(node.func)}
+        for child in ast.iter_child_nodes(node):
+            before = place + 1
+            yield from visit(child)
+            if child is getattr(node, "value", None):
+                read = (before, place)
+        spans = {}
+        if isinstance(node, (ast.Assign, ast.AnnAssign)):
+            spans["use"] = read
+        elif isinstance(node, (ast.Call, ast.Return, ast.Expr, ast.Delete, ast.Assert, ast.Raise)):
+            spans["use"] = (begin, place)
+        if not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.If, ast.While, ast.For, ast.With)):
+            spans["call"] = (begin, place)
+        if mine:
+            yield from ({"of": of, "node_ord": mine, "first": s[0], "last": s[1]} for of, s in spans.items() if s and s[1] >= s[0])
+
+    yield from visit(tree)
+
+
+PLACE = T.StructType([T.StructField(n, t) for n, t in [("scope", _TEXT), ("file", _TEXT), ("file_ord", _LONG), ("of", _TEXT), ("node_ord", _LONG), ("first", _LONG), ("last", _LONG), ("place", _LONG), ("name", _TEXT)]])
+
+
+def parse_places(files: DataFrame) -> DataFrame:
+    """Python files (scope, path, language, source, ord) to spans of their nodes and places of names.
+
+    Rows are linear in the text, however deep its trees; files of other
+    languages and those that can't be parsed have none.
+    """
+    schema = to_arrow_schema(PLACE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[dict] = []
+            for r in b.to_pylist():
+                try:
+                    rows += [{"scope": r["scope"], "file": r["path"], "file_ord": r["ord"], **body} for body in python_places(r["source"] or "")]
+                except (SyntaxError, ValueError, RecursionError):
+                    continue
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return files.where("language = 'python'").select("scope", "path", "source", F.col("ord").cast("bigint").alias("ord")).mapInArrow(run, PLACE)
+
+
+def names_of_nodes(places: DataFrame) -> DataFrame:
+    """(scope, file, of, node_ord, name, at, n) of rows of :func:`parse_places`: what each node uses and calls."""
+    spans = places.where("node_ord IS NOT NULL").select("scope", "file", "of", "node_ord", "first", "last")
+    points = places.where("place IS NOT NULL").select("scope", "file", "of", "place", "name")
+    return names_below(spans, points, ["scope", "file", "of"], ["node_ord"])
+
+
 def _table(parsed: DataFrame, kind: str) -> DataFrame:
     return parsed.where(F.col("kind") == kind).select("scope", "file", "file_ord", *KINDS[kind])
 
 
 def node_table(parsed: DataFrame, files: DataFrame) -> DataFrame:
     """pdg_nodes with ids that are unique in a scope: file order, then node order."""
-    base = F.col("file_ord") * F.lit(1 << 24)
+    base = F.col("file_ord") * F.lit(NODES)
     out = _table(parsed, "node").withColumns({"node_id": base + F.col("node_ord"), "parent_id": base + F.col("parent_ord"), "ord": base + F.col("node_ord")}).drop("node_ord", "parent_ord")
     return out.join(files.select("scope", F.col("path").alias("file"), "language"), ["scope", "file"])
 
 
 def func_table(parsed: DataFrame) -> DataFrame:
     out = _table(parsed, "func")
-    return out.withColumn("ord", F.col("file_ord") * F.lit(1 << 24) + F.col("start_line")).drop("file_ord")
+    return out.withColumn("ord", F.col("file_ord") * F.lit(NODES) + F.col("start_line")).drop("file_ord")
 
 
 def import_table(parsed: DataFrame) -> DataFrame:
