@@ -107,6 +107,17 @@ def test_alignment(spark, tables):
     assert as_rows(got, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]) == Counter(brute_alignment(tables[1]))
 
 
+def test_spaces_at_the_end(spark, tmp_path):
+    """A text's last space is a token of both; it is no chunk of its own."""
+    texts = ["a b ", "a ", "one two  ", "x\n ", "é ", " ", "a b", "b\u00a0", " a "]
+    folder = str(tmp_path)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    got = queries.QUERIES["op11_cross_tokenizer"](spark, folder)
+    want = list(brute_alignment(list(enumerate(texts))))
+    assert all(r[1] for r in want)
+    assert as_rows(got, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]) == Counter(want)
+
+
 def test_whole_texts_as_chunks():
     """As with tokenizers that have no borders."""
     cut = alignment.Tokenizers(*[str(public_tokenizers.path(p)) for p in ("byte_bpe_50k.json", "piece_bpe_32k.model")])

@@ -68,9 +68,10 @@ def byte_alphabet() -> dict[str, int]:
 def chunks_of(text: str) -> list[str]:
     """A space and the text, cut before single spaces between other characters.
 
-    Every chunk begins with a space, which is left out.
+    Every chunk begins with a space, which is left out.  A space at the text's
+    end has no character behind it and belongs to the last chunk.
     """
-    if _RUN.search(text) or text[0].isspace():
+    if _RUN.search(text) or text[0].isspace() or text[-1] == " ":
         return [c[1:] for c in _BORDER.split(" " + text)]
     return text.split(" ")
 
