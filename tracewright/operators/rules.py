@@ -38,22 +38,27 @@ def lang_group(language: Column) -> Column:
 _SPECIAL = r"([^\p{L}\p{N}_])"
 
 
-def matches(code: Column, pattern: Column, boundary: bool = True) -> Column:
-    """Substring match; patterns that begin with a letter or ``_`` need a word boundary before."""
+#: Values of ``boundary`` and what must stand before a pattern that begins with a letter or ``_``: a word boundary, where
+#: letters of every script are parts of words (the reference's), or none of the ASCII letters, digits and ``_``.
+BOUNDARIES = {True: r"\b", "ascii": "(?<![0-9A-Za-z_])"}
+
+
+def matches(code: Column, pattern: Column, boundary: bool | str = True) -> Column:
+    """Substring match; patterns that begin with a letter or ``_`` need a boundary of :data:`BOUNDARIES` before."""
     plain = F.contains(code, pattern)
     if not boundary:
         return (pattern != "") & plain
     # the cheap substring test decides first; the boundary is looked at behind it only
-    bounded = F.regexp_like(code, F.concat(F.lit("\\b"), F.regexp_replace(pattern, _SPECIAL, r"\\$1")))
+    bounded = F.regexp_like(code, F.concat(F.lit(BOUNDARIES[boundary]), F.regexp_replace(pattern, _SPECIAL, r"\\$1")))
     return (pattern != "") & plain & (~F.regexp_like(pattern, F.lit("^[\\p{L}_]")) | bounded)
 
 
-def any_pattern(patterns: list[str], boundary: bool = True) -> str:
+def any_pattern(patterns: list[str], boundary: bool | str = True) -> str:
     """One pattern for all of the literals; it finds a text if one of them matches it."""
 
     def one(p: str) -> str:
         literal = re.sub(r"([^\w])", r"\\\1", p)
-        return rf"\b{literal}" if boundary and (p[0].isalpha() or p[0] == "_") else literal
+        return BOUNDARIES[boundary] + literal if boundary and (p[0].isalpha() or p[0] == "_") else literal
 
     return "|".join(one(p) for p in sorted(set(patterns)) if p)
 
@@ -69,10 +74,10 @@ def rule_lists(spark: SparkSession, key: str, lists: dict[str, list[Row]], kinds
     return spark.createDataFrame(rows, f"{key} string, " + ", ".join(f"{key}_{k} {_LIST}" for k in kinds), verifySchema=False)
 
 
-def first_matches(rows: DataFrame, rules: DataFrame, code: str, lang: str | None, kinds: dict[str, bool], framework: Column | None = None) -> DataFrame:
+def first_matches(rows: DataFrame, rules: DataFrame, code: str, lang: str | None, kinds: dict[str, bool | str], framework: Column | None = None) -> DataFrame:
     """``rows`` with the first rule of each kind that matches (a struct, or null) as ``_<kind>``.
 
-    ``kinds``: whether a kind's patterns need a word boundary before.  ``rules``
+    ``kinds``: whether a kind's patterns need a word boundary before, and which.  ``rules``
     is a catalogue: some hundreds of rows, which the driver holds.  One compiled
     pattern a kind tells the rows that no rule matches, which are most; for the
     others the ordered lists of each language, and behind them those of each
@@ -99,7 +104,7 @@ def first_matches(rows: DataFrame, rules: DataFrame, code: str, lang: str | None
     return out.drop(*[f"{t}_{k}" for t in ("_base", "_more") for k in kinds])
 
 
-def first_match(rows: DataFrame, rules: DataFrame, code: str, lang: str | None, kind: str, boundary: bool = True, out: str = "rule") -> DataFrame:
+def first_match(rows: DataFrame, rules: DataFrame, code: str, lang: str | None, kind: str, boundary: bool | str = True, out: str = "rule") -> DataFrame:
     """``rows`` with ``out``: struct of the first rule of ``kind`` that matches, or null."""
     return first_matches(rows, rules, code, lang, {kind: boundary}).withColumnRenamed(f"_{kind}", out)
 
