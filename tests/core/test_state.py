@@ -81,3 +81,20 @@ def test_cache(spark):
 def test_empty(spark):
     got, _ = run(spark, [[]], lambda s: keyed.limited(s))
     assert got.collect() == []
+
+
+def test_limits_by_day(spark):
+    """Days are counted apart, late rows with their day, and an identity is one key however many days it has."""
+    batches = arrivals(2)
+    # within the hour that rows may be late, a day's row comes after one of the next day
+    batches.append([("late", 9_000, START + dt.timedelta(days=6, minutes=5)), ("late", 9_001, START + dt.timedelta(days=5, minutes=1439))])
+    batches.append([("late", 9_002, START + dt.timedelta(days=5, minutes=1438)), ("late", 9_003, START + dt.timedelta(days=6, minutes=6)), ("late", 9_004, START + dt.timedelta(days=5, minutes=1439))])
+    got, checkpoint = run(spark, batches, lambda s: keyed.limited_by_day(s, 2))
+    want, used = {}, defaultdict(int)
+    for rows in batches:
+        for ts, k, n in sorted((ts, k, n) for k, n, ts in rows if k is not None and ts is not None):
+            used[k, ts.date()] += 1
+            want[n] = (max(0, 2 - used[k, ts.date()]), used[k, ts.date()] <= 2)
+    assert {r.number: (r.remaining, r.allowed) for r in got.collect()} == want
+    left = [r.key.key for r in spark.read.format("statestore").option("stateVarName", "state").load(checkpoint).collect()]
+    assert len(left) == len(set(left)) and "late" in left and not any(k.startswith(("once0", "once1")) for k in left)

@@ -39,8 +39,8 @@ MS = "CAST(floor(epoch_us(ts) / 1000) AS BIGINT)"
 
 @query("""SELECT event_id, greatest(0, 3 - row_number() OVER w)::INT AS remaining, row_number() OVER w <= 3 AS allowed FROM events WINDOW w AS (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id)""")
 def limit_by_day(t):
-    """Three requests an identity and calendar day; the day's counter goes a day after its first request."""
-    found = arriving(t, "concat(user_id, '|', to_date(ts))", keyed.limited)
+    """Three requests an identity and calendar day; an identity's state is the counters of its open days."""
+    found = arriving(t, "user_id", keyed.limited_by_day)
     return found.select(F.col("number").alias("event_id"), "remaining", "allowed")
 
 
