@@ -139,11 +139,15 @@ def enclosing_function(rows: DataFrame, func_defs: DataFrame, keys: list[str], l
 
 
 def return_edges(nodes: DataFrame, resolved: DataFrame, func_defs: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """From return statements of a function to assignments that call it."""
+    """From return statements of a function to assignments that call it.
+
+    A return stands in one function, so pairs of distinct returns and distinct
+    calls are distinct: both sides are made so, and no pair is shuffled.
+    """
     returns = enclosing_function(nodes.where("node_type = 'return'").select("scope", "file", "node_id", "line"), func_defs, ["scope", "file"])
-    returns = returns.where("enclosing IS NOT NULL").select("scope", F.col("file").alias("callee_file"), F.col("enclosing").alias("func"), F.col("node_id").alias("src"))
-    sites = resolved.where("node_type = 'assignment'").select("scope", "callee_file", "func", F.col("node_id").alias("dst"))
-    out = returns.join(sites, ["scope", "callee_file", "func"]).groupBy("scope", "src", "dst").agg(F.concat(F.lit("<return:"), F.min("func"), F.lit(">")).alias("var"))
+    returns = returns.where("enclosing IS NOT NULL").select("scope", F.col("file").alias("callee_file"), F.col("enclosing").alias("func"), F.col("node_id").alias("src")).distinct()
+    sites = resolved.where("node_type = 'assignment'").select("scope", "callee_file", "func", F.col("node_id").alias("dst")).distinct()
+    out = returns.join(sites, ["scope", "callee_file", "func"]).select("scope", "src", "dst", F.concat(F.lit("<return:"), "func", F.lit(">")).alias("var"))
     return out if existing is None else out.join(existing.select("scope", "src", "dst"), ["scope", "src", "dst"], "left_anti")
 
 
