@@ -85,3 +85,12 @@ def test_registered_parser(spark):
         del parse.PARSERS["tiny"]
     assert sorted(map(tuple, rows), key=str) == [("a.tiny", "node", "one", None), ("a.tiny", "node", "two", None), ("b.tiny", "error", None, "no")]
     assert parse.parse_files(files).where(F.col("kind") == "error").count() == 0  # the lexer takes them again
+
+
+def test_points_are_in_few_blocks(spark):
+    """A span of a million places has seven sizes of blocks, not twenty."""
+    spans = spark.createDataFrame([("p", 1, 1, 1_000_000), ("p", 2, 7, 16)], SPANS)
+    left, right = intervals._cut(spans, spark.createDataFrame([("p", 9, "a", 1)], POINTS), "first", "last", "place")
+    assert right.count() == 7 and left.where("node = 1").count() <= 14 * 7
+    # 7, the block 8 to 15, 16
+    assert sorted((r._size, r._block) for r in left.where("node = 2").collect()) == [(0, 7), (0, 16), (3, 1)]

@@ -2,10 +2,11 @@
 
 A node of a tree spans the places (pre-order numbers) of all that stands below
 it, so "all names in this subtree" asks which points fall into an interval.
-Intervals are cut into aligned blocks of 1, 2, 4, ... places, at most two of a
+Intervals are cut into aligned blocks of 1, 8, 64, ... places, at most 14 of a
 size; a point lies in one block of each size, so the containment is an
 equi-join by (scope, size, block), and a pair of an interval and a point within
-it meets in exactly one block.
+it meets in exactly one block.  Points are multiplied by the number of sizes,
+a third of what blocks of 1, 2, 4, ... would need.
 
 :func:`names_below` and :func:`totals_below` bring a block's points together
 before the join: a block that many intervals hold is gathered once.
@@ -26,17 +27,25 @@ def _down(value: Column, k: Column) -> Column:
     return F.call_function("shiftright", value, k)
 
 
+#: Bits that a size of blocks has more than the one below it.
+STEP = 3
+
+
 def _blocks(first: Column, last: Column, top: int) -> Column:
     """The largest aligned blocks that fill ``first`` to ``last``, as (size, block); size is the power of two."""
 
     def at(k: Column) -> Column:
-        low = _down(first + F.call_function("shiftleft", F.lit(1).cast("bigint"), k) - 1, k)
-        high = _down(last + 1, k)
+        # what blocks of this size cover, less what those of the next size do
+        up = F.least(k + STEP, F.lit(top))
+        left = lambda shift: _down(first + F.call_function("shiftleft", F.lit(1).cast("bigint"), shift) - 1, shift)
+        low, high, inner_low, inner_high = left(k), _down(last + 1, k), left(up), _down(last + 1, up)
         block = lambda b: F.struct(k.alias("size"), b.alias("block"))
-        odd = lambda b: (low < high) & (b % 2 == 1)
-        return F.array_compact(F.array(F.when(odd(low), block(low)), F.when(odd(high), block(high - 1))))
+        run = lambda a, b: F.when(a < b, F.transform(F.sequence(a, F.greatest(a, b - 1)), block)).otherwise(F.array().cast("array<struct<size:int,block:bigint>>"))
+        inside = (inner_low < inner_high) & (k + STEP <= top)
+        widened = lambda b: b * (1 << STEP)
+        return F.when(inside, F.concat(run(low, widened(inner_low)), run(widened(inner_high), high))).otherwise(run(low, high))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(top)), at))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(top), F.lit(STEP)), at))
 
 
 def _cut(spans: DataFrame, points: DataFrame, first: str, last: str, place: str) -> tuple[DataFrame, DataFrame]:
@@ -44,9 +53,10 @@ def _cut(spans: DataFrame, points: DataFrame, first: str, last: str, place: str)
     spans = spans.where(F.col(first).isNotNull() & F.col(last).isNotNull() & (F.col(last) >= F.col(first)))
     longest = spans.agg(F.max(F.col(last) - F.col(first) + 1)).first()[0] or 1
     top = int(longest).bit_length() - 1
+    top -= top % STEP
     begin, end, at = (F.col(c).cast("bigint") for c in (first, last, place))
     left = spans.withColumn("_b", F.explode(_blocks(begin, end, top))).withColumns({"_size": F.col("_b.size"), "_block": F.col("_b.block")}).drop("_b")
-    right = points.where(F.col(place).isNotNull()).withColumn("_size", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    right = points.where(F.col(place).isNotNull()).withColumn("_size", F.explode(F.sequence(F.lit(0), F.lit(top), F.lit(STEP))))
     return left, right.withColumn("_block", _down(at, F.col("_size")))
 
 
