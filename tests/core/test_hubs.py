@@ -39,6 +39,18 @@ def test_paths_over_hubs(spark, seed):
         assert rows[0] == rows[1] and rows[0]
 
 
+def test_degrees_meet_a_hub_once(spark):
+    """A node's two sides at a hub are one row of one join, whatever hubs lead nowhere; rows that repeat count once."""
+    named, _ = random_project(spark, 5)
+    loose = hubs.def_use_hubs(named, ["scope"], every=True)
+    degree = {r.node_id: (min(2, r.n_in), min(2, r.n_out)) for r in graph.degrees(graph.def_use_edges(named, ["scope"])).collect()}
+    for held in (loose, loose.unionByName(loose)):
+        out = hubs.single_degrees(held)
+        assert {r.node_id: (r.n_in, r.n_out) for r in out.collect() if r.n_in or r.n_out} == degree
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_bits_are_states(spark, seed):
     """Also with more labels than a row has bits."""

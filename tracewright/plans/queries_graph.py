@@ -71,7 +71,7 @@ def hub_degrees(t):
     lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("d"), F.min("l_partkey").alias("u"))
     name = lambda c: F.array(F.concat(F.lit("v"), (F.col(c) % 5).cast("string")))
     nodes = lines.select(F.col("l_orderkey").cast("string").alias("scope"), F.col("l_linenumber").alias("node_id"), name("d").alias("defs"), name("u").alias("uses"))
-    out = hubs.single_degrees(hubs.def_use_hubs(nodes, ["scope"])).where("n_in > 0 OR n_out > 0")
+    out = hubs.single_degrees(hubs.def_use_hubs(nodes, ["scope"], every=True)).where("n_in > 0 OR n_out > 0")
     return out.select(F.col("scope").cast("bigint").alias("l_orderkey"), "node_id", "n_in", "n_out")
 
 
