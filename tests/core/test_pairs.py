@@ -38,3 +38,22 @@ def test_argument_edges_of_several_parameters(spark):
     got = {(r.src, r.dst): r["var"] for r in out.collect()}
     assert got == {(1, 11): "<arg:f:p>", (2, 11): "<arg:f:p>", (3, 11): "<arg:f:p>", (4, 11): "<arg:f:p>", (2, 12): "<arg:f:q>", (1, 12): "<arg:f:q>"}
     assert "Generate" in above_exchange(out) and "Aggregate" not in above_exchange(out)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_shared_state_in_lists(spark, seed, monkeypatch):
+    """Stores meet lists of reads at equal keys; other files' pairs come once, those that are there already don't."""
+    monkeypatch.setattr(graph, "LISTS", (3, 3))
+    rnd = random.Random(seed)
+    stores = [(i, f"f{rnd.randrange(4)}", rnd.randrange(3)) for i in range(12)]
+    reads = [(100 + i, f"f{rnd.randrange(4)}", rnd.sample(range(4), rnd.choice([1, 1, 2]))) for i in range(30)]
+    rows = [("s", i, f, f"app.k{k} = 1") for i, f, k in stores] + [("s", i, f, "x = " + " + ".join(f"app.k{k}" for k in ks)) for i, f, ks in reads]
+    nodes = spark.createDataFrame(rows, "scope string, node_id bigint, file string, code string")
+    want = {(a, b, f"<shared:app.k{k}>") for a, f, k in stores for b, g, ks in reads if k in ks and f != g}
+    known = sorted((a, b) for a, b, _ in want if (a + b) % 3 == 0)
+    there = spark.createDataFrame([("s", *p) for p in known + known[:5] + [(0, 0), (999, 998)]], "scope string, src bigint, dst bigint")
+    for existing, left in ((None, want), (there, {w for w in want if (w[0] + w[1]) % 3})):
+        out = graph.shared_state_edges(nodes, existing)
+        assert sorted((r.src, r.dst, r["var"]) for r in out.collect()) == sorted(left) and left
+        above, *below = out._jdf.queryExecution().executedPlan().toString().split("Generate inline")
+        assert below and "Exchange" not in above and "Aggregate" not in above

@@ -118,12 +118,35 @@ def read_keys(code: Column) -> Column:
 
 
 def shared_state_edges(nodes: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Edges from stores to reads of a key in other files of the scope."""
+    """Edges from stores to reads of a key in other files of the scope, each with its least key.
+
+    Reads at the same keys are one class, whose nodes stand in lists of some
+    hundred; a store meets the lists of the classes that its key leads to, and
+    pairs are written out behind the last exchange.  Of ``existing`` edges those
+    of a store and a list are gathered, which a list bounds, and left out.
+    Node ids are unique in a scope, ``existing`` may repeat rows.
+    """
+    from tracewright.operators.order import ranked
+    from tracewright.session import stash
+
     rows = nodes.select("scope", "node_id", "file", store_key(F.col("code")).alias("store"), "code")
-    stores = rows.where("store IS NOT NULL").select("scope", F.col("node_id").alias("src"), F.col("file").alias("_f"), F.col("store").alias("key"))
-    reads = rows.where("store IS NULL").select("scope", F.col("node_id").alias("dst"), F.col("file").alias("_g"), F.explode(read_keys(F.col("code"))).alias("key"))
-    out = stores.join(reads, ["scope", "key"]).where("_f <> _g AND src <> dst").groupBy("scope", "src", "dst").agg(F.concat(F.lit("<shared:"), F.min("key"), F.lit(">")).alias("var"))
-    return out if existing is None else out.join(existing.select("scope", "src", "dst"), ["scope", "src", "dst"], "left_anti")
+    rows = stash(rows.withColumn("_keys", F.when(F.col("store").isNull(), F.array_sort(read_keys(F.col("code"))))).drop("code"), "keys")  # patterns are matched once
+    stores = rows.where("store IS NOT NULL").select("scope", F.col("node_id").alias("src"), F.col("file").alias("_f"), F.col("store").alias("key")).distinct()
+    reads = rows.where("store IS NULL").select("scope", F.col("node_id").alias("dst"), F.col("file").alias("_g"), "_keys").where(F.size("_keys") > 0)
+    reads = reads.distinct().withColumn("_class", F.sha2(F.to_json("_keys"), 256))
+    placed = stash(ranked(reads, ["scope", "_class"], ["dst", "_g"]).withColumn("_at", F.floor((F.col("_rank") - 1) / LISTS[0])).drop("_rank"), "placed")
+    lists = placed.groupBy("scope", "_class", "_at").agg(F.first("_keys").alias("_keys"), F.collect_list(F.struct("dst", "_g")).alias("_reads"))
+    # a store has one key and a class it once, so a store meets a list once
+    met = stores.join(lists.select("scope", F.explode("_keys").alias("key"), "_class", "_at"), ["scope", "key"])
+    gone = F.array().cast("array<bigint>")
+    if existing is not None:
+        known = existing.select("scope", "src", "dst").join(placed.select("scope", "dst", "_class", "_at"), ["scope", "dst"])
+        known = known.groupBy("scope", "src", "_class", "_at").agg(F.collect_set("dst").alias("_known"))
+        met = met.join(known, ["scope", "src", "_class", "_at"], "left")
+        gone = F.coalesce(F.col("_known"), gone)
+    new = met.withColumn("_gone", gone).select("scope", "src", "_f", "key", "_class", "_at", "_gone").join(lists.select("scope", "_class", "_at", "_reads"), ["scope", "_class", "_at"])
+    pairs = new.select("scope", "src", "_f", "key", "_gone", F.inline("_reads")).where("_f <> _g AND src <> dst AND NOT array_contains(_gone, dst)")
+    return pairs.select("scope", "src", "dst", F.concat(F.lit("<shared:"), "key", F.lit(">")).alias("var"))
 
 
 def last_identifier(expression: Column) -> Column:
