@@ -524,3 +524,43 @@ def test_token_output_reads_its_tokenizer_file(tmp_path, variant):
     got = [np.frombuffer(x, "<u4").tolist() for x in token_output.encode_texts(path, texts)]
     assert got == want
     assert token_output.word_tokenizer(path) == (variant in ("given", "truncated"))
+
+
+def test_marks_behind_accented_letters():
+    """They are chunks of their own, so the words before them are known already; ids stay the library's."""
+    from tokenizers import Tokenizer
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    assert token_output._chunks("caf\u00e9, fin. \u0142\u0105, x") == [c.encode() for c in ["caf\u00e9", ",", "fin", ".", "\u0142\u0105", ",", "x"]]
+    texts = ["Caf\u00c9, \u00dcB\u00dc. \u0130, 5\u00d7, \u00bb, \u0149, a-, b.\nd\u00fc.\n", "\u0130. x", "\u00aa, \u00f7. 1, -. \u00e0, \u00e0\u00bb.", "\u00df\u00e4\u00ff! \u00e9(, \u017f, \u00d7\u00e9, \u00c3, \u00e3\u00a0\u00ad, z"]
+    library = Tokenizer.from_file(path)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in token_output.encode_texts(path, texts)] == want
+
+
+def test_tokenizers_go_before_digests():
+    """The worker that reads token files back holds no chunks of those it wrote."""
+    from tracewright.llm import rows
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    rows.take_over("token_output", token_output.forget)
+    token_output.encode_texts(str(public_tokenizers.path("word_bpe_49k.json")), ["some words"])
+    assert token_output._caches
+    rows.take_over("token_digests", None)
+    assert not token_output._caches
+
+
+def test_chunk_cache_forgets_what_failed():
+    from tracewright.llm.pieces import ChunkCache
+
+    def encode(chunks: list[str]) -> list[bytes]:
+        if "bad" in chunks:
+            raise ValueError
+        return [c.encode() for c in chunks]
+
+    cache = ChunkCache(encode, 2)
+    with pytest.raises(ValueError):
+        cache([["a", "bad"]])
+    assert cache([["a", "b", "a"], [], ["c"]]) == [b"aba", b"", b"c"]
+    assert cache([["c", "d"], ["a"]]) == [b"cd", b"a"]

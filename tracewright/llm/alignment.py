@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tracewright.llm.pieces import as_bytes, threaded
+from tracewright.llm.pieces import as_bytes, byte_alphabet, threaded
 from tracewright.llm.rows import in_workers, slices, spare
 from tracewright.llm.sentencepiece_codec import BYTE, CONTROL, MARK, UNKNOWN, Model, default_model
 from tracewright.session import join_skewed, stash
@@ -57,14 +57,6 @@ _RUN = re.compile(r"\s\s")
 _BORDER = re.compile(r"(?<=\S)(?= \S)")
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable
-    Latin-1 characters for themselves, the others in order from U+0100 on."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(printable)]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def chunks_of(text: str) -> list[str]:
     """A space and the text, cut before single spaces between other characters.
 

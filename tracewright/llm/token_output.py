@@ -18,6 +18,8 @@ rows are written each; other columns are ignored; an empty table gives no row.
 
 from __future__ import annotations
 
+import codecs
+import gc
 import json
 import re
 import zlib
@@ -29,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.pieces import ChunkCache, as_bytes, threaded
-from tracewright.llm.rows import slices
+from tracewright.llm.pieces import ChunkCache, as_bytes, byte_alphabet, threaded
+from tracewright.llm.rows import in_workers, slices
 
 WRITER = {
     "parquet.writer.version": "PARQUET_2_0",  # delta encoding where a dictionary doesn't pay
@@ -46,10 +48,11 @@ _caches: dict[str, ChunkCache | None] = {}
 
 
 #: A lower-case word of Latin letters, with a run of ASCII marks behind it (no apostrophe).
-_PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-^`{-~]*)")
-_MARK = re.compile(rb"(?<=[a-z])([,.])(?=[ \n])")
-#: A comma or full stop that may be one piece with the mark before it; where there is none, plain replacements set all of them apart.
-_JOINED = re.compile(rb"[!-/:-@\[-`{-~\x80-\xff][,.][ \n]")
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-^`{-~]*)")
+#: A comma or full stop behind a letter below U+0180.
+_MARK = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])|(?<=[\xc4\xc5][\x80-\xbf]))([,.])(?=[ \n])")
+#: One that may be one piece with the mark before it; where there is none, plain replacements set all of them apart.
+_JOINED = re.compile(rb"[,.](?=[ \n])(?:(?<=[!-/:-@\[-`{-~].)|(?<=\xc2[\x80-\xbf].)|(?<=\xc3[\x97\xb7].)|(?<=\xcc[\x80-\xbf].))", re.DOTALL)
 #: Bytes that begin characters from U+0180 on; below, texts are composed and lower case is plain.
 _FAR = bytes(range(0xC6, 0x100))
 
@@ -93,7 +96,8 @@ def word_cache(path: str) -> ChunkCache | None:
     """None if the file is no :func:`word_tokenizer`; else a tokenizer whose pre-tokenizer drops white space: ASCII white space is
     a border of chunks, as is the end of a plain word before marks.  Plain
     words need neither the normaliser nor the pre-tokenizer's pattern; many are
-    encoded as one text and told apart by their closing pieces."""
+    encoded as one text and told apart by their closing pieces; their bytes are
+    put as the byte-level characters beforehand, many words at once."""
     if path not in _caches and not word_tokenizer(path):
         _caches[path] = None
     if path not in _caches:
@@ -104,30 +108,37 @@ def word_cache(path: str) -> ChunkCache | None:
             each.no_padding()
             each.no_truncation()
         plain.normalizer = None
-        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        letters = {b: c for c, b in byte_alphabet().items()} | {32: " "}
+        byte_level = "".join(letters[b] for b in range(256))
         closing = np.zeros(whole.get_vocab_size(), bool)
         closing[[i for piece, i in whole.get_vocab().items() if piece.endswith("</w>")]] = True
-        words: dict[str, bytes] = {}
+        words: dict[bytes, bytes] = {}
         match = _PLAIN.fullmatch
 
-        def encode_words(new: list[str]) -> None:
+        def encode_words(new: list[bytes]) -> None:
             parts = [new[i : i + 500] for i in range(0, len(new), 500)]
-            for part, e in zip(parts, plain.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
-                raw = as_bytes(e.ids)
-                ends = (4 * np.flatnonzero(closing[e.ids]) + 4).tolist()
-                words.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-
-        def encode(texts: list[str]) -> list[bytes]:
-            if len(words) > 200_000:
+            texts = [codecs.charmap_decode(b" ".join(p), "strict", byte_level)[0] for p in parts]
+            for part, e in zip(parts, plain.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = e.ids
+                raw = as_bytes(ids)
+                ends = (4 * np.flatnonzero(closing[ids]) + 4).tolist()
+                words.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+
+        def encode(chunks: list[bytes]) -> list[bytes]:
+            if len(words) > 100_000:
                 words.clear()
             # most chunks are ASCII words; the pattern looks at the others only
-            found = [(t, "") if t.isascii() and t.isalpha() and t.islower() else m.groups() if (m := match(t)) else (None, t) for t in texts]
-            encode_words(list({w for w, _ in found if w} - words.keys()))
-            other = list({x for _, x in found if x})
-            rest = dict(zip(other, (as_bytes(e.ids) for e in whole.encode_batch_fast(other, add_special_tokens=False)), strict=True))
-            return [words[w] if not x else words[w] + rest[x] if w else rest[x] for w, x in found]
-
-        _caches[path] = ChunkCache(encode, 600_000)  # no threads: a task has one core, and idle threads would spin
+            mixed = {c: m.groups() if (m := match(c)) else (b"", c) for c in chunks if not (c.isalpha() and c.islower())}
+            stems = {w for w, _ in mixed.values() if w}
+            encode_words(list(stems.union(c for c in chunks if c not in mixed).difference(words)))
+            other = list({x for _, x in mixed.values() if x})
+            rest = dict(zip(other, (as_bytes(e.ids) for e in whole.encode_batch_fast([x.decode() for x in other], add_special_tokens=False)), strict=True))
+            rest[b""] = words[b""] = b""
+            joined = {c: words[w] + rest[x] for c, (w, x) in mixed.items()}
+            return [joined[c] if c in joined else words[c] for c in chunks]
+
+        _caches[path] = ChunkCache(encode, 400_000)  # no threads: a task has one core, and idle threads would spin
     return _caches[path]
 
 
@@ -145,6 +156,12 @@ def _chunks(text: str | None) -> list[bytes]:
     return data.split()
 
 
+def forget() -> None:
+    """Drop this worker's tokenizers and what they know."""
+    _caches.clear()
+    _whole.clear()
+
+
 _whole: dict[str, Callable[[list[str]], list[bytes]]] = {}
 
 
@@ -183,15 +200,19 @@ def write_tokens(docs: DataFrame, path: str, encode: Callable[[list[str | None]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
-        for b in slices(batches, "text"):
-            data = [x + close for x in encode(b.column("text").to_pylist())]
-            sizes = np.array([len(x) // 4 for x in data], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(data), "<i4"), pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(np.full(len(data), part, np.int32)), pa.array(start + offsets[:-1]), tokens], names=["doc_id", "n_tokens", "part", "start_in_part", "token_ids"])
-            start += int(offsets[-1])
+        gc.disable()  # a batch makes many small objects and no cycles
+        try:
+            for b in slices(batches, "text"):
+                data = [x + close for x in encode(b.column("text").to_pylist())]
+                sizes = np.array([len(x) // 4 for x in data], np.int64)
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(data), "<i4"), pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(np.full(len(data), part, np.int32)), pa.array(start + offsets[:-1]), tokens], names=["doc_id", "n_tokens", "part", "start_in_part", "token_ids"])
+                start += int(offsets[-1])
+        finally:
+            gc.enable()
 
-    ordered.mapInArrow(run, SCHEMA).write.options(**WRITER).parquet(path)
+    in_workers(ordered, run, SCHEMA, "token_output", forget).write.options(**WRITER).parquet(path)
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -225,7 +246,8 @@ def token_digests(rows: DataFrame) -> DataFrame:
             crc = [zlib.crc32(data[4 * int(i) : 4 * int(j)]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), b.column("start_in_part"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32"])
 
-    return rows.select("doc_id", "part", "start_in_part", "token_ids").mapInArrow(run, "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, ids_crc32 bigint")
+    found = rows.select("doc_id", "part", "start_in_part", "token_ids")
+    return in_workers(found, run, "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, ids_crc32 bigint", "token_digests")
 
 
 def op5_token_output(spark, sf_dir: str, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
