@@ -147,3 +147,16 @@ def test_return_pairs_are_made_once(spark):
     out = graph.return_edges(nodes, calls, defs)
     assert sorted(map(tuple, out.collect())) == [("s", 1, 9, "<return:f>"), ("s", 2, 9, "<return:f>")]
     assert not out._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+
+
+def test_small_files_are_parsed_by_several_tasks(spark):
+    """Files whose bytes are few are dealt out all the same, and none is lost."""
+    from pyspark.sql import functions as F
+
+    from tracewright.sources.files import _files
+
+    made = spark.createDataFrame([("p", f"f{i:03}.py", f"q = input()\neval(q + '{i}')\n") for i in range(200)], "scope string, path string, source string").coalesce(1)
+    files = _files(made.withColumns({"sha256": F.lit("x"), "n_bytes": F.octet_length("source").cast("bigint")}))
+    out = scan.analyse(files, rules.default_rules(spark))
+    assert out["parsed"].select("file").distinct().count() == 200
+    assert len(out["parsed"].inputFiles()) > 1 and len(out["nodes"].inputFiles()) > 1

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tracewright.operators import graph, parse
 from tracewright.operators.findings import changed_files
 from tracewright.plans import scan
-from tracewright.session import drop_stash, stash
+from tracewright.session import drop_stash, spread, stash
 from tracewright.sources.files import detect_framework, manifest, select_files
 
 #: Columns of findings that name no node: nodes are renumbered when files come and go.
@@ -71,7 +71,7 @@ def _linking(held: DataFrame) -> DataFrame:
 def whole(files: DataFrame, catalogue: DataFrame, **options) -> dict[str, DataFrame]:
     """The tables of :data:`TABLES` for all files; ``findings`` is the result, all are what :func:`update` starts from."""
     kept = select_files(files).where("reason IS NULL").drop("reason")
-    parsed = stash(parse.parse_files(kept), "parsed")
+    parsed = stash(parse.parse_files(spread(kept, "scope", "path")), "parsed")
     frameworks = stash(detect_framework(kept), "frameworks")
     out = scan.analyse(files, catalogue, parsed=parsed, frameworks=frameworks, **({"max_pops": None} | options))
     return {"manifest": manifest(files), "parsed": parsed, "symbols": stash(symbols(parsed, kept), "symbols"), "frameworks": frameworks, "findings": stash(_shown(out["findings"]), "findings")}
@@ -91,7 +91,7 @@ def update(files: DataFrame, catalogue: DataFrame, before: dict[str, DataFrame],
     now = manifest(files)
     changed = stash(changed_files(before["manifest"], now).select("scope", F.col("path").alias("file"), "reason"), "changed")
     renewed = kept.join(changed.select("scope", F.col("file").alias("path")), ["scope", "path"], "left_semi")
-    fresh = parse.parse_files(renewed)
+    fresh = parse.parse_files(spread(renewed, "scope", "path"))
     # stored rows of unchanged files, with the place that the files have now
     place = kept.select("scope", F.col("path").alias("file"), F.col("ord").cast("bigint").alias("_ord"))
     stored = before["parsed"].join(changed, ["scope", "file"], "left_anti").join(place, ["scope", "file"]).withColumn("file_ord", F.col("_ord")).drop("_ord")

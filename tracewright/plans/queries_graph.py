@@ -112,10 +112,10 @@ UNION ALL SELECT scope, file, 'module', left(file, length(file) - 3), file FROM
 def parsed_symbols(t):
     """Functions with their parameters, imports with their modules, and the modules that files are."""
     from tracewright.operators import parse
-    from tracewright.session import stash
+    from tracewright.session import spread, stash
 
     files = _trades(t, False)
-    parsed = stash(parse.parse_files(files), "parsed")
+    parsed = stash(parse.parse_files(spread(files, "scope", "path")), "parsed")
     row = lambda df, kind, name, what: df.select("scope", "file", F.lit(kind).alias("kind"), F.col(name).alias("name"), what.alias("what"))
     out = row(parse.func_table(parsed), "function", "name", F.array_join("params", ","))
     out = out.unionByName(row(parse.import_table(parsed), "import", "local_name", F.col("module_stem")))

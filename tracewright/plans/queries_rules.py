@@ -9,7 +9,7 @@ from tracewright.operators import detect, graph, parse, rules
 from tracewright.operators import findings as fd
 from tracewright.plans import scan
 from tracewright.plans.registry import query
-from tracewright.session import fresh_path, stash
+from tracewright.session import fresh_path, spread, stash
 from tracewright.sources import files as sources
 from tracewright.streaming import limits
 
@@ -172,7 +172,7 @@ UNION ALL SELECT file, 'statement', 2, 'os.system(r' || k || ')', '', 'os,r' ||
 UNION ALL SELECT file, 'call', 2, 'os.system(r' || k || ')', '', 'os,r' || k, 'os.system' FROM k""")
 def parsed_nodes(t):
     files = supplier_files(t)
-    nodes = parse.node_table(stash(parse.parse_files(files), "parsed"), files)
+    nodes = parse.node_table(stash(parse.parse_files(spread(files, "scope", "path")), "parsed"), files)
     return nodes.select("file", "node_type", "line", "code", F.array_join("defs", ",").alias("defs"), F.array_join(F.array_sort("uses"), ",").alias("uses"), F.array_join("calls", ",").alias("calls"))
 
 

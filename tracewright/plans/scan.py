@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import scoring, text
 from tracewright.operators import detect, graph, hubs, parse, rules, taint
 from tracewright.operators.findings import changed_files, collapse_groups
-from tracewright.session import stash
+from tracewright.session import spread, stash
 from tracewright.sources.files import detect_framework, manifest, select_files
 
 FINDING = ["scope", "analyzer", "vuln_class", "severity", "confidence", "source_file", "source_line", "sink_file", "sink_line"]
@@ -38,7 +38,7 @@ def analyse(files: DataFrame, catalogue: DataFrame, framework: str | None = None
     ``options`` go to the fixpoint: threshold, max_len, max_pops, label_scope, prune.
     """
     judged = select_files(files)
-    kept = judged.where("reason IS NULL").drop("reason")
+    kept = stash(spread(judged.where("reason IS NULL").drop("reason"), "scope", "path"), "files")  # parsed, searched by lines and looked up
     if parsed is None:
         parsed = stash(parse.parse_files(kept), "parsed")
     bare = parse.node_table(parsed, kept)

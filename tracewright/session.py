@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of the tables read for one part where :func:`spread` deals rows out.
+PART_BYTES = 32 << 20
 #: Of a join's rows, keys that hold more than one part in so many go by broadcast.
 SHARES = 4096
 
@@ -59,6 +61,18 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys``, one part for each core at least.
+
+    For rows that are small but cost much each, as files to parse: by their bytes
+    alone they would all be one task.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(n for n in sizes if n < 1 << 60)  # the greatest number stands for those that are not known
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)), *keys)
+
+
 def drop_stash(*tables: DataFrame | None) -> None:
     """Delete tables made by :func:`stash` that nothing lazy reads any more."""
     for df in tables:
