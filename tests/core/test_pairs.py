@@ -57,3 +57,16 @@ def test_shared_state_in_lists(spark, seed, monkeypatch):
         assert sorted((r.src, r.dst, r["var"]) for r in out.collect()) == sorted(left) and left
         above, *below = out._jdf.queryExecution().executedPlan().toString().split("Generate inline")
         assert below and "Exchange" not in above and "Aggregate" not in above
+
+
+def test_degrees_read_their_edges_once(spark, tmp_path):
+    from tracewright.operators import graph
+    from tracewright.session import spread
+
+    spark.range(3000).selectExpr("'s' AS scope", "id % 7 AS src", "10 + id AS dst").coalesce(1).write.parquet(str(tmp_path / "e"))
+    edges = spark.read.parquet(str(tmp_path / "e"))
+    out = graph.degrees(spread(edges, "src", "dst", part_bytes=1000).distinct())
+    assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    assert spread(edges, "src", part_bytes=1000).rdd.getNumPartitions() > 4
+    got = {r.node_id: (r.n_in, r.n_out) for r in out.collect()}
+    assert len(got) == 3007 and got[10] == (1, 0) and got[0] == (0, 429)

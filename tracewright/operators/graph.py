@@ -243,7 +243,8 @@ def project_edges(nodes: DataFrame, func_defs: DataFrame, imports: DataFrame, mo
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(scope, node_id, n_in, n_out) of data edges."""
-    ends = edges.select("scope", F.col("src").alias("node_id"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select("scope", F.col("dst").alias("node_id"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    end = lambda c, i, o: F.struct(F.col(c).alias("node_id"), F.lit(i).alias("i"), F.lit(o).alias("o"))
+    ends = edges.select("scope", F.inline(F.array(end("src", 0, 1), end("dst", 1, 0))))  # one pass over the edges
     return ends.groupBy("scope", "node_id").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
 
 

@@ -61,7 +61,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, part_bytes: int = PART_BYTES) -> DataFrame:
     """``df`` dealt out by ``keys``, one part for each core at least.
 
     For rows that are small but cost much each, as files to parse: by their bytes
@@ -70,7 +70,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     size = sum(n for n in sizes if n < 1 << 60)  # the greatest number stands for those that are not known
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)), *keys)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // part_bytes)), *keys)
 
 
 def drop_stash(*tables: DataFrame | None) -> None:
