@@ -35,7 +35,8 @@ def analyse(files: DataFrame, catalogue: DataFrame, framework: str | None = None
     framework's profile don't.
     ``parsed`` (rows of :func:`parse.parse_files`) saves parsing, ``frameworks``
     (scope, framework) detecting them.
-    ``options`` go to the fixpoint: threshold, max_len, max_pops, label_scope, prune.
+    ``options`` go to the fixpoint: threshold, max_len, max_pops, label_scope,
+    prune; the search is whole unless max_len or max_pops bounds it.
     """
     judged = select_files(files)
     kept = stash(spread(judged.where("reason IS NULL").drop("reason"), "scope", "path"), "files")  # parsed, searched by lines and looked up
