@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tracewright.operators.taint import taint_paths
-from tracewright.plans import queries_rules, registry  # noqa: F401
+from tracewright.plans import queries_rules, registry, scan  # noqa: F401
 
 NODES = "scope string, node_id bigint, ord bigint, file string, line int, source_type string, sink_class string, sink_severity string, san_power double, san_for array<string>"
 
@@ -32,3 +32,19 @@ def suppliers(spark, path, n):
 def test_analyse_projects_of_one_large_project(spark, tmp_path):
     got = registry.QUERIES["analyse_projects"](spark, suppliers(spark, tmp_path, 2600)).select("file").collect()
     assert len(got) == len(set(got)) == 2600
+
+
+def test_path_steps_of_one_large_project(spark, tmp_path):
+    """Four steps of each path; before, paths behind the 10,000th state of a project had none."""
+    got = registry.QUERIES["path_steps"](spark, suppliers(spark, tmp_path, 2600)).groupBy("file").count().collect()
+    assert len(got) == 2600 and {r["count"] for r in got} == {4}
+
+
+def test_steps_of_a_long_path(spark):
+    """A path of 52 nodes that no folding shortens is shown whole."""
+    n = 52
+    nodes = spark.createDataFrame([("s", i, i, "f", i, "in" if not i else None, "sqli" if i == n - 1 else None, "high" if i == n - 1 else None, None, None) for i in range(n)], NODES)
+    edges = spark.createDataFrame([("s", i, i + 1, i + 1, []) for i in range(n - 1)], "scope string, src bigint, dst bigint, edge_ord bigint, folded array<bigint>")
+    paths = taint_paths(nodes, edges).withColumn("path_id", F.lit("p"))
+    steps = scan.steps_of(paths, edges, nodes.withColumn("label", F.col("node_id").cast("string"))).collect()
+    assert sorted((r.pos, r.label) for r in steps) == [(i, str(i)) for i in range(n)]

@@ -73,7 +73,7 @@ def steps_of(paths: DataFrame, folded: DataFrame, nodes: DataFrame) -> DataFrame
     """Every node of every path, folded ones put back, in order, for display."""
     unfolded = graph.unfold_paths(paths, folded, "path_id")
     walked = paths.select("scope", "path_id", F.posexplode("path").alias("i", "node_id")).join(nodes.select("scope", "node_id", F.col("san_power").isNotNull().alias("clean")), ["scope", "node_id"])
-    so_far = Window.partitionBy("scope", "path_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a path has 50 nodes at most
+    so_far = Window.partitionBy("scope", "path_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of one path, which is one row
     kind = F.when(F.max(F.col("clean") & (F.col("i") > 0)).over(so_far), taint.PARTIAL).otherwise(taint.TAINTED)
     kinds = walked.withColumn("type", kind).groupBy("scope", "path_id", "node_id").agg(F.max_by("type", "i").alias("type"))
     return graph.path_steps(unfolded, nodes, kinds, "path_id")
